@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from askweave.plans.asking import ask
 from askweave.plans.engine import Engine
 from askweave.plans.inference import Options
 
@@ -97,3 +98,23 @@ _add("except_inferred", "short", "select nation.n_name from nation where custome
 _add("except_branch", "short", "select nation.n_name from nation where nation.n_nationkey >= 0 except_ supplier.s_acctbal > 9000", "name", "SELECT n_name AS name FROM nation EXCEPT SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 9000")
 _add("union_other_table", "short", "select customer.c_nationkey from customer where customer.c_acctbal > 9500 union_ @.@ is supplier.* and supplier.s_acctbal > 9000", "nation", "SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9500 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
 _add("set_to_in", "short", "select count ( nation.* ) from nation where customer.c_mktsegment = 'BUILDING' intersect_ customer.c_mktsegment = 'MACHINERY'", "n", "SELECT count(*) AS n FROM nation WHERE n_nationkey IN (SELECT n_nationkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT n_nationkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY')")
+
+
+# Questions in words
+def _ask(name: str, question: str, names: str, oracle: str) -> None:
+    QUERIES[name], ORACLES[name] = (lambda spark, sf_dir: ask(Engine(spark, sf_dir), question, names.split())), oracle
+
+
+_ask("ask_count", "How many customers are there?", "n", "SELECT count(*) AS n FROM customer")
+_ask("ask_list", "List the name of all regions.", "name", "SELECT r_name AS name FROM region")
+_ask("ask_count_per_column", "How many orders are there for each order status?", "status n", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+_ask("ask_count_per_table", "How many customers does each nation have?", "nation n", "SELECT n_name AS nation, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+_ask("ask_average", "What is the average account balance of suppliers?", "mean", "SELECT avg(s_acctbal) AS mean FROM supplier")
+_ask("ask_above", "Show the name of suppliers with account balance over 9000.", "name", "SELECT s_name AS name FROM supplier WHERE s_acctbal > 9000")
+_ask("ask_between", "Which parts have a size between 10 and 12? Show their name.", "name", "SELECT p_name AS name FROM part WHERE p_size BETWEEN 10 AND 12")
+_ask("ask_without", "List the name of customers without orders.", "name", "SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_ask("ask_top", "List the name of the 5 suppliers with the highest account balance.", "name", "SELECT s_name AS name FROM supplier ORDER BY s_acctbal DESC LIMIT 5")
+_ask("ask_value", "Give the average total price of orders of customers in the segment 'BUILDING'.", "mean", "SELECT avg(o_totalprice) AS mean FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
+_ask("ask_value_home", "How many customers are in 'ASIA'?", "n", "SELECT count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+_ask("ask_having", "Which nations have more than 5 suppliers? Show the name.", "name", "SELECT min(n_name) AS name FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(*) > 5")
+_ask("ask_group_agg", "Show the average retail price per brand of parts.", "brand mean", "SELECT p_brand AS brand, avg(p_retailprice) AS mean FROM part GROUP BY 1")
