@@ -76,8 +76,8 @@ def tidy(text: str) -> str:
 def run_within(spark: SparkSession, df: DataFrame, seconds: float) -> list | None:
     """The rows, or None where the query takes longer: its jobs are then cancelled by their tag."""
     tag = f"askweave-{uuid.uuid4().hex}"
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
-    spark.addTag(tag)
+    timer = threading.Timer(seconds, lambda: spark.sparkContext.cancelJobsWithTag(tag))
+    spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
         return df.collect()
@@ -85,7 +85,7 @@ def run_within(spark: SparkSession, df: DataFrame, seconds: float) -> list | Non
         return None
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
 def choose(engine: Engine, candidates: list[str], shorthand: bool = True, seconds: float = TIMEOUT_S) -> tuple[int, str]:
