@@ -11,6 +11,8 @@ The limit: two lists differ by at most a quarter of the longer list's words.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,16 +70,20 @@ def _grams(words: Column, key: Column) -> Column:
     return F.array_distinct(F.when(n > 0, pairs).otherwise(F.array(F.xxhash64(key, F.lit("\x1d")))))
 
 
-def near_pairs(train: DataFrame, evaluation: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_pairs(train: DataFrame, evaluation: DataFrame, words: Callable[[Column], Column] = lambda w: w, broadcast_keys: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of classes within the limit, and the members of the training and the evaluation classes.
 
-    Both inputs have ``_id``, ``_key`` (a binary digest of what must be equal) and ``_words`` (array of strings). Rows with a null in
-    any of them have no partner. Returns (``_t``, ``_e``, ``containment``, ``distance``), then twice (``_class``, ``_id``). Repeated rows give one pair.
+    Both inputs have ``_id``, ``_key`` (a binary digest of what must be equal) and ``_words``, of which ``words`` makes an array of strings.
+    Rows with a null in any of them have no partner. Training rows whose key no evaluation row has are dropped before their
+    words are made: by a broadcast of key hashes where there are ``broadcast_keys`` at most, else by a shuffled join.
+    Returns (``_t``, ``_e``, ``containment``, ``distance``), then twice (``_class``, ``_id``). Repeated rows give one pair.
     """
     tables = SharedTables(train.sparkSession, "overlap")
-    e = tables.write(_with_class(evaluation))
-    keys = e.select("_key").distinct()
-    t = tables.write(_with_class(train.join(keys, "_key", "left_semi")))
+    e = tables.write(_with_class(evaluation.select("_id", "_key", words(F.col("_words")).alias("_words"))))
+    keys = tables.write(e.select(F.xxhash64("_key").alias("_hash")).distinct())
+    near = F.broadcast(keys) if keys.count() <= broadcast_keys else keys
+    t = train.select("_id", "_key", "_words").filter("_key is not null").withColumn("_hash", F.xxhash64("_key")).join(near, "_hash", "left_semi")
+    t = tables.write(_with_class(t.select("_id", "_key", words(F.col("_words")).alias("_words"))))
     e_classes, t_classes = tables.write(_classes(e)), tables.write(_classes(t))
     lost = (2 * F.floor(F.size("_words") / 3)).cast("int")
     e_grams = e_classes.select(F.col("_class").alias("_e"), lost.alias("_lost"), F.explode(_grams(F.col("_words"), F.col("_key"))).alias("_g"))
@@ -100,9 +106,9 @@ def near_pairs(train: DataFrame, evaluation: DataFrame) -> tuple[DataFrame, Data
     return tables.write(pairs), t.select("_class", "_id").distinct(), e.select("_class", "_id").distinct()
 
 
-def overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
+def overlaps(train: DataFrame, evaluation: DataFrame, words: Callable[[Column], Column] = lambda w: w, broadcast_keys: int = 1_000_000) -> DataFrame:
     """All record pairs (``_t``, ``_e``) of :func:`near_pairs`, with containment and distance."""
-    pairs, t, e = near_pairs(train, evaluation)
+    pairs, t, e = near_pairs(train, evaluation, words, broadcast_keys)
     t = t.select(F.col("_class").alias("_t"), F.col("_id").alias("_tid"))
     e = e.select(F.col("_class").alias("_e"), F.col("_id").alias("_eid"))
     return pairs.join(e, "_e").join(t, "_t").select(F.col("_tid").alias("_t"), F.col("_eid").alias("_e"), "containment", "distance")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askweave.functions.text import compact, db_key, words
@@ -20,20 +20,24 @@ CAPACITY, PIECE_TOKENS, PIECE_OVERLAP, LEAK_WORDS = 2048, 512, 32, 13
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
-def _keyed(df: DataFrame, *extra: str) -> DataFrame:
-    """``_id``, the digest of database and query, and the words of the question in the consistent form."""
+def _keyed(df: DataFrame) -> DataFrame:
+    """``_id``, the digest of database and query, and the question, of which :func:`_words` makes the words."""
     key = F.unhex(F.sha2(F.concat(db_key(F.col("db_id")), F.lit("\x1f"), query_key(F.col("query"))), 256))
-    return df.select(F.col("q_id").alias("_id"), key.alias("_key"), words(consistent_form(F.col("question"))).alias("_words"), *extra)
+    return df.select(F.col("q_id").alias("_id"), key.alias("_key"), F.col("question").alias("_words"))
+
+
+def _words(question: Column) -> Column:
+    return words(consistent_form(question))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(_keyed(table(spark, sf_dir, "train_spider")), _keyed(table(spark, sf_dir, "dev"))).select(F.col("_t").alias("train_q_id"), F.col("_e").alias("dev_q_id"))
+    return overlaps(_keyed(table(spark, sf_dir, "train_spider")), _keyed(table(spark, sf_dir, "dev")), _words).select(F.col("_t").alias("train_q_id"), F.col("_e").alias("dev_q_id"))
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps per evaluation split and source: pairs, evaluation records and the highest containment, without making all pairs."""
     train, dev = table(spark, sf_dir, "train_spider"), table(spark, sf_dir, "dev")
-    pairs, t, e = near_pairs(_keyed(train), _keyed(dev))
+    pairs, t, e = near_pairs(_keyed(train), _keyed(dev), _words)
     t = t.groupBy(F.col("_class").alias("_t")).agg(F.count(F.lit(1)).alias("_copies"))
     e = e.join(dev.select(F.col("q_id").alias("_id"), "split", "source"), "_id").select(F.col("_class").alias("_e"), "_id", "split", "source")
     per = pairs.join(t, "_t").groupBy("_e").agg(F.sum("_copies").alias("_pairs"), F.max("containment").alias("_most"))
