@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askweave.functions.question import filled_values, pattern_count, question_segments, question_tags, stripped_values
 from askweave.functions.sqltext import normalized, schema_names, skeleton
 from askweave.operators import linking, profiling, ranking
 from askweave.plans.engine import Engine
@@ -32,6 +33,36 @@ def schema_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.labels(table(spark, sf_dir, "preprocessed_dataset"))
 
 
+# -- questions ---------------------------------------------------------------------------------------------------
+
+
+def question_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of every training question with its tag."""
+    return table(spark, sf_dir, "train_spider").filter("question is not null").select("q_id", F.posexplode(question_tags("question")).alias("pos", "t")).select("q_id", "pos", "t.text", "t.tag")
+
+
+def question_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "train_spider").filter("question is not null").select("q_id", F.posexplode(question_segments("question")).alias("pos", "s")).select("q_id", "pos", "s.kind", "s.text")
+
+
+#: Patterns that tell the kind of a condition.
+PATTERNS = {"comparison": "$GR $SM _ than NUM", "over": "GR NUM", "under": "SM NUM", "between": "between NUM and NUM", "top": "top NUM", "superlative": "the JJS"}
+
+
+def question_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training questions in which each pattern stands, and how often."""
+    patterns = F.array(*(F.struct(F.lit(k).alias("pattern"), F.lit(v).alias("p")) for k, v in PATTERNS.items()))
+    each = table(spark, sf_dir, "train_spider").filter("question is not null").select("question", F.explode(patterns).alias("x")).select("x.pattern", pattern_count("question", "x.p").alias("n"))
+    return each.groupBy("pattern").agg(F.count(F.when(F.col("n") > 0, 1)).alias("questions"), F.sum("n").alias("places"))
+
+
+def fill_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training queries stripped of their literals, and filled again from their questions."""
+    bare = table(spark, sf_dir, "train_spider").filter("question is not null").select("q_id", "question", "query", stripped_values("query").alias("stripped"))
+    filled = bare.withColumn("filled", filled_values("stripped", "question"))
+    return filled.select("q_id", "stripped", "filled", (F.lower(normalized("filled")) == F.lower(normalized("query"))).alias("restored"))
+
+
 # -- profiles and catalog ------------------------------------------------------------------------------------------
 
 
@@ -179,7 +210,7 @@ def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_sql, sql_skeletons, schema_labels, profile_unique, profile_samples, profile_types, same_content, fk_closure, join_paths, bridge_tables, catalog_columns,
+        normalize_sql, sql_skeletons, schema_labels, question_tokens, question_parts, question_patterns, fill_values, profile_unique, profile_samples, profile_types, same_content, fk_closure, join_paths, bridge_tables, catalog_columns,
         value_index, value_match_exact, value_match_fuzzy, topk_tables, topk_columns, table_coverage, table_auc, table_focal_loss, training_tables, serialize,
         repair_names, select_candidate, exact_match, exec_match, best_checkpoint,
     )
