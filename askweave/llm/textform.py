@@ -41,15 +41,17 @@ FULLWIDTH = ((0xFF01, 0xFF60), (0xFFE0, 0xFFE6))
 #: What is counted in a text; a text with any count above zero did not have the consistent form for a reason of problem 6.
 KINDS = ("wide", "marks", "invisible", "spaces", "lookalikes")
 
-_HANGUL_S, _HANGUL_L, _HANGUL_V, _HANGUL_T = 0xAC00, 0x1100, 0x1161, 0x11A7
+_HANGUL_S, _HANGUL_V, _HANGUL_T = 0xAC00, 0x1161, 0x11A7
 
 
 class Tables:
-    """Lookup tables over all code points, built by rule from the Unicode data of the interpreter."""
+    """Lookup tables over all code points, filled by rule from the interpreter's Unicode data for those that have been met."""
 
     def __init__(self) -> None:
+        self.known = np.zeros(LIMIT, bool)
+        self.expands = np.zeros(LIMIT, bool)
         self.expand_len = np.ones(LIMIT, np.uint8)
-        self.expand_at = np.full(LIMIT, -1, np.int32)
+        self.expand_at = np.zeros(LIMIT, np.int32)
         self.ccc = np.zeros(LIMIT, np.uint8)
         self.joins = np.zeros(LIMIT, bool)  # may be the second half of a composition
         self.wordy = np.zeros(LIMIT, bool)
@@ -61,67 +63,59 @@ class Tables:
         self.wide = np.zeros(LIMIT, bool)
         self.sign = np.zeros(LIMIT, bool)  # compatibility sign for one Latin letter
         self.mark = np.zeros(LIMIT, bool)
-        pool: list[int] = []
-        pairs: list[tuple[int, int, int]] = []
         for lo, hi in MARK_BLOCKS:
             self.mark[lo : hi + 1] = True
         for lo, hi in FULLWIDTH:
             self.wide[lo : hi + 1] = True
         self.invisible[list(INVISIBLE)] = True
-        for c in (*range(0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)):
-            ch = chr(c)
-            cat = unicodedata.category(ch)
-            if cat == "Cn":
-                continue
-            self.ccc[c] = unicodedata.combining(ch)
-            if cat[0] in "LNM":
-                self.wordy[c] = True
-            if cat == "Zs" and c != 0x20:
-                self.space[c] = True
-            name = unicodedata.name(ch, "") if cat[0] == "L" or cat == "Nl" else ""
-            if cat[0] == "L":
-                if "LATIN" in name:
-                    self.latin[c] = True
-                else:
-                    self.foreign[c] = True
-            if _HANGUL_S <= c <= 0xD7A3:
-                continue
-            to = unicodedata.normalize("NFKD", ch)
-            if to != ch and not (to[0] == " " and len(to) > 1) and not self.space[c]:
-                self.expand_len[c], self.expand_at[c] = len(to), len(pool)
-                pool.extend(map(ord, to))
-                raw = unicodedata.decomposition(ch)
-                if raw.startswith("<") or " " not in raw:
-                    if "LIGATURE" in name and len(to) > 1:
-                        self.wide[c] = True
-                    if len(to) == 1 and to.isascii() and to.isalpha() and not self.wide[c]:
-                        self.sign[c] = True
-            raw = unicodedata.decomposition(ch)
-            if raw and raw[0] != "<" and " " in raw and unicodedata.normalize("NFC", ch) == ch:
-                a, b = (int(x, 16) for x in raw.split())
-                pairs.append((a, b, c))
-                self.joins[b] = True
         for a, b in LOOKALIKES.items():
             self.double[ord(a)] = ord(b)
-            self.foreign[ord(a)] = False
-        self.joins[_HANGUL_V : _HANGUL_V + 21] = True
-        self.joins[_HANGUL_T + 1 : _HANGUL_T + 28] = True
-        self.joins |= self.ccc > 0
-        self.pool = np.array(pool, np.int32)
-        keys = np.array([(a << 21) | b for a, b, _ in pairs], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_to = keys[order], np.array([c for _, _, c in pairs], np.int32)[order]
-        self.expands = self.expand_at >= 0
+        self.pool = np.zeros(0, np.int32)
+        self.composites: dict[int, int] = {}
+
+    def learn(self, points: np.ndarray) -> None:
+        """Fill the tables for all code points of a batch, and for those that they expand to."""
+        fresh, pool = np.unique(points[~self.known[points]]).tolist(), self.pool.tolist()
+        while fresh:
+            c = fresh.pop()
+            if not self.known[c]:
+                self.known[c] = True
+                fresh += self._fill(c, pool)
+        if len(pool) != len(self.pool):
+            self.pool = np.array(pool, np.int32)
+
+    def _fill(self, c: int, pool: list[int]) -> list[int]:
+        ch = chr(c)
+        cat = unicodedata.category(ch)
+        self.ccc[c] = unicodedata.combining(ch)
+        self.joins[c] = cat[0] == "M" or _HANGUL_V <= c < _HANGUL_V + 21 or _HANGUL_T < c < _HANGUL_T + 28
+        self.wordy[c] = cat[0] in "LNM"
+        self.space[c] = cat == "Zs" and c != 0x20
+        name = unicodedata.name(ch, "")
+        if cat[0] == "L":
+            self.latin[c] = "LATIN" in name
+            self.foreign[c] = "LATIN" not in name and not self.double[c]
+        to = unicodedata.normalize("NFKD", ch)
+        if to == ch or to[0] == " " and len(to) > 1 or self.space[c] or _HANGUL_S <= c <= 0xD7A3:
+            return []
+        self.expands[c], self.expand_len[c], self.expand_at[c] = True, len(to), len(pool)
+        pool.extend(map(ord, to))
+        raw = unicodedata.decomposition(ch)
+        if raw.startswith("<") or " " not in raw:
+            self.wide[c] |= "LIGATURE" in name and len(to) > 1
+            self.sign[c] = len(to) == 1 and to.isascii() and to.isalpha() and not self.wide[c]
+        return list(map(ord, to))
 
     def compose(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The composite of each pair, 0 where there is none."""
-        at = np.searchsorted(self.pair_keys, (a.astype(np.int64) << 21) | b)
-        at = np.minimum(at, len(self.pair_keys) - 1)
-        out = np.where(self.pair_keys[at] == ((a.astype(np.int64) << 21) | b), self.pair_to[at], 0)
-        lv = (a >= _HANGUL_L) & (a < _HANGUL_L + 19) & (b >= _HANGUL_V) & (b < _HANGUL_V + 21)
-        out = np.where(lv, _HANGUL_S + ((a - _HANGUL_L) * 21 + (b - _HANGUL_V)) * 28, out)
-        lvt = (a >= _HANGUL_S) & (a <= 0xD7A3) & ((a - _HANGUL_S) % 28 == 0) & (b > _HANGUL_T) & (b < _HANGUL_T + 28)
-        return np.where(lvt, a + (b - _HANGUL_T), out).astype(np.int32)
+        """The composite of each pair, 0 where there is none; each different pair is looked up once."""
+        pairs, back = np.unique((a.astype(np.int64) << 21) | b, return_inverse=True)
+        out = np.zeros(len(pairs), np.int32)
+        for i, key in enumerate(pairs.tolist()):
+            if key not in self.composites:
+                made = unicodedata.normalize("NFC", chr(key >> 21) + chr(key & 0x1FFFFF))
+                self.composites[key] = ord(made) if len(made) == 1 else 0
+            out[i] = self.composites[key]
+        return out[back]
 
 
 @lru_cache(1)
@@ -203,8 +197,10 @@ def _compose(points: np.ndarray, nul_flag: np.ndarray, t: Tables) -> tuple[np.nd
         c = points[pos]
         ccc = t.ccc[c].astype(np.int16)
         free = np.where(ccc > 0, adjacent[:n] | ((last[:n] < ccc) & (last[:n] > 0)), adjacent[:n]) & ~nul_flag[s]
-        made = np.where(free, t.compose(points[s], c), 0)
+        made = np.zeros(n, np.int32)
+        made[free] = t.compose(points[s][free], c[free])
         hit = made > 0
+        t.learn(made[hit])
         points[s[hit]] = made[hit]
         keep[pos[hit]] = False
         miss = ~hit
@@ -225,7 +221,7 @@ def consistent(values: pa.Array) -> tuple[pa.Array, dict[str, np.ndarray]]:
     counts = {k: np.zeros(n, np.int32) for k in KINDS}
     if not n or not len(points) or points.max() < 0x80:
         return values, counts
-    row = None
+    t.learn(points)
     odd = points >= 0x80
 
     def count(kind: str, flags: np.ndarray, rows: np.ndarray) -> None:
