@@ -12,6 +12,7 @@ from askweave.plans.engine import Engine
 from askweave.plans.joins import all_paths, bridges, closure
 from askweave.plans.selection import best_checkpoints, choose, exact_matches, repair, same_result
 from askweave.sources.catalog import Catalog, catalog_frames
+from askweave.sources.files import star_columns
 from askweave.sources.tables import table
 
 STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -105,6 +106,10 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_frames(spark, Catalog.star(spark, sf_dir))["cat_columns"]
 
 
+def star_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star_columns(table(spark, sf_dir, "spider_tables"))
+
+
 # -- value links ---------------------------------------------------------------------------------------------------
 
 
@@ -210,7 +215,7 @@ def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_sql, sql_skeletons, schema_labels, question_tokens, question_parts, question_patterns, fill_values, profile_unique, profile_samples, profile_types, same_content, fk_closure, join_paths, bridge_tables, catalog_columns,
+        normalize_sql, sql_skeletons, schema_labels, question_tokens, question_parts, question_patterns, fill_values, profile_unique, profile_samples, profile_types, same_content, fk_closure, join_paths, bridge_tables, catalog_columns, star_catalog,
         value_index, value_match_exact, value_match_fuzzy, topk_tables, topk_columns, table_coverage, table_auc, table_focal_loss, training_tables, serialize,
         repair_names, select_candidate, exact_match, exec_match, best_checkpoint,
     )
@@ -264,6 +269,11 @@ ORACLES = {
           ('lineitem', 'l_orderkey', 'orders', 'o_orderkey'), ('lineitem', 'l_partkey', 'part', 'p_partkey'), ('lineitem', 'l_suppkey', 'supplier', 's_suppkey'), ('events', 'user_id', 'customer', 'c_custkey')),
         r AS (SELECT * FROM e UNION SELECT r.a, r.ac, e.b, e.bc FROM r JOIN e ON r.b = e.a AND r.bc = e.ac)
         SELECT a AS src_table, ac AS src_column, b AS dst_table, bc AS dst_column FROM r""",
+    "star_catalog": """
+        WITH t AS (SELECT catalog_id, generate_subscripts(table_names_original, 1) - 1 AS table_idx FROM spider_tables),
+        c AS (SELECT catalog_id, unnest(column_names_original) AS c, generate_subscripts(column_names_original, 1) - 1 AS old_pos FROM spider_tables),
+        u AS (SELECT catalog_id, table_idx, '*' AS column_name, NULL AS old_pos FROM t UNION ALL SELECT catalog_id, c.table_idx, c.name, old_pos FROM c JOIN t USING (catalog_id) WHERE old_pos > 0 AND c.table_idx = t.table_idx)
+        SELECT catalog_id, CAST(row_number() OVER (PARTITION BY catalog_id ORDER BY table_idx, old_pos NULLS FIRST) - 1 AS INTEGER) AS new_pos, CAST(table_idx AS INTEGER) AS table_idx, column_name, CAST(old_pos AS INTEGER) AS old_pos FROM u""",
     "bridge_tables": "SELECT 'lineitem' AS table_name",
     "same_content": f"""
         WITH v AS (SELECT DISTINCT table_name || '.' || column_name AS c, value FROM ({_unpivot()}) WHERE column_name IN ('n_nationkey', 'n_regionkey', 'r_regionkey', 'c_custkey', 'c_nationkey', 's_suppkey', 's_nationkey', 'o_orderkey', 'o_custkey') AND value IS NOT NULL),
