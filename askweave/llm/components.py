@@ -2,8 +2,8 @@
 
 Connected components by frontier breadth-first search from many seeds at once. Seeds are the nodes whose hash is below
 those of all their neighbours, so every component has one. Adjacency is written once, bucketed by node (hubs by node and a
-salt), and each round joins only the frontier to it. A node reached by several labels takes the smallest; the others
-collide with it and become links of a small graph of labels, which is contracted in the same way until it fits one task.
+salt), and each round joins only the frontier to it. A node reached by several labels takes the smallest. Labels that met on an
+edge are the links of a small graph, which is contracted in the same way until it fits one task.
 Components are then laid out in the order of their hashes and cut at the proportions of the splits.
 """
 
@@ -69,45 +69,35 @@ def components(edges: DataFrame, tables: SharedTables | None = None, hub: int =
     """
     spark = edges.sparkSession
     tables = tables or SharedTables(spark, "components")
-    edges = edges.select("a", "b").filter("a is not null and b is not null")
-    loops = edges.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
-    both = edges.filter("a <> b")
-    both = tables.write(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = tables.write(edges.select("a", "b").filter("a is not null and b is not null").distinct())
+    apart = edges.filter("a <> b")
+    both = tables.write(apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     name, hubs = _bucketed(both, tables, hub)
     adjacency = spark.table(name)
+    hubs = None if hubs.isEmpty() else F.broadcast(hubs.withColumnRenamed("a", "node"))
     nodes = both.groupBy("a").agg(F.min(_rank(F.col("b"))).alias("least"))
     frontier = visited = tables.write(nodes.filter(_rank(F.col("a")) < F.col("least")).select(F.col("a").alias("node"), F.col("a").alias("label")))
-    collisions: list[DataFrame] = []
-    pieces = [visited]
     while not frontier.isEmpty():
-        ahead = frontier.join(F.broadcast(hubs.withColumnRenamed("a", "node")), "node", "left")
-        ahead = ahead.select("node", "label", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt"))
-        reached = adjacency.join(ahead, ["node", "salt"]).select(F.col("to").alias("node"), "label").distinct()
-        known = visited.select("node", F.col("label").alias("owner"))
-        # One row per reached node: its labels' least, and its owner if it had one; the rest collide with that.
-        met = tables.write(reached.join(known, "node", "left"))
-        least = met.groupBy("node").agg(F.coalesce(F.max("owner"), F.min("label")).alias("first"), F.max("owner").alias("owner"))
-        least = tables.write(least)
-        collisions.append(tables.write(met.select("node", "label").join(least.select("node", "first"), "node").filter("label <> first").select(F.least("label", "first").alias("a"), F.greatest("label", "first").alias("b")).distinct()))
-        frontier = tables.write(least.filter("owner is null").select("node", F.col("first").alias("label")))
-        pieces.append(frontier)
-        visited = pieces[0]
-        for p in pieces[1:]:
-            visited = visited.unionByName(p)
-        tables.drop(met)
-    links = None
-    for c in collisions:
-        links = c if links is None else links.unionByName(c)
+        if hubs is None:
+            ahead = frontier.withColumn("salt", F.lit(0))
+        else:
+            ahead = frontier.join(hubs, "node", "left").select("node", "label", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt"))
+        reached = adjacency.join(ahead, ["node", "salt"]).groupBy(F.col("to").alias("node")).agg(F.min("label").alias("label"))
+        frontier = tables.write(reached.join(visited.select("node"), "node", "left_anti"))
+        visited = visited.unionByName(frontier)
+    visited = tables.write(visited)
+    # Where two labels met: every edge once, with the labels of its ends.
+    ends = visited.select(F.col("node").alias("a"), F.col("label").alias("x")), visited.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    met = apart.join(ends[0], "a").join(ends[1], "b").filter("x <> y")
+    links = tables.write(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    count = links.count()
     out = visited
-    if links is not None:
-        links = tables.write(links.distinct())
-        count = links.count()
-        if count:
-            merged = tables.write(links.coalesce(1).mapInPandas(_merge_small, "node string, label string") if count <= SMALL else components(links, tables, hub))
-            out = visited.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    if count:
+        merged = tables.write(links.coalesce(1).mapInPandas(_merge_small, "node string, label string") if count <= SMALL else components(links, tables, hub))
+        out = visited.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
     spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files stay until the shared folder is cleared
-    out = out.unionByName(loops.distinct().join(out.select("node"), "node", "left_anti"))
-    return tables.write(out)
+    loops = edges.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
+    return tables.write(out.unionByName(loops.join(out.select("node"), "node", "left_anti")))
 
 
 class RelatedSplits:
