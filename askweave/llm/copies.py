@@ -150,6 +150,8 @@ class Copies:
         keyed = canon.select("_id", F.when(F.col("_may"), F.concat_ws("\x1f", *parts)).alias("_key"))
         keyed = keyed.select("_id", F.when(F.col("_key").isNotNull(), F.xxhash64("_key")).alias("_h"), F.unhex(F.sha2("_key", 256)).alias("_digest"))
         self.tables = SharedTables(df.sparkSession, "copies")
+        # Canonical forms are made once; what is kept of them is 48 bytes a record.
+        keyed = self.tables.write(keyed)
         flagged = possible_repeats(keyed, "_h", self.tables, **filter_options)
         self.records = self.tables.write(flagged.select("_id", F.when(F.col("_maybe"), F.col("_digest")).alias("_digest")))
         self.maybe = self.records.filter("_digest is not null")
