@@ -17,5 +17,8 @@ def words(text: Column) -> Column:
 
 
 def compact(text: Column) -> Column:
-    """Text without whitespace, letter case, punctuation and symbols; a point between two digits stays."""
-    return F.regexp_replace(F.lower(text), r"(?<!\p{Nd})\.|\.(?!\p{Nd})|[\s\p{Z}\p{P}\p{S}\p{Cc}&&[^.]]", "")
+    """Text without whitespace, letter case, punctuation and backticks or free accents; a point between two digits stays.
+
+    Other signs, such as those of comparison and currency, count.
+    """
+    return F.regexp_replace(F.lower(text), r"(?<!\p{Nd})\.|\.(?!\p{Nd})|[\s\p{Z}\p{P}\p{Sk}\p{Cc}&&[^.]]", "")

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from askweave.functions.arrow import row_slices
+
 
 @dataclass
 class Leaf:
@@ -131,7 +133,7 @@ def schema_leaves(df: DataFrame, id_col: str, nested_col: str, names: str = "col
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in row_slices(whole)):
             if b.num_rows:
                 leaves = shred(_one(b.column(1)))
                 row, t, c, v = leaf_positions(leaves[f"[].{names}[]"], leaves[f"[].{contents}[][]"])
@@ -152,9 +154,7 @@ def flat_table(df: DataFrame, id_col: str, nested_col: str, fields: dict[str, st
     depth = len(positions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (x for whole in batches for x in row_slices(whole)):
             leaves = shred(_one(b.column(1)))
             parts = []
             for path in fields.values():

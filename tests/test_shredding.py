@@ -56,3 +56,17 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], f"rec long, nested array<{ENTRY}>")
     assert schema_leaves(df, "rec", "nested").count() == 0
     assert flat_table(df, "rec", "nested", {"name": "[].table_name_original"}, ["t"]).count() == 0
+
+
+def test_slices_cover_all_rows():
+    from askweave.functions.arrow import row_slices, text_slices
+
+    texts = pa.array(["a" * n for n in (0, 5, 50, 3, 0, 200, 1)] + [None], pa.string())
+    for values in (texts, texts.slice(2), texts.cast(pa.large_string())):
+        for limit in (1, 10, 60, 10_000):
+            runs = list(text_slices(values, limit))
+            assert [a for a, _ in runs] == [sum(n for _, n in runs[:k]) for k in range(len(runs))] and sum(n for _, n in runs) == len(values)
+            assert all(n == 1 or sum(len(x or "") for x in values.slice(a, n).to_pylist()) <= limit for a, n in runs)
+    assert list(text_slices(texts.slice(0, 0))) == []
+    batch = pa.RecordBatch.from_arrays([texts], ["t"])
+    assert sum(x.num_rows for x in row_slices(batch, 20)) == len(texts)
