@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askweave.functions.arrow import text_slices
 from askweave.llm.textform import LIMIT, code_points
 
 SPACE, OTHER, WORD, IDEOGRAPH = 0, 1, 2, 3
@@ -114,9 +115,7 @@ def balanced_cuts(strengths: np.ndarray, n: int, limit: int, overlap: int, reach
 
 def _split(limit: int, overlap: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (x.slice(a, n) for x in batches for a, n in text_slices(x.column(1))):
             values = b.column(1)
             points, nul, starts, ends, first = token_bounds(values)
             sizes = np.diff(first)

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askweave.functions.arrow import text_slices
+
 LIMIT = 0x110000
 #: Code points without a visible mark that are dropped.
 INVISIBLE = (0x00AD, 0x034F, 0x061C, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0xFEFF)
@@ -268,16 +270,24 @@ def consistent(values: pa.Array) -> tuple[pa.Array, dict[str, np.ndarray]]:
 _STRUCT = T.StructType([T.StructField("form", T.StringType()), *(T.StructField(k, T.IntegerType()) for k in KINDS)])
 
 
+def _in_slices(values: pa.Array) -> tuple[pa.Array, dict[str, np.ndarray]]:
+    """:func:`consistent` in slices of bounded size."""
+    parts = [consistent(values.slice(a, n)) for a, n in text_slices(values)]
+    if len(parts) < 2:
+        return parts[0] if parts else consistent(values)
+    return pa.concat_arrays([p[0] for p in parts]), {k: np.concatenate([p[1][k] for p in parts]) for k in KINDS}
+
+
 @F.arrow_udf(_STRUCT)
 def consistent_struct(values: pa.Array) -> pa.Array:
-    form, counts = consistent(values)
+    form, counts = _in_slices(values)
     return pa.StructArray.from_arrays([form, *(pa.array(counts[k], pa.int32()) for k in KINDS)], ["form", *KINDS])
 
 
 @F.arrow_udf(T.StringType())
 def consistent_form(values: pa.Array) -> pa.Array:
     """The consistent form as a column function."""
-    return consistent(values)[0]
+    return _in_slices(values)[0]
 
 
 def normalise(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

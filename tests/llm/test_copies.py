@@ -30,8 +30,8 @@ def test_canonical_query(a, b, same):
 
 
 def test_compact_question(spark):
-    df = spark.createDataFrame([("What is 3.5 , then?",), ("WHAT IS 3.5 THEN",), ("what is 35 then",), ("a.b",), ("",), (None,)], "q string")
-    assert [r[0] for r in df.select(compact(F.col("q"))).collect()] == ["whatis3.5then", "whatis3.5then", "whatis35then", "ab", "", None]
+    df = spark.createDataFrame([("What is 3.5 , then?",), ("WHAT IS 3.5 THEN",), ("what is 35 then",), ("a.b",), ("`a` > $5!",), ("",), (None,)], "q string")
+    assert [r[0] for r in df.select(compact(F.col("q"))).collect()] == ["whatis3.5then", "whatis3.5then", "whatis35then", "ab", "a>$5", "", None]
 
 
 def _rows():
