@@ -102,3 +102,20 @@ def fuzzy_matches(questions: DataFrame, index: DataFrame, keep: int = 2, thresho
     out = met.select("q_id", "db", "cell_value", "score").join(index, ["db", "cell_value"]).filter(~F.col("column_name").contains("name") | (F.col("score") >= 1))
     best = Window.partitionBy("q_id", "table_name", "column_name").orderBy(F.desc("score"), F.desc(F.length("cell_value")), "cell_value")
     return out.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep).select("q_id", "table_name", "column_name", "cell_value", F.round("score", 6).alias("score"), "place")
+
+
+def schema_links(questions: DataFrame, items: DataFrame) -> DataFrame:
+    """``q_id``, ``table_name``, ``column_name`` (null for the table itself) and ``tier`` of the schema items a question speaks of.
+
+    ``items`` has ``db``, ``table_name``, ``column_name`` (null for tables) and ``item_words``. Plural endings aside: tier 3 where the name's words
+    stand in a row, 2 where all of them stand somewhere, 1 where one of four letters and more does. Questions and items meet on shared
+    words within their database only.
+    """
+    stem = lambda a: F.transform(a, lambda w: F.regexp_replace(w, "s$", ""))
+    q = questions.filter("question is not null").select("q_id", db_key(F.col("db_id")).alias("db"), stem(words(F.col("question"))).alias("_q"))
+    i = items.select("db", "table_name", "column_name", stem(F.col("item_words")).alias("_i")).filter(F.size("_i") > 0)
+    met = q.withColumn("w", F.explode(F.array_distinct("_q"))).join(i.withColumn("w", F.explode(F.array_distinct("_i"))), ["db", "w"])
+    best = met.groupBy("q_id", "db", "table_name", "column_name").agg(F.any_value("_q").alias("_q"), F.any_value("_i").alias("_i"), F.max(F.length("w")).alias("_longest"))
+    said = lambda a: F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" "))
+    tier = F.when(F.contains(said(F.col("_q")), said(F.col("_i"))), 3).when(F.size(F.array_except("_i", "_q")) == 0, 2).when(F.col("_longest") >= 4, 1)
+    return best.select("q_id", "table_name", "column_name", tier.alias("tier")).filter("tier is not null")

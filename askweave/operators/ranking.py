@@ -121,3 +121,36 @@ def labels(preprocessed: DataFrame) -> DataFrame:
     c = t.select("rec_id", "_toks", "table_pos", F.lower("t.table_name_original").alias("tn"), F.posexplode("t.column_names_original").alias("column_pos", "cn")).filter("cn is not null")
     bare = F.transform("_toks", lambda x: F.regexp_replace(x, r"^\w+\.", ""))
     return c.select("rec_id", "table_pos", "column_pos", F.coalesce(F.array_contains("_toks", F.col("tn")), F.lit(False)).cast("int").alias("table_label"), F.coalesce(F.array_contains(bare, F.lower("cn")), F.lit(False)).cast("int").alias("column_label"))
+
+
+def report(scores: DataFrame, prob: str = "prob", label: str = "label", threshold: float = 0.5) -> DataFrame:
+    """Precision, recall and F1 of the items at or above a threshold; null where nothing is predicted, or nothing used."""
+    hit, used = F.col(prob) >= threshold, F.col(label) == 1
+    n = scores.agg(F.count(F.when(hit & used, 1)).alias("tp"), F.count(F.when(hit & ~used, 1)).alias("fp"), F.count(F.when(~hit & used, 1)).alias("fn"))
+    precision, recall = F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))
+    f1 = 2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0))
+    return n.select("tp", "fp", "fn", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
+def windows(sizes: Column, first: Column, limit: int = 512) -> Column:
+    """The window of each item of an array of sizes: items in order, each window taking ``first`` (the question) and as many as fit ``limit``.
+
+    An item too large for any window has one of its own. Every item is in exactly one window, so all are scored in one pass.
+    """
+    start = F.struct(F.lit(0).alias("w"), first.cast("int").alias("used"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = (s["used"] + x <= limit) | (s["used"] == first.cast("int"))
+        w = F.when(fits, s["w"]).otherwise(s["w"] + 1)
+        return F.struct(w.alias("w"), F.when(fits, s["used"] + x).otherwise(first.cast("int") + x).alias("used"), F.concat(s["out"], F.array(w)).alias("out"))
+
+    return F.aggregate(sizes, start, step, lambda s: s["out"])
+
+
+def input_windows(preprocessed: DataFrame, limit: int = 512) -> DataFrame:
+    """``rec_id``, ``table_pos``, ``window`` and ``size`` (words and signs) of each table's text when a record is scored in windows of ``limit``."""
+    count = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+|[^\s\p{L}\p{N}])"), 1))
+    texts = F.transform("db_schema", lambda t: F.concat_ws(" ", t["table_name_original"], t["column_names_original"], F.flatten(F.filter(t["db_contents"], lambda v: v.isNotNull()))))
+    own = preprocessed.select("rec_id", F.transform(texts, count).alias("_s"), count(F.coalesce("question", F.lit(""))).alias("_q")).filter("_s is not null")
+    own = own.withColumn("_w", windows(F.col("_s"), F.col("_q"), limit))
+    return own.select("rec_id", F.posexplode(F.arrays_zip("_w", "_s")).alias("table_pos", "x")).select("rec_id", "table_pos", F.col("x._w").alias("window"), F.col("x._s").alias("size"))

@@ -11,7 +11,7 @@ from askweave.operators import linking, profiling, ranking
 from askweave.plans.engine import Engine
 from askweave.plans.joins import all_paths, bridges, closure
 from askweave.plans.selection import best_checkpoints, choose, exact_matches, repair, same_result
-from askweave.sources.catalog import Catalog, catalog_frames
+from askweave.sources.catalog import STAR_FOREIGN, Catalog, catalog_frames
 from askweave.sources.files import star_columns
 from askweave.sources.tables import table
 
@@ -169,6 +169,36 @@ def serialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.serialised(table(spark, sf_dir, "preprocessed_dataset"))
 
 
+def table_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.report(_labelled(spark, sf_dir))
+
+
+def input_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.input_windows(table(spark, sf_dir, "preprocessed_dataset"), 128)
+
+
+def schema_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = ranking.schema_items(table(spark, sf_dir, "spider_tables"))
+    columns = items.select("db", "table_name", "column_name", ranking.name_words(F.col("column_name")).alias("item_words"))
+    tables = items.select("db", "table_name", F.lit(None).cast("string").alias("column_name"), ranking.name_words(F.col("table_name")).alias("item_words")).distinct()
+    return linking.schema_links(table(spark, sf_dir, "train_spider"), columns.unionByName(tables))
+
+
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column names in words, without their table's name in front where something is left."""
+    items = ranking.schema_items(table(spark, sf_dir, "spider_tables"))
+    full, own = F.array_join(ranking.name_words(F.col("column_name")), " "), F.regexp_replace(F.array_join(ranking.name_words(F.col("table_name")), " "), "s$", "")
+    return items.select("db", "table_pos", "column_pos", F.when(full.startswith(F.concat(own, F.lit(" "))), F.substring(full, F.length(own) + 2, F.length(full))).otherwise(full).alias("display_name"))
+
+
+def unique_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign keys that are in fact unique: one child at most for each parent."""
+    catalog = Catalog.star(spark, sf_dir)
+    keys = spark.createDataFrame(list(catalog.foreign), "table_name string, column_name string, dst_table string, dst_column string")
+    children = {t: table(spark, sf_dir, t).select(*{f[1] for f in catalog.foreign if f[0] == t}) for t in {f[0] for f in catalog.foreign}}
+    return profiling.uniqueness(profiling.distinct_values(children)).join(F.broadcast(keys), ["table_name", "column_name"]).select("table_name", "column_name", "dst_table", "is_unique")
+
+
 # -- selection and evaluation --------------------------------------------------------------------------------------
 
 #: Question number, and candidates from best to worst.
@@ -216,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_sql, sql_skeletons, schema_labels, question_tokens, question_parts, question_patterns, fill_values, profile_unique, profile_samples, profile_types, same_content, fk_closure, join_paths, bridge_tables, catalog_columns, star_catalog,
-        value_index, value_match_exact, value_match_fuzzy, topk_tables, topk_columns, table_coverage, table_auc, table_focal_loss, training_tables, serialize,
+        value_index, value_match_exact, value_match_fuzzy, topk_tables, topk_columns, table_coverage, table_auc, table_focal_loss, training_tables, serialize, table_report, input_windows, schema_links, display_names, unique_foreign_keys,
         repair_names, select_candidate, exact_match, exec_match, best_checkpoint,
     )
 }
@@ -246,6 +276,14 @@ _ITEMS = """
     tabs AS (SELECT DISTINCT db, table_pos, table_name FROM items)"""
 
 
+def _plain(name: str) -> str:
+    return f"regexp_extract_all(lower(regexp_replace(regexp_replace({name}, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'), '_', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _words(name: str) -> str:
+    return f"list_transform({_plain(name)}, lambda w: regexp_replace(w, 's$', ''))"
+
+
 def _score(name: str) -> str:
     own = f"list_distinct(list_transform(regexp_extract_all(lower(regexp_replace(regexp_replace({name}, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'), '_', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+'), lambda w: regexp_replace(w, 's$', '')))"
     return f"round(coalesce(len(list_intersect(qw, {own})) / nullif(len({own}), 0), 0.0), 4)"
@@ -310,6 +348,20 @@ ORACLES = {
               THEN ' ( ' || array_to_string(list_filter(t.db_contents[i], lambda v: v IS NOT NULL AND trim(v) <> ''), ' , ') || ' )' ELSE '' END), lambda x: x IS NOT NULL), ' , ')), lambda x: x IS NOT NULL),
           list_filter(list_transform(coalesce(fk, []), lambda f: lower(f.source_table_name_original || '.' || f.source_column_name_original || ' = ' || f.target_table_name_original || '.' || f.target_column_name_original)), lambda x: x IS NOT NULL)), ' | ') AS input_sequence
         FROM preprocessed_dataset""",
+    "table_report": _LABELLED + """,
+        n AS (SELECT count(*) FILTER (prob >= 0.5 AND label = 1) AS tp, count(*) FILTER (prob >= 0.5 AND label = 0) AS fp, count(*) FILTER (prob < 0.5 AND label = 1) AS fn FROM lab)
+        SELECT tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM n""",
+    "schema_links": _ITEMS + f""",
+        al AS (SELECT db, table_name, column_name, {_words('column_name')} AS iw FROM items UNION ALL SELECT DISTINCT db, table_name, NULL, {_words('table_name')} FROM items),
+        q2 AS (SELECT q_id, lower(trim(db_id)) AS db, list_transform(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+'), lambda w: regexp_replace(w, 's$', '')) AS qs FROM train_spider WHERE question IS NOT NULL),
+        j AS (SELECT DISTINCT q_id, table_name, column_name, qs, iw FROM q2 JOIN al USING (db) WHERE len(list_intersect(qs, iw)) > 0),
+        t AS (SELECT q_id, table_name, column_name, CASE WHEN contains(' ' || array_to_string(qs, ' ') || ' ', ' ' || array_to_string(iw, ' ') || ' ') THEN 3 WHEN list_has_all(qs, iw) THEN 2
+          WHEN list_max(list_transform(list_intersect(qs, iw), lambda w: length(w))) >= 4 THEN 1 END AS tier FROM j)
+        SELECT * FROM t WHERE tier IS NOT NULL""",
+    "display_names": _ITEMS + f""",
+        d AS (SELECT db, table_pos, column_pos, array_to_string({_plain('column_name')}, ' ') AS f, regexp_replace(array_to_string({_plain('table_name')}, ' '), 's$', '') AS o FROM items)
+        SELECT db, table_pos, CAST(column_pos AS INTEGER) AS column_pos, CASE WHEN starts_with(f, o || ' ') THEN substring(f, length(o) + 2) ELSE f END AS display_name FROM d""",
+    "unique_foreign_keys": " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{p}' AS dst_table, count(DISTINCT {c}) = count({c}) AS is_unique FROM {t}" for t, c, p, _ in STAR_FOREIGN),
     "repair_names": "SELECT * FROM (VALUES (0, 'select nation.n_name from nation'), (1, 'select nation.n_name from customer'), (2, 'select orders.o_totalprice from orders'), (3, 'select supplier.s_acctbal from supplier where supplier.s_name = ''x.y''')) t(id, repaired)",
     "exec_match": "SELECT * FROM (VALUES (0, true), (1, true), (2, false)) t(id, matches)",
     "best_checkpoint": "SELECT * FROM (VALUES ('em', 'c3', 0.72, 0.76), ('ex', 'c4', 0.69, 0.80), ('sum', 'c4', 0.69, 0.80)) t(goal, ckpt, em, ex)",

@@ -119,3 +119,11 @@ def test_catalog_row():
     row = {"table_names_original": ["A", "B"], "column_names_original": [{"table_idx": -1, "name": "*"}, {"table_idx": 0, "name": "Id"}, {"table_idx": 1, "name": None}, {"table_idx": 9, "name": "x"}, {"table_idx": 1, "name": "a_id"}], "column_types": ["text", "number"], "primary_keys": [1, 3], "foreign_keys": [{"src": 4, "dst": 1}, {"src": 2, "dst": 1}, None]}
     c = Catalog.of_row(row)
     assert c.tables == {"a": {"id": "double"}, "b": {"a_id": "string"}} and c.primary == {"a": "id"} and c.foreign == (("b", "a_id", "a", "id"),)
+
+
+def test_windows_and_report(spark):
+    df = spark.createDataFrame([([100, 300, 200, 600, 50], 50), ([], 5), (None, 5)], "s array<int>, q int")
+    assert [r[0] for r in df.select(ranking.windows(F.col("s"), F.col("q"), 512)).collect()] == [[0, 0, 1, 2, 3], [], None]
+    scores = spark.createDataFrame([(0.9, 1), (0.6, 0), (0.2, 1), (0.1, 0)], "prob double, label int")
+    assert tuple(ranking.report(scores).collect()[0]) == (1, 1, 1, 0.5, 0.5, 0.5)
+    assert tuple(ranking.report(scores.limit(0)).collect()[0])[3:] == (None, None, None)
