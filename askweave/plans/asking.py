@@ -8,6 +8,7 @@ open, the catalog's order settles.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -67,9 +68,9 @@ def tokenize(question: str) -> list[str]:
     return [t if t[0] in "'\"" else t.lower() for t in re.findall(r"'[^']*'|\"[^\"]*\"|\d+(?:\.\d+)?|[^\W\d_]+", question)]
 
 
-def link(engine: Engine, question: str) -> Reading:
-    """Longest links first; a word belongs to one link. Quoted texts and capitals are looked up in all text columns in one job."""
-    catalog, tokens = engine.catalog, tokenize(question)
+def link(catalog: Catalog, question: str, find: Callable[[str], list[tuple[str, str]]]) -> Reading:
+    """Longest links first; a word belongs to one link. ``find`` gives the columns that hold a quoted text."""
+    tokens = tokenize(question)
     out, taken = Reading(tokens), set()
     names: dict[str, tuple[str, object]] = {}
     for t in catalog.tables:
@@ -77,17 +78,19 @@ def link(engine: Engine, question: str) -> Reading:
     names |= {w: ("table", t) for w, t in STAR_TABLES.items() if t in catalog.tables}
     for t, cs in catalog.tables.items():
         for c in cs:
-            names.setdefault(catalog.words.get(f"{t}.{c}", c).replace("_", " "), ("column", [(t, c)]))
+            owners = names.setdefault(catalog.words.get(f"{t}.{c}", c).replace("_", " "), ("column", []))
+            if owners[0] == "column":
+                owners[1].append((t, c))
     for w, cs in STAR_WORDS.items():
         own = [(t, c) for c in cs for t in catalog.tables if c in catalog.tables[t]]
         if own:
             names[w] = ("column", own)
     for value in (t[1:-1] for t in tokens if t[0] in "'\""):
         place = tokens.index(next(t for t in tokens if t[0] in "'\"" and t[1:-1] == value))
-        out.links.append(Link(place, place + 1, "value", (value, find_value(engine, value))))
+        out.links.append(Link(place, place + 1, "value", (value, find(value))))
         taken.add(place)
     names = {" ".join(map(_singular, w.split())): what for w, what in names.items()}
-    for size in (3, 2, 1):
+    for size in (4, 3, 2, 1):
         for i in range(len(tokens) - size + 1):
             if any(k in taken for k in range(i, i + size)):
                 continue
@@ -116,104 +119,163 @@ def find_value(engine: Engine, value: str) -> list[tuple[str, str]]:
     return [(r["t"], r["c"]) for r in reduce(DataFrame.unionByName, parts).collect()] if parts else []
 
 
-def shorthand_of(engine: Engine, question: str) -> tuple[str, Options]:
-    """The shorthand that a question stands for."""
-    catalog, r = engine.catalog, link(engine, question)
-    text = " ".join(r.tokens)
-    tables = r.of("table")
-    if not tables and not r.of("column"):
-        raise ValueError("the question names no table and no column")
-    named = [x.what for x in tables]
-
-    def column(x: Link) -> tuple[str, str]:
-        """Of several columns that of the table named nearest, else of any named table, else the first."""
-        near = sorted((t for t in tables if id(t) not in used), key=lambda t: min(abs(t.start - x.end), abs(x.start - t.end)))
+class Reader:
+    """One question over one catalog: links first, then conditions in their order, then what is shown."""
+
+    def __init__(self, catalog: Catalog, question: str, find: Callable[[str], list[tuple[str, str]]]):
+        self.catalog, self.r = catalog, link(catalog, question, find)
+        self.tables, self.columns, self.numbers, self.values = (self.r.of(k) for k in ("table", "column", "number", "value"))
+        if not self.tables and not self.columns:
+            raise ValueError("the question names no table and no column")
+        self.named = [x.what for x in self.tables]
+        self.used: set[int] = set()
+        #: Place in the question, and condition.
+        self.conditions: list[tuple[int, str]] = []
+
+    # -- words ---------------------------------------------------------------------------------------------------
+
+    def said(self, start: int, end: int) -> str:
+        return " " + " ".join(self.r.tokens[max(0, start) : max(0, end)]) + " "
+
+    def before(self, x: Link, phrases, reach: int = 3) -> bool:
+        near = self.said(x.start - reach, x.start)
+        return any(f" {p} " in near for p in phrases)
+
+    def column(self, x: Link) -> tuple[str, str]:
+        """Of several columns that of the table named nearest (one that follows wins a tie), else the first."""
+        near = sorted((t for t in self.tables if id(t) not in self.used), key=lambda t: (min(abs(t.start - x.end), abs(x.start - t.end)), t.start < x.start))
         for t in near:
             for own, c in x.what:
                 if own == t.what:
                     return own, c
         return x.what[0]
 
-    def before(x: Link, phrases, reach: int = 3) -> bool:
-        near = " " + " ".join(r.tokens[max(0, x.start - reach) : x.start]) + " "
-        return any(f" {p} " in near for p in phrases)
+    def of_table(self, x: Link, table: str) -> tuple[str, str]:
+        return next(((t, c) for t, c in x.what if t == table), self.column(x))
+
+    # -- conditions ----------------------------------------------------------------------------------------------
+
+    def add(self, x: Link, where: str, *spent: Link) -> None:
+        self.conditions.append((min(x.start, *(s.start for s in spent)) if spent else x.start, where))
+        self.used |= {id(x), *map(id, spent)}
+
+    def owner(self, x: Link) -> tuple[str, str]:
+        """The column of a condition: of the table named right before it where a negated table or a ``when that`` sets the scope."""
+        scope = next((t for t in reversed(self.tables) if t.end <= x.start and (id(t) in self.negated or self.before(t, ("that", "its"), 2))), None)
+        return self.of_table(x, scope.what) if scope else self.column(x)
 
-    conditions, used = [], set()
-    numbers = r.of("number")
-    for k, n in enumerate(numbers):
-        if id(n) in used:
-            continue
-        target = next((x for x in reversed(r.of("column")) if x.end <= n.start), None)
-        counted = next((t for t in tables if t.start >= n.end and t.start - n.end <= 1), None)
-        if before(n, ("between",), 1) and k + 1 < len(numbers) and target:
-            t, c = column(target)
-            conditions.append(f"{t}.{c} between {n.what} and {numbers[k + 1].what}")
-            used |= {id(n), id(numbers[k + 1]), id(target)}
-            continue
-        op = ">=" if before(n, AT_LEAST) else "<=" if before(n, AT_MOST) else ">" if before(n, GREATER) else "<" if before(n, SMALLER) else None
-        if op and counted and len(named) > 1:
-            conditions.append(f"count ( {counted.what}.* ) {op} {n.what}")
-            used |= {id(n), id(counted)}
-        elif op and target:
-            t, c = column(target)
-            conditions.append(f"{t}.{c} {op} {n.what}")
-            used |= {id(n), id(target)}
-        elif target and target.end == n.start:
-            t, c = column(target)
-            conditions.append(f"{t}.{c} = {n.what}")
-            used |= {id(n), id(target)}
-    for v in r.of("value"):
-        value, homes = v.what
-        target = next((x for x in reversed(r.of("column")) if x.end <= v.start and v.start - x.end <= 2 and id(x) not in used), None)
-        home = column(target) if target else next((h for h in homes if h[0] in named), homes[0] if homes else None)
-        if home:
-            conditions.append(f"{home[0]}.{home[1]} = '{value}'")
-            used |= {id(target)}
-    free = [x for x in r.of("column") if id(x) not in used]
-    # "no / without <table>": the first table's rows that the other does not have
-    for t in tables[1:]:
-        if before(t, NEGATIONS, 2):
-            conditions.append(f"@.@ not in {t.what}.*")
-            used.add(id(t))
-    group = next((x for x in (*tables, *free) if before(x, GROUPING, 2)), None)
-    grouping = ""
-    select: list[str] = []
-    counts = "how many" in text or "number of" in text
-    order = ""
-    head = tables[0].what if tables else column(free[0])[0]
-
-    def label(t: str) -> str:
-        return next((f"{t}.{c}" for c in catalog.tables[t] if c.endswith("name")), f"{t}.{catalog.primary.get(t, next(iter(catalog.tables[t])))}")
-
-    if group is not None and (counts or any(before(x, AGGREGATES, 3) for x in free)):
-        key = label(group.what) if group.kind == "table" else "{}.{}".format(*column(group))
-        grouping = f" group by {key}"
-        select.append(key)
-        free = [x for x in free if x is not group]
-    aggregated = False
-    for x in free:
-        t, c = column(x)
-        if before(x, HIGHEST, 2) or before(x, LOWEST, 2):
-            if any(n.start < x.start for n in numbers) or len(free) > 1 or tables:
-                count = next((n.what for n in numbers if id(n) not in used), 1)
-                order = f" order by {t}.{c} {'desc' if before(x, HIGHEST, 2) else 'asc'} limit {count}"
+    def read_conditions(self) -> None:
+        self.negated = {id(t): t for t in self.tables[1:] if self.before(t, NEGATIONS, 2)}
+        for t in self.negated.values():
+            self.add(t, f"@.@ not in {t.what}.*")
+        for k, n in enumerate(self.numbers):
+            if id(n) in self.used:
                 continue
-        agg = next((AGGREGATES[w] for w in reversed(r.tokens[max(0, x.start - 3) : x.start]) if w in AGGREGATES), None)
-        if agg and agg != "count":
-            select.append(f"{agg} ( {t}.{c} )")
-            aggregated = True
-        else:
-            select.append(f"{t}.{c}")
-    if counts and not aggregated:
-        what = next((t.what for t in tables if group is None or t is not group), head)
-        select = [s for s in select if grouping and s in grouping] + [f"count ( {what}.* )"]
-    if not select:
-        select = [label(head)]
-    where = f" where {' and '.join(conditions)}" if conditions else ""
-    return f"select {' , '.join(select)} from {head}{where}{grouping}{order}", Options(liked=frozenset(named))
+            target = next((x for x in reversed(self.columns) if x.end <= n.start and id(x) not in self.used), None)
+            counted = next((t for t in self.tables if 0 <= t.start - n.end <= 1), None)
+            if self.before(n, ("between",), 1) and k + 1 < len(self.numbers) and target:
+                self.add(target, "{}.{} between {} and {}".format(*self.owner(target), n.what, self.numbers[k + 1].what), n, self.numbers[k + 1])
+                continue
+            op = ">=" if self.before(n, AT_LEAST) else "<=" if self.before(n, AT_MOST) else ">" if self.before(n, GREATER) else "<" if self.before(n, SMALLER) else None
+            if op and counted and (len(self.named) > 1 or " shared by " in self.said(0, n.start)):
+                self.add(n, f"count ( {counted.what}.* ) {op} {n.what}", *([counted] if len(self.named) > 1 else []))
+            elif op and target and n.start - target.end <= 4:
+                self.add(target, "{}.{} {} {}".format(*self.owner(target), op, n.what), n)
+            elif target and target.end == n.start:
+                self.add(target, "{}.{} = {}".format(*self.owner(target), n.what), n)
+        for v in self.values:
+            value, homes = v.what
+            text = value.replace("'", "''")
+            after = next((x for x in self.columns if 0 < x.start - v.end <= 2 and id(x) not in self.used and " in " in self.said(v.end, x.start)), None)
+            if after:
+                self.add(v, "{}.{} like '%{}%'".format(*self.owner(after), text), after)
+                continue
+            target = next((x for x in reversed(self.columns) if x.end <= v.start and v.start - x.end <= 3 and id(x) not in self.used), None)
+            home = self.owner(target) if target else next((h for h in homes if h[0] in self.named), homes[0] if homes else None)
+            if home:
+                other = " other than " in self.said(v.start - 3, v.start) or " not " in self.said(v.start - 2, v.start)
+                self.add(v, f"{home[0]}.{home[1]} {'!=' if other else '='} '{text}'", *([target] if target else []))
+
+    def chained(self) -> str:
+        """The conditions in their order, each with the connector that the words before it ask for."""
+        out, end = "", 0
+        for k, (start, where) in enumerate(sorted(self.conditions)):
+            words = self.said(end, start)
+            link_ = "and"
+            if k and " but not " in words:
+                link_ = "except_"
+            elif k and " and also " in words:
+                link_ = "intersect_"
+            elif k and " or " in words:
+                link_ = "union_" if " or with " in words + self.said(start, start + 1) else "or"
+            out += f" {link_} {where}" if out else where
+            end = start
+        return out
+
+    # -- what is shown -------------------------------------------------------------------------------------------
+
+    def label(self, t: str) -> str:
+        return next((f"{t}.{c}" for c in self.catalog.tables[t] if c.endswith("name")), f"{t}.{self.catalog.primary.get(t, next(iter(self.catalog.tables[t])))}")
+
+    def aggregates(self, x: Link) -> list[str]:
+        """The aggregates named in a row before a column: ``the average and the highest``."""
+        out, at = [], x.start - 1
+        while at >= 0 and (self.r.tokens[at] in ("the", "and", "a") or self.r.tokens[at] in AGGREGATES or self.r.tokens[at] in (*HIGHEST, *LOWEST)):
+            w = self.r.tokens[at]
+            func = AGGREGATES.get(w) or ("max" if w in HIGHEST else "min" if w in LOWEST else None)
+            if func and func != "count":
+                out.insert(0, func)
+            at -= 1
+        return out
+
+    def text(self) -> tuple[str, Options]:
+        self.read_conditions()
+        said = self.said(0, len(self.r.tokens))
+        counts = any(f" {p} " in said for p in ("how many", "number of", "count of", "the count"))
+        free = [x for x in self.columns if id(x) not in self.used]
+        head = self.tables[0].what if self.tables else self.column(free[0])[0]
+        group = next((x for x in (*self.tables, *free) if self.before(x, GROUPING, 2) and id(x) not in self.used), None)
+        shared = next((x for x in free if " shared by " in self.said(x.end, x.end + 2)), None)
+        if shared is not None:
+            group = shared
+        top = next((n for n in self.numbers if self.before(n, ("top", "first"), 1)), None)
+        select, grouping, order, aggregated = [], "", "", False
+        if group is not None and (shared is not None or counts or any(self.aggregates(x) for x in free)):
+            key = self.label(group.what) if group.kind == "table" else "{}.{}".format(*self.column(group))
+            grouping = f" group by {key}"
+            select.append(key)
+            free = [x for x in free if x is not group]
+        for x in free:
+            t, c = self.column(x)
+            funcs = self.aggregates(x)
+            ranked = self.before(x, HIGHEST, 2) or self.before(x, LOWEST, 2)
+            spare = [n.what for n in self.numbers if id(n) not in self.used]
+            if top is not None and self.before(x, ("by", "on"), 1):
+                order = f" order by {t}.{c} desc limit {top.what}"
+            elif ranked and len(funcs) == 1 and (self.before(x, ("with",), 4) or spare):
+                order = f" order by {t}.{c} {'desc' if self.before(x, HIGHEST, 2) else 'asc'} limit {spare[0] if spare else 1}"
+            elif funcs:
+                select += [f"{f} ( {t}.{c} )" for f in funcs]
+                aggregated = True
+            elif f"{t}.{c}" not in select:
+                select.append(f"{t}.{c}")
+        if counts and not aggregated:
+            what = next((t.what for t in self.tables if group is None or t is not group), head)
+            select = [s for s in select if grouping and s in grouping] + [f"count ( {what}.* )"]
+        if not select:
+            select = [self.label(head)]
+        distinct = "distinct " if any(f" {w} " in said for w in ("different", "distinct")) else ""
+        where = self.chained()
+        text = f"select {distinct}{' , '.join(select)} from {head}{' where ' + where if where else ''}{grouping}{order}"
+        return text, Options(liked=frozenset(self.named))
+
+
+def shorthand_of(catalog: Catalog, question: str, find: Callable[[str], list[tuple[str, str]]] = lambda _: []) -> tuple[str, Options]:
+    """The shorthand that a question stands for."""
+    return Reader(catalog, question, find).text()
 
 
 def ask(engine: Engine, question: str, names: list[str] | None = None) -> DataFrame:
     """The answer to a question."""
-    text, options = shorthand_of(engine, question)
+    text, options = shorthand_of(engine.catalog, question, lambda value: find_value(engine, value))
     return engine.shorthand(text, names, options)

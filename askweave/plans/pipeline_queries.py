@@ -9,8 +9,9 @@ from askweave.functions.question import filled_values, pattern_count, question_s
 from askweave.functions.sqltext import normalized, schema_names, skeleton
 from askweave.operators import linking, profiling, ranking
 from askweave.plans.engine import Engine
+from askweave.plans.generation import generated
 from askweave.plans.joins import all_paths, bridges, closure
-from askweave.plans.selection import best_checkpoints, choose, exact_matches, repair, same_result
+from askweave.plans.selection import PLACEHOLDER, best_checkpoints, choose, exact_matches, repair, same_result
 from askweave.sources.catalog import STAR_FOREIGN, Catalog, catalog_frames
 from askweave.sources.files import star_columns
 from askweave.sources.tables import table
@@ -221,6 +222,17 @@ def select_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(q, *choose(engine, cs)) for q, cs in CANDIDATES.items()], "q_id int, chosen int, text string")
 
 
+def generate_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated(table(spark, sf_dir, "train_spider"), table(spark, sf_dir, "spider_tables"))
+
+
+def generate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many generated queries have the clauses of the training query, per source."""
+    train = table(spark, sf_dir, "train_spider").select("q_id", "source", normalized("query").alias("gold"))
+    both = generate_sql(spark, sf_dir).join(train, "q_id").withColumn("_m", exact_matches(F.col("sql"), F.col("gold")))
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("questions"), F.count(F.when(F.col("sql") != PLACEHOLDER, 1)).alias("answered"), F.count(F.when(F.col("_m"), 1)).alias("matches"))
+
+
 def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preprocessed queries against the training queries they were made from."""
     p = table(spark, sf_dir, "preprocessed_dataset").select("rec_id", "q_id", "norm_sql")
@@ -247,7 +259,7 @@ QUERIES = {
     for f in (
         normalize_sql, sql_skeletons, schema_labels, question_tokens, question_parts, question_patterns, fill_values, profile_unique, profile_samples, profile_types, same_content, fk_closure, join_paths, bridge_tables, catalog_columns, star_catalog,
         value_index, value_match_exact, value_match_fuzzy, topk_tables, topk_columns, table_coverage, table_auc, table_focal_loss, training_tables, serialize, table_report, input_windows, schema_links, display_names, unique_foreign_keys,
-        repair_names, select_candidate, exact_match, exec_match, best_checkpoint,
+        repair_names, select_candidate, generate_sql, generate_match, exact_match, exec_match, best_checkpoint,
     )
 }
 

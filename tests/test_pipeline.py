@@ -7,6 +7,7 @@ from askweave.functions.sqltext import normal_form, normalized, schema_names, sk
 from askweave.operators import linking, profiling, ranking
 from askweave.plans.asking import shorthand_of
 from askweave.plans.engine import Engine
+from askweave.plans.generation import by_rules
 from askweave.plans.selection import PLACEHOLDER, choose, closest, exact_match, repair, run_within, same_result
 from askweave.sources.catalog import Catalog
 
@@ -109,10 +110,22 @@ def test_same_result(spark):
 
 def test_questions(spark):
     engine = Engine(spark, "/root/testdata/sf0.001")
-    assert shorthand_of(engine, "How many customers are there?")[0] == "select count ( customer.* ) from customer"
-    assert shorthand_of(engine, "Show the name of the 3 parts with the lowest retail price")[0] == "select part.p_name from part order by part.p_retailprice asc limit 3"
+    assert shorthand_of(engine.catalog, "How many customers are there?")[0] == "select count ( customer.* ) from customer"
+    assert shorthand_of(engine.catalog, "Show the name of the 3 parts with the lowest retail price")[0] == "select part.p_name from part order by part.p_retailprice asc limit 3"
+    catalog = Catalog({"singer": {"singer_id": "double", "name": "string", "age": "double", "city": "string"}, "song": {"song_id": "double", "singer_id": "double", "year": "double"}}, {"singer": "singer_id"}, (("song", "singer_id", "singer", "singer_id"),))
+    for question, sql in {
+        "What is the name of singers with age over 30 but not with city 'Rome'?": "select singer.name from singer where singer.age > 30 except select singer.name from singer where singer.city = 'Rome'",
+        "Find the lowest and the average age of singers with city 'Oslo'": "select min(singer.age), avg(singer.age) from singer where singer.city = 'Oslo'",
+        "List the name of singers that have no song with year 1999": "select singer.name from singer where singer.singer_id not in (select song.singer_id from song where song.year = 1999)",
+        "Show every city shared by at least 3 singers, and the count": "select singer.city, count(*) from singer group by singer.city having count(*) >= 3",
+        "Show the name and age of the top 4 singers by age": "select singer.name, singer.age from singer order by singer.age desc limit 4",
+        "Show the name of singers with 'an' in the city": "select singer.name from singer where singer.city like '%an%'",
+        "Show the different city values of all singers with city other than 'Rome'": "select distinct singer.city from singer where singer.city != 'Rome'",
+    }.items():
+        assert by_rules(question, catalog)[:1] == [sql], question
+    assert by_rules("", catalog) == [] and by_rules("nothing of this", catalog) == []
     with pytest.raises(ValueError):
-        shorthand_of(engine, "What time is it?")
+        shorthand_of(engine.catalog, "What time is it?")
 
 
 def test_catalog_row():
