@@ -147,9 +147,9 @@ class Lowering:
         a, b = self.alike(df, left, right, F.col(v))
         if c.op == "in":
             return df.join(right, a == b, "left_semi")
-        # Null-aware without a nested loop: two counts of the right side, then a plain anti join.
-        n, full = right.agg(F.count(F.lit(1))).scalar(), right.agg(F.count(v)).scalar()
-        return df.filter((n == 0) | left.isNotNull() & (n == full)).join(right.filter(F.col(v).isNotNull()), a == b, "left_anti")
+        # Null-aware without a nested loop: one look at the right side (0 empty, 1 full, 2 with nulls), then a plain anti join.
+        state = right.agg(F.when(F.count(F.lit(1)) == 0, 0).when(F.count(v) == F.count(F.lit(1)), 1).otherwise(2)).scalar()
+        return df.filter((state == 0) | left.isNotNull() & (state == 1)).join(right.filter(F.col(v).isNotNull()), a == b, "left_anti")
 
     @staticmethod
     def alike(df: DataFrame, left: Column, right_df: DataFrame, right: Column) -> tuple[Column, Column]:

@@ -52,7 +52,7 @@ class Catalog:
         return Catalog(tables, STAR_PRIMARY, tuple(STAR_FOREIGN), words)
 
     @staticmethod
-    def of_row(row) -> Catalog:
+    def of_row(row: dict) -> Catalog:
         """From a catalog delivery; dropped columns and keys that lead nowhere are left out."""
         names = [n.lower() for n in row["table_names_original"] or []]
         cols = [(c["table_idx"], (c["name"] or "").lower()) if c is not None else (None, "") for c in row["column_names_original"] or []]
@@ -64,7 +64,9 @@ class Catalog:
             tables[t][c] = spark.get(kinds[i] if i < len(kinds) else "text", "string")
         primary = {real[i][0]: real[i][1] for i in reversed(row["primary_keys"] or []) if i in real}
         foreign = tuple((*real[f["src"]], *real[f["dst"]]) for f in row["foreign_keys"] or [] if f is not None and f["src"] in real and f["dst"] in real)
-        return Catalog(tables, primary, foreign)
+        shown = [c["name"] if c is not None else None for c in row.get("column_names") or []]
+        words = {f"{t}.{c}": shown[i].lower() if i < len(shown) and shown[i] else c for i, (t, c) in real.items()}
+        return Catalog(tables, primary, foreign, words)
 
     def type_of(self, table_: str, column: str) -> str:
         return self.tables.get(table_, {}).get(column, "string")
