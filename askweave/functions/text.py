@@ -13,7 +13,7 @@ def db_key(db: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of letters and digits, lower-cased, in their order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1), F.lower)
 
 
 def compact(text: Column) -> Column:
