@@ -3,7 +3,7 @@
 The words of all test items go into one generalised suffix automaton, flattened to arrays. The words of each document are
 streamed through it; after each word the length of the longest match that ends there is known, and where it reaches the
 limit the state names the items that have the last ``min_words`` words. A match of that length can only lie in a run of
-words all of which occur in some item, so words outside such runs are not walked.
+words all of which occur in some item, so words outside such runs are not walked. Matched runs can be reported, or removed.
 
 Items are taken in blocks of at most ``block_words`` words, each block one automaton and one pass over the corpus, so that
 what is sent to the tasks has a bound whatever the number of items.
@@ -29,7 +29,9 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The words of a text; lower case comes after cutting, which only matters where it changes the length."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
 class Automaton:
@@ -118,68 +120,132 @@ class Automaton:
                 yield at, matched, self.entry[state]
 
 
-def _scan(held, min_words: int, spans: bool):
+    def in_text(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """:meth:`matches` over all words of a text: only runs of words of the vocabulary that are long enough are walked."""
+        if len(words) < self.min_words:
+            return
+        code = self.vocabulary.get
+        codes = [code(w, -1) for w in words]
+        outside = np.flatnonzero(np.concatenate([[True], np.array(codes) < 0, [True]]))
+        for k in np.flatnonzero(np.diff(outside) > self.min_words):
+            a, z = int(outside[k]), int(outside[k + 1]) - 1
+            for at, n, entry in self.matches(codes[a:z]):
+                yield a + at, n, entry
+
+
+def _scan(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: Automaton = held.value
-        code = automaton.vocabulary.get
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0), b.column(1).to_pylist()):
-                if not text:
-                    continue
-                ws = [code(w, -1) for w in words_of(text)]
-                if len(ws) < min_words:
-                    continue
-                codes = np.array(ws, np.int64)
-                outside = np.flatnonzero(np.concatenate([[True], codes < 0, [True]]))
-                long = np.flatnonzero(np.diff(outside) > min_words)
+                words = words_of(text)
                 best: dict[int, tuple[int, int, int]] = {}
-                for k in long:
-                    a, z = int(outside[k]), int(outside[k + 1]) - 1
-                    for at, n, entry in automaton.matches(ws[a:z]):
-                        for item in automaton.items[entry]:
-                            old = best.get(item)
-                            count = 1 if old is None else old[2] + 1
-                            if old is None or n > old[1]:
-                                best[item] = (a + at, n, count)
-                            else:
-                                best[item] = (old[0], old[1], count)
+                for at, n, entry in automaton.in_text(words):
+                    for item in automaton.items[entry]:
+                        old = best.get(item, (0, 0, 0))
+                        best[item] = (at, n, old[2] + 1) if n > old[1] else (old[0], old[1], old[2] + 1)
                 for item, (end, n, count) in best.items():
-                    out.append((doc, item, len(ws), end - n + 1, n, count))
+                    out.append((doc.as_py(), item, len(words), end - n + 1, n, count))
             if out:
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in cols[0]], b.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])], ["_doc", "_ref", "doc_words", "first_word", "longest", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])], ["_doc", "_ref", "doc_words", "first_word", "longest", "windows"])
 
     return run
 
 
-def leaks(corpus: DataFrame, items: DataFrame, doc_col: str, text_col: str, item_col: str, item_text_col: str, min_words: int = 13, block_words: int = 500_000) -> DataFrame:
-    """``doc_col`` and ``item_col`` of every document that shares ``min_words`` consecutive words or more with an item.
+def _mark(held):
+    """Add each text's matched runs of words (start, end) to those found by the blocks before."""
 
-    With each pair: ``doc_words``, the place ``first_word`` and the length ``longest`` of the longest match found, and ``windows``, the
-    number of places at which the limit is reached. The longest match may go on into another item that has the same words.
-    """
-    spark = corpus.sparkSession
-    tables = SharedTables(spark, "leaks")
-    n_words = F.size(F.split(F.col(item_text_col), r"[\s\p{P}]+"))
-    own = items.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_text"), n_words.alias("_n")).filter("_item is not null and _text is not null")
-    # Blocks by running size within hash buckets, so that no task orders all items.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton: Automaton = held.value
+        for b in batches:
+            spans = b.column(2).to_pylist()
+            for text, own in zip(b.column(1).to_pylist(), spans):
+                for at, n, _ in automaton.in_text(words_of(text or "")):
+                    if own and own[-2] == at - n + 1:
+                        own[-1] = at + 1  # the same match, one word longer
+                    else:
+                        own += [at - n + 1, at + 1]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.int32()))], ["_doc", "_text", "_spans"])
+
+    return run
+
+
+def _cut(max_coverage: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total, leaked, texts = [], [], []
+            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if not spans:
+                    total.append(None), leaked.append(0), texts.append(text)
+                    continue
+                places = [m.span() for m in WORD.finditer(text)]
+                merged: list[list[int]] = []
+                for a, z in sorted(zip(spans[::2], spans[1::2])):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], z)
+                    else:
+                        merged.append([a, z])
+                gone = sum(z - a for a, z in merged)
+                kept, at = [], 0
+                for a, z in merged:
+                    kept.append(text[at : places[a][0]])
+                    at = places[z - 1][1]
+                total.append(len(places)), leaked.append(gone)
+                texts.append(None if gone > max_coverage * len(places) else "".join(kept) + text[at:])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int32()), pa.array(leaked, pa.int32()), pa.array(texts, pa.string())], ["_doc", "doc_words", "leaked_words", "kept_text"])
+
+    return run
+
+
+def _blocks(items: DataFrame, item_col: str, text_col: str, min_words: int, block_words: int, tables: SharedTables) -> Iterator[tuple[object, list]]:
+    """A broadcast automaton and its items' ids for each block of at most ``block_words`` words (or one item)."""
+    spark = items.sparkSession
+    n_words = F.size(F.split(F.col(text_col), r"[\s\p{P}]+"))
+    own = items.select(F.col(item_col).alias("_item"), F.col(text_col).alias("_text"), n_words.alias("_n")).filter("_item is not null and _text is not null")
+    # By running size within hash buckets, so that no task orders all items.
     buckets = max(1, int((own.agg(F.sum("_n")).first()[0] or 0) / block_words))
     own = own.withColumn("_bucket", F.pmod(F.xxhash64("_text", "_item"), F.lit(buckets)))
     run = F.sum("_n").over(Window.partitionBy("_bucket").orderBy("_item").rowsBetween(Window.unboundedPreceding, -1))
     own = tables.write(own.withColumn("_part", F.floor(F.coalesce(run, F.lit(0)) / block_words)).drop("_n"))
-    blocks = own.select("_bucket", "_part").distinct().orderBy("_bucket", "_part")
-    docs, out = corpus.select(F.col(doc_col).alias("_doc"), F.col(text_col).alias("_text")).filter("_doc is not null and _text is not null"), None
-    kind = docs.schema["_doc"].dataType.simpleString()
-    for block in blocks.toLocalIterator():
+    for block in own.select("_bucket", "_part").distinct().orderBy("_bucket", "_part").toLocalIterator():
         rows = own.filter((F.col("_bucket") == block[0]) & (F.col("_part") == block[1])).select("_item", "_text").distinct().collect()  # one block at most
         ids = sorted({r[0] for r in rows})
         place = {x: i for i, x in enumerate(ids)}
-        held = spark.sparkContext.broadcast(Automaton([(place[i], ws) for i, text in rows if len(ws := words_of(text)) >= min_words], min_words))
-        found = docs.mapInArrow(_scan(held, min_words, True), f"_doc {kind}, _ref long, doc_words long, first_word long, longest long, windows long")
-        names = spark.createDataFrame(list(enumerate(ids)), f"_ref long, _item {own.schema['_item'].dataType.simpleString()}")
+        yield spark.sparkContext.broadcast(Automaton([(place[i], ws) for i, text in rows if len(ws := words_of(text)) >= min_words], min_words)), ids
+
+
+def leaks(corpus: DataFrame, items: DataFrame, doc_col: str, text_col: str, item_col: str, item_text_col: str, min_words: int = 13, block_words: int = 500_000) -> DataFrame:
+    """``doc_col`` and ``item_col`` of every document that shares ``min_words`` consecutive words or more with an item.
+
+    With each pair: ``doc_words``, the place ``first_word`` and the length ``longest`` of the longest match found, and ``windows``, the
+    number of places at which the limit is reached. The longest match may go on into another item that has the same words.
+    """
+    tables = SharedTables(corpus.sparkSession, "leaks")
+    docs, out = corpus.select(F.col(doc_col).alias("_doc"), F.col(text_col).alias("_text")).filter("_doc is not null and _text is not null"), None
+    doc_kind, item_kind = docs.schema["_doc"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    for held, ids in _blocks(items, item_col, item_text_col, min_words, block_words, tables):
+        found = docs.mapInArrow(_scan(held), f"_doc {doc_kind}, _ref long, doc_words long, first_word long, longest long, windows long")
+        names = corpus.sparkSession.createDataFrame(list(enumerate(ids)), f"_ref long, _item {item_kind}")
         found = found.join(F.broadcast(names), "_ref").drop("_ref")
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = docs.limit(0).select("_doc", *(F.lit(0).cast("long").alias(c) for c in ("doc_words", "first_word", "longest", "windows"))).join(own.limit(0).select("_item"), F.lit(True))
+        out = docs.filter("false").select("_doc", *(F.lit(0).cast("long").alias(c) for c in ("doc_words", "first_word", "longest", "windows")), F.lit(None).cast(item_kind).alias("_item"))
     return out.select(F.col("_doc").alias(doc_col), F.col("_item").alias(item_col), "doc_words", "first_word", "longest", "windows")
+
+
+def scrubbed(corpus: DataFrame, items: DataFrame, doc_col: str, text_col: str, item_col: str, item_text_col: str, min_words: int = 13, max_coverage: float = 0.5, block_words: int = 500_000) -> DataFrame:
+    """The corpus without what leaked: ``doc_col``, ``leaked_words`` and ``kept_text``.
+
+    Every run of words that lies in a match of the limit's length and more is removed, from its first to its last word; all else
+    stays as it is. A document of which more than ``max_coverage`` of the words leaked has a null ``kept_text``, as have null texts. One
+    row per input row; no shuffle.
+    """
+    tables = SharedTables(corpus.sparkSession, "leaks")
+    kind = corpus.schema[doc_col].dataType.simpleString()
+    docs = corpus.select(F.col(doc_col).alias("_doc"), F.col(text_col).alias("_text"), F.array().cast("array<int>").alias("_spans"))
+    for held, _ in _blocks(items, item_col, item_text_col, min_words, block_words, tables):
+        docs = docs.mapInArrow(_mark(held), f"_doc {kind}, _text string, _spans array<int>")
+    out = docs.mapInArrow(_cut(max_coverage), f"_doc {kind}, doc_words int, leaked_words int, kept_text string")
+    return out.select(F.col("_doc").alias(doc_col), "leaked_words", "kept_text")

@@ -9,7 +9,7 @@ from askweave.functions.text import compact, db_key, words
 from askweave.llm.canon import query_key
 from askweave.llm.components import RelatedSplits
 from askweave.llm.copies import Copies
-from askweave.llm.leakage import leaks
+from askweave.llm.leakage import leaks, scrubbed
 from askweave.llm.overlap import near_pairs, overlaps
 from askweave.llm.packing import fill_containers
 from askweave.llm.splitting import oversized, split_texts
@@ -90,6 +90,10 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"), "doc_id", "text", "item_id", "text", LEAK_WORDS)
 
 
+def p8_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scrubbed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"), "doc_id", "text", "item_id", "text", LEAK_WORDS)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized(table(spark, sf_dir, "documents"), "doc_id", "text", PIECE_TOKENS, PIECE_OVERLAP)
 
@@ -98,7 +102,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", PIECE_TOKENS, PIECE_OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p4_found, p4_splits, p6_found, p6_forms, p7_containers, p8_found, p8_leaks, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p4_found, p4_splits, p6_found, p6_forms, p7_containers, p8_found, p8_leaks, p8_scrubbed, p9_found, p9_pieces)}
 
 ORACLES = {
     "p4_found": """

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from askweave.llm.leakage import Automaton, leaks, words_of
+from askweave.llm.leakage import Automaton, leaks, scrubbed, words_of
 
 WORDS = st.lists(st.sampled_from("abc"), max_size=12)
 
@@ -12,14 +12,7 @@ WORDS = st.lists(st.sampled_from("abc"), max_size=12)
 @given(st.lists(WORDS, max_size=6), st.lists(st.sampled_from("abcx"), max_size=30), st.integers(1, 5))
 def test_automaton_equals_windows(items, text, least):
     automaton = Automaton([(i, w) for i, w in enumerate(items) if len(w) >= least], least)
-    got, run = set(), []
-    for code in [*(automaton.vocabulary.get(w, -1) for w in text), -1]:
-        if code >= 0:
-            run.append(code)
-            continue
-        for _, _, entry in automaton.matches(run):
-            got |= set(automaton.items[entry])
-        run = []
+    got = {i for _, _, entry in automaton.in_text(text) for i in automaton.items[entry]}
     windows = {tuple(text[k : k + least]) for k in range(len(text) - least + 1)}
     assert got == {i for i, w in enumerate(items) if any(tuple(w[k : k + least]) in windows for k in range(len(w) - least + 1))}
 
@@ -54,5 +47,23 @@ def test_leaks_equal_brute_force(spark):
     for block in (500_000, 100):  # one automaton, and several
         got = leaks(d, t, "id", "text", "item_id", "text", block_words=block)
         assert {(x["id"], x["item_id"]) for x in got.collect()} == want and len(want) > 20
+    covered = {}
+    for i, text in docs:
+        w = words_of(text or "")
+        covered[i] = {k + j for k in range(len(w) - 12) if tuple(w[k : k + 13]) in grams for j in range(13)}
+    for block in (500_000, 100):
+        rows = scrubbed(d, t, "id", "text", "item_id", "text", block_words=block).collect()
+        assert len(rows) == len(docs)
+        for x in rows:
+            text, gone = dict(docs)[x["id"]], covered[x["id"]]
+            w = words_of(text or "")
+            assert x["leaked_words"] == len(gone)
+            if text is None or len(gone) > len(w) / 2:
+                assert x["kept_text"] is None
+            elif gone:
+                assert words_of(x["kept_text"]) == [v for k, v in enumerate(w) if k not in gone]
+            else:
+                assert x["kept_text"] == text
+    assert scrubbed(d.limit(0), t, "id", "text", "item_id", "text").count() == 0
     assert leaks(d.limit(0), t, "id", "text", "item_id", "text").count() == 0
     assert leaks(d, t.limit(0), "id", "text", "item_id", "text").count() == 0
