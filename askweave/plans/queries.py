@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from askweave.operators.references import catalog_ledger, current_orphans, orphan_references, orphan_report
 from askweave.operators.shredding import flat_table, schema_leaves
@@ -39,12 +40,27 @@ def p5_cell_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_table(table(spark, sf_dir, "preprocessed_dataset"), "rec_id", "db_schema", {"cell_value": "[].db_contents[][]"}, ["table_pos", "column_pos", "value_pos"])
 
 
+def _catalog_part(spark: SparkSession, sf_dir: str, columns: list[str], fields: dict[str, str], position: str, types: dict[str, str]) -> DataFrame:
+    """Parallel arrays of the catalog side by side."""
+    rows = table(spark, sf_dir, "spider_tables").select("catalog_id", F.struct(*columns).alias("nested"))
+    return flat_table(rows, "catalog_id", "nested", fields, [position], types)
+
+
+def p5_catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalog_part(spark, sf_dir, ["table_names_original", "table_names"], {"table_name_original": ".table_names_original[]", "table_name": ".table_names[]"}, "table_pos", {})
+
+
 def p5_catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = {"table_idx": "[].table_idx", "column_name": "[].name"}
-    return flat_table(table(spark, sf_dir, "spider_tables"), "catalog_id", "column_names_original", fields, ["column_pos"], {"table_idx": "int"})
+    fields = {"table_idx": ".column_names_original[].table_idx", "column_name_original": ".column_names_original[].name", "column_name": ".column_names[].name", "column_type": ".column_types[]"}
+    return _catalog_part(spark, sf_dir, ["column_names_original", "column_names", "column_types"], fields, "column_pos", {"table_idx": "int"})
+
+
+def p5_catalog_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"primary_idx": ".primary_keys[]", "src_idx": ".foreign_keys[].src", "dst_idx": ".foreign_keys[].dst"}
+    return _catalog_part(spark, sf_dir, ["primary_keys", "foreign_keys"], fields, "key_pos", dict.fromkeys(fields, "int"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_current, p5_found, p5_schema_tables, p5_schema_columns, p5_cell_values, p5_catalog_columns)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_current, p5_found, p5_schema_tables, p5_schema_columns, p5_cell_values, p5_catalog_tables, p5_catalog_columns, p5_catalog_keys)}
 
 _P3 = """
     WITH cols AS (SELECT catalog_id, loaded_at, len(table_names_original) AS n, unnest(column_names_original) AS c, generate_subscripts(column_names_original, 1) - 1 AS pos FROM spider_tables),
@@ -68,6 +84,19 @@ _P5 = """
 ORACLES = {
     "p3_found": _P3 + "SELECT src_table, src_id, src_field, CAST(pos AS INTEGER) AS pos FROM orphans",
     "p3_report": _P3 + "SELECT src_table, src_field, CAST(date_trunc('month', stamp) AS TIMESTAMP) AS period, count(*) AS orphans FROM orphans GROUP BY ALL",
+    "p3_current": """
+        WITH cols AS (SELECT catalog_id, len(table_names_original) AS n, unnest(column_names_original) AS c, generate_subscripts(column_names_original, 1) - 1 AS pos FROM spider_tables),
+        pk AS (SELECT catalog_id, unnest(primary_keys) AS i FROM spider_tables),
+        fk AS (SELECT catalog_id, unnest(foreign_keys) AS p FROM spider_tables),
+        tabs AS (SELECT catalog_id, generate_subscripts(table_names_original, 1) - 1 AS pos FROM spider_tables),
+        refs AS (SELECT 'db:' || lower(trim(db_id)) AS key FROM train_spider WHERE db_id IS NOT NULL
+          UNION ALL SELECT 't:' || catalog_id || ':' || coalesce(CAST(c.table_idx AS VARCHAR), 'none') FROM cols WHERE pos > 0
+          UNION ALL SELECT 'c:' || catalog_id || ':' || coalesce(CAST(i AS VARCHAR), 'none') FROM pk
+          UNION ALL SELECT 'c:' || catalog_id || ':' || coalesce(CAST(p.src AS VARCHAR), 'none') FROM fk UNION ALL SELECT 'c:' || catalog_id || ':' || coalesce(CAST(p.dst AS VARCHAR), 'none') FROM fk),
+        there AS (SELECT 'db:' || lower(trim(db_id)) AS key FROM spider_tables WHERE db_id IS NOT NULL AND loaded_at IS NOT NULL AND deleted_at IS NULL
+          UNION ALL SELECT 't:' || catalog_id || ':' || pos FROM tabs
+          UNION ALL SELECT 'c:' || catalog_id || ':' || pos FROM cols WHERE pos > 0 AND c.name IS NOT NULL AND c.table_idx >= 0 AND c.table_idx < n)
+        SELECT key, count(*) AS refs FROM refs ANTI JOIN there USING (key) GROUP BY key""",
     "p5_found": _P5 + """,
         c AS (SELECT rec_id, table_pos, generate_subscripts(t.column_names_original, 1) - 1 AS column_pos, t FROM t),
         v AS (SELECT rec_id, table_pos, column_pos, unnest(t.db_contents[column_pos + 1]) AS v, generate_subscripts(t.db_contents[column_pos + 1], 1) - 1 AS value_pos FROM c),
@@ -85,7 +114,14 @@ ORACLES = {
     "p5_cell_values": _P5 + """,
         c AS (SELECT rec_id, table_pos, unnest(t.db_contents) AS c, generate_subscripts(t.db_contents, 1) - 1 AS column_pos FROM t)
         SELECT rec_id, CAST(table_pos AS INTEGER) AS table_pos, CAST(column_pos AS INTEGER) AS column_pos, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS value_pos, unnest(c) AS cell_value FROM c""",
+    "p5_catalog_tables": """
+        WITH t AS (SELECT *, unnest(range(greatest(coalesce(len(table_names_original), 0), coalesce(len(table_names), 0)))) AS p FROM spider_tables)
+        SELECT catalog_id, CAST(p AS INTEGER) AS table_pos, table_names_original[p + 1] AS table_name_original, table_names[p + 1] AS table_name FROM t""",
     "p5_catalog_columns": """
-        WITH c AS (SELECT catalog_id, unnest(column_names_original) AS c, generate_subscripts(column_names_original, 1) - 1 AS p FROM spider_tables)
-        SELECT catalog_id, CAST(p AS INTEGER) AS column_pos, c.table_idx AS table_idx, c.name AS column_name FROM c""",
+        WITH c AS (SELECT *, unnest(range(greatest(coalesce(len(column_names_original), 0), coalesce(len(column_names), 0), coalesce(len(column_types), 0)))) AS p FROM spider_tables)
+        SELECT catalog_id, CAST(p AS INTEGER) AS column_pos, column_names_original[p + 1].table_idx AS table_idx, column_names_original[p + 1].name AS column_name_original,
+          column_names[p + 1].name AS column_name, column_types[p + 1] AS column_type FROM c""",
+    "p5_catalog_keys": """
+        WITH k AS (SELECT *, unnest(range(greatest(coalesce(len(primary_keys), 0), coalesce(len(foreign_keys), 0)))) AS p FROM spider_tables)
+        SELECT catalog_id, CAST(p AS INTEGER) AS key_pos, primary_keys[p + 1] AS primary_idx, foreign_keys[p + 1].src AS src_idx, foreign_keys[p + 1].dst AS dst_idx FROM k""",
 }
