@@ -13,7 +13,7 @@ from askweave.llm.leakage import leaks, scrubbed
 from askweave.llm.overlap import near_pairs, overlaps
 from askweave.llm.packing import fill_containers
 from askweave.llm.splitting import oversized, split_texts
-from askweave.llm.textform import consistent_form, normalise, odd_texts
+from askweave.llm.textform import LOOKALIKES, consistent_form, normalise, odd_texts
 from askweave.sources.tables import table
 
 CAPACITY, PIECE_TOKENS, PIECE_OVERLAP, LEAK_WORDS = 2048, 512, 32, 13
@@ -104,7 +104,47 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p4_found, p4_splits, p6_found, p6_forms, p7_containers, p8_found, p8_leaks, p8_scrubbed, p9_found, p9_pieces)}
 
+# Canonical queries in SQL hold where the first FROM closes the select list and no comma of the list stands in brackets or quotes, as in all rows here.
+_COPIES = r"""
+    WITH r AS (SELECT q_id, lower(trim(db_id)) AS db, regexp_replace(regexp_replace(regexp_replace(lower(question), '(\d)\.(\d)', '\1§\2', 'g'), '[\s\p{Z}\p{Pc}\p{Pd}\p{Ps}\p{Pe}\p{Pi}\p{Pf}\p{Sk}!-#%-*,-/:;?@\[-`{}]', '', 'g'), '§', '.', 'g') AS q,
+      regexp_extract(lower(query), '(?s)^\s*select\b(?:\s+distinct\b)?(.*?)\bfrom\b', 1) AS items, lower(query) AS s FROM train_spider WHERE question IS NOT NULL),
+    c AS (SELECT q_id, db, q, list_sort(list_transform(string_split(items, ','), lambda i: array_to_string(regexp_extract_all(i, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_,;''"`‘’“”]'), ' '))) AS items,
+      contains(s, 'distinct') AS d, array_to_string(regexp_extract_all(regexp_replace(s, '(?s)^\s*select\b.*?\bfrom\b', ''), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_,;''"`‘’“”]'), ' ') AS rest FROM r),
+    g AS (SELECT *, min(q_id) OVER w AS first_q_id, count(*) OVER w AS copies FROM c WINDOW w AS (PARTITION BY db, q, items, d, rest))"""
+
+_INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{180E}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]"
+_DOUBLES = "".join(LOOKALIKES)
+# The consistent form of a question's words, as far as these tables need it: ASCII full-width forms, two signs, accents and look-alikes.
+_FORM = rf"""
+    list_transform(regexp_extract_all(nfc_normalize(array_to_string(list_transform(regexp_extract_all(regexp_replace(question, '{_INVISIBLE}', '', 'g'), '(?s).'),
+      lambda c: CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248) WHEN c = 'ﬁ' THEN 'fi' WHEN unicode(c) = 8490 THEN 'K' ELSE c END), '')), '[\p{{L}}\p{{N}}]+'),
+      lambda w: lower(CASE WHEN regexp_matches(w, '\p{{Latin}}') THEN translate(w, '{_DOUBLES}', '{"".join(LOOKALIKES.values())}') ELSE w END))"""
+
+
+def _canonical(name: str) -> str:
+    """``c_<name>``: canonical query and words of each question of a table."""
+    body = _COPIES.partition("WITH r AS ")[2].partition("    g AS (")[0].rstrip().rstrip(",")
+    body = body.replace("(SELECT q_id", f"(SELECT q_id, {_FORM} AS w", 1).replace("c AS (SELECT q_id", f"c_{name} AS (SELECT q_id, w", 1)
+    return body.replace("FROM train_spider", f"FROM {name}").replace("FROM r)", f"FROM r_{name})")
+
+
 ORACLES = {
+    "p1_found": f"""
+    WITH r_train_spider AS {_canonical('train_spider')}, r_dev AS {_canonical('dev')},
+    p AS (SELECT a.q_id AS train_q_id, b.q_id AS dev_q_id, a.w AS x, b.w AS y, list_distinct(list_concat(a.w, b.w)) AS every FROM c_train_spider a JOIN c_dev b ON a.db = b.db AND a.items = b.items AND a.d = b.d AND a.rest = b.rest)
+    SELECT train_q_id, dev_q_id FROM p WHERE 4 * levenshtein(array_to_string(list_transform(x, lambda w: chr(CAST(35 + list_position(every, w) AS INTEGER))), ''), array_to_string(list_transform(y, lambda w: chr(CAST(35 + list_position(every, w) AS INTEGER))), '')) <= greatest(len(x), len(y))""",
+    "p2_collapsed": _COPIES + " SELECT min(q_id) AS q_id, count(*) AS copies FROM g GROUP BY first_q_id UNION ALL SELECT q_id, 1 FROM train_spider WHERE question IS NULL",
+    "p6_found": rf"""
+        SELECT q_id FROM train_spider WHERE regexp_matches(question, '{_INVISIBLE}') OR regexp_matches(question, '[\x{{FF01}}-\x{{FF60}}\x{{FFE0}}-\x{{FFE6}}\x{{FB00}}-\x{{FB06}}\x{{0300}}-\x{{036F}}]')
+          OR regexp_matches(question, '[\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]')
+          OR len(list_filter(regexp_extract_all(question, '[\p{{L}}\p{{N}}\p{{M}}]+'), lambda w: regexp_matches(w, '[\p{{Latin}}]') AND regexp_matches(w, '[{_DOUBLES}\x{{212A}}]'))) > 0""",
+    "p2_found": _COPIES + " SELECT first_q_id, q_id FROM g WHERE first_q_id <> q_id",
+    "p8_found": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM test_items WHERE text IS NOT NULL),
+        dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+        iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13))
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
     "p4_found": """
         WITH RECURSIVE r AS (SELECT DISTINCT lower(trim(db_id)) AS db, author FROM train_spider WHERE db_id IS NOT NULL AND author IS NOT NULL AND author <> ''),
         e AS (SELECT DISTINCT x.db AS a, y.db AS b FROM r x JOIN r y ON x.author = y.author AND x.db <> y.db),
