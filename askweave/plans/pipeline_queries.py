@@ -311,6 +311,12 @@ ORACLES = {
         SELECT rec_id, CAST(table_pos AS INTEGER) AS table_pos, CAST(column_pos AS INTEGER) AS column_pos, CAST(coalesce(list_contains(toks, tn), false) AS INTEGER) AS table_label,
           CAST(coalesce(list_contains(list_transform(toks, lambda x: regexp_replace(x, '^\\w+\\.', '')), lower(cn)), false) AS INTEGER) AS column_label FROM c WHERE cn IS NOT NULL""",
     "profile_unique": f"SELECT table_name, column_name, count(DISTINCT value) AS distinct_values, count(value) AS filled, count(DISTINCT value) = count(value) AS is_unique FROM ({_unpivot()} UNION ALL {_REST}) GROUP BY ALL",
+    "profile_types": f"""
+        WITH v AS (SELECT DISTINCT table_name, column_name, lower(trim(value)) AS v FROM ({_unpivot()} UNION ALL {_REST}) WHERE trim(value) <> ''),
+        s AS (SELECT table_name, column_name, count(*) AS n, min(v) AS low, max(v) AS high, count(*) FILTER (regexp_matches(v, '^\\p{{L}}')) AS letters, count(*) FILTER (regexp_matches(v, '^-?\\d+(\\.\\d+)?(e-?\\d+)?$')) AS numbers,
+          count(*) FILTER (regexp_matches(v, '^\\d{{1,4}}[-/.]\\d{{1,2}}[-/.]\\d{{1,4}}([ t].*)?$')) AS dates FROM v GROUP BY ALL)
+        SELECT table_name, column_name, CASE WHEN n = 2 AND low || '/' || high IN ({', '.join(f"'{a}/{b}'" for a, b in profiling.BOOLEAN_PAIRS)}) THEN 'boolean' WHEN letters > CASE WHEN n > 7 THEN 1 ELSE 0 END THEN 'text'
+          WHEN n = 1 THEN CASE WHEN column_name LIKE '%date' OR column_name LIKE '%time' THEN 'time' ELSE 'unknown' END WHEN dates >= n - CASE WHEN n > 7 THEN 1 ELSE 0 END THEN 'time' WHEN numbers >= n - CASE WHEN n > 7 THEN 1 ELSE 0 END THEN 'number' ELSE 'text' END AS kind FROM s""",
     "profile_samples": f"""
         SELECT table_name, column_name, value, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY value) AS place FROM (
           SELECT DISTINCT * FROM ({_unpivot()}) WHERE value <> '' AND column_name IN ('r_name', 'n_name', 'c_name', 'c_mktsegment', 's_name', 'p_name', 'p_brand', 'p_type', 'o_orderstatus', 'o_orderpriority', 'l_returnflag', 'l_linestatus'))) WHERE place <= 5""",

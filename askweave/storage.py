@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -20,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _delete(fs, path) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already; the cluster clears its folder then
+        fs.delete(path, True)
+
+
 class SharedTables:
     """Written tables of one run, so that superseded ones can be dropped as the run goes on."""
 
@@ -27,6 +34,9 @@ class SharedTables:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/askweave/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        # Results may be read until the driver ends; then the tables go.
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        atexit.register(_delete, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target)
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as a table in the shared folder and read it back, free of its lineage."""
