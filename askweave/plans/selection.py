@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from askweave.plans.engine import Engine
 from askweave.plans.parser import QueryError, parse_sql
-from askweave.plans.syntax import Bool, Col, Cond, Lit, Query, Source, rewrite
+from askweave.plans.syntax import Bool, Col, Lit, Query, Source, rewrite
 from askweave.sources.catalog import Catalog
 
 #: What a question without a usable candidate gets.
