@@ -20,3 +20,22 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count_col: str, to
     mark = F.broadcast(large.select(F.col(key), F.lit(True).alias("_hot")))
     tagged = rows.join(mark, key, "left")
     return tagged.filter("_hot").drop("_hot").join(F.broadcast(large), key).unionByName(tagged.filter("_hot is null").drop("_hot").join(small, key))
+
+
+def join_salted(rows: DataFrame, keyed: DataFrame, key: str, total: int, hot: int = 100_000) -> DataFrame:
+    """Inner join in which a key may have many rows on the left, and any number on the right.
+
+    Keys of more than ``hot`` rows (at most 1,000, for ``hot`` is raised to ``total`` / 1,000) are dealt to salts of about ``hot``
+    rows each, and their rows on the right are repeated for each salt. Where ``total`` is below ``hot`` nothing needs counting.
+    """
+    hot = max(hot, total // 1000)
+    if total <= hot:
+        return rows.join(keyed, key)
+    many = rows.groupBy(key).count().filter(F.col("count") > hot).select(key, F.ceil(F.col("count") / hot).cast("int").alias("_salts"))
+    if many.isEmpty():
+        return rows.join(keyed, key)
+    many = F.broadcast(many)
+    others = [c for c in rows.columns if c != key]
+    left = rows.join(many, key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*others), F.col("_salts"))).cast("int")).drop("_salts")
+    right = keyed.join(many, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
