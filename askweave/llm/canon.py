@@ -14,6 +14,12 @@ _PIECE = re.compile(r"'[^']*'|\"[^\"]*\"|`[^`]*`|\w+|[^\w\s]")
 _COUNTS = re.compile(r"\w+|[^\w\s,;'\"`‘’‚‛“”„´]")
 
 
+_SELECT = re.compile(r"\s*select\b\s*(distinct\b|all\b)?")
+_FROM = re.compile(r"\bfrom\b")
+#: What keeps a select list from being cut at its commas: quotes, brackets that hold a comma or a bracket, and unmatched ones.
+_INVOLVED = re.compile(r"['\"`]|\([^)]*[,(]|(?:\A|\))[^(]*\)")
+
+
 def _text(pieces: list[str]) -> str:
     return " ".join(_COUNTS.findall(" ".join(pieces)))
 
@@ -24,7 +30,19 @@ def canonical_query(sql: str) -> str:
     The select list runs from the first SELECT (and a DISTINCT or ALL after it) to the FROM at the same depth of
     brackets; its items are cut at commas of that depth. Text in quotes is never taken for structure.
     """
-    pieces = _PIECE.findall(sql.lower())
+    sql = sql.lower()
+    head, end = _SELECT.match(sql), _FROM.search(sql)
+    if head and end and head.end() <= end.start():
+        items = sql[head.end() : end.start()]
+        if items.count("(") == items.count(")") and not _INVOLVED.search(items):
+            parts = sorted([" ".join(_COUNTS.findall(x)) for x in items.split(",")])
+            return " ".join([x for x in ("select", head.group(1), *parts, "from", *_COUNTS.findall(sql, end.end())) if x])
+    return _by_structure(sql)
+
+
+def _by_structure(sql: str) -> str:
+    """:func:`canonical_query` of a lower-cased query of any form."""
+    pieces = _PIECE.findall(sql)
     if "select" not in pieces:
         return _text(pieces)
     begin = pieces.index("select") + 1

@@ -3,10 +3,12 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from askweave.functions.text import compact, db_key
-from askweave.llm.canon import canonical_query, query_key
+from askweave.llm.canon import _by_structure, canonical_query, query_key
 from askweave.llm.copies import HASHES, Copies, _places
 
 
@@ -29,6 +31,15 @@ def test_canonical_query(a, b, same):
     assert (canonical_query(a) == canonical_query(b)) == same
 
 
+@settings(max_examples=2000, deadline=None)
+@example(["a", ")", ",", "(", "b", "from", "t"], [" "] * 14)
+@example(["(", "a", ")", ")", "(", "b", ",", "c", "from"], [""] * 14)
+@given(st.lists(st.sampled_from("select distinct all from a b_c t1.x , , ( ) count(*) max( ) 'v' 'x,y' \"from\" ` ; > >= = 1.5 from_x".split(" ")), max_size=14), st.lists(st.sampled_from(["", " ", "\n"]), min_size=14, max_size=14))
+def test_simple_queries_take_the_short_way(pieces, gaps):
+    sql = "select " + "".join(p + g for p, g in zip(pieces, gaps))
+    assert canonical_query(sql) == _by_structure(sql.lower())
+
+
 def test_compact_question(spark):
     df = spark.createDataFrame([("What is 3.5 , then?",), ("WHAT IS 3.5 THEN",), ("what is 35 then",), ("a.b",), ("`a` > $5!",), ("",), (None,)], "q string")
     assert [r[0] for r in df.select(compact(F.col("q"))).collect()] == ["whatis3.5then", "whatis3.5then", "whatis35then", "ab", "a>$5", "", None]
