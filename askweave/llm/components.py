@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from askweave.operators.skew import join_counted
+from askweave.operators.skew import join_counted, join_salted
 from askweave.storage import SharedTables
 
 #: Links of labels that one task merges at most; beyond it the graph of labels is contracted by another search.
@@ -88,7 +88,8 @@ def components(edges: DataFrame, tables: SharedTables | None = None, hub: int =
     visited = tables.write(visited)
     # Where two labels met: every edge once, with the labels of its ends.
     ends = visited.select(F.col("node").alias("a"), F.col("label").alias("x")), visited.select(F.col("node").alias("b"), F.col("label").alias("y"))
-    met = apart.join(ends[0], "a").join(ends[1], "b").filter("x <> y")
+    many = both.count() // 2
+    met = join_salted(join_salted(apart, ends[0], "a", many, hub), ends[1], "b", many, hub).filter("x <> y")
     links = tables.write(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     count = links.count()
     out = visited

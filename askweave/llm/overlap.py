@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from askweave.operators.skew import join_salted
 from askweave.storage import SharedTables
 
 SHARE = 4  # a quarter
@@ -106,9 +107,10 @@ def near_pairs(train: DataFrame, evaluation: DataFrame, words: Callable[[Column]
     return tables.write(pairs), t.select("_class", "_id").distinct(), e.select("_class", "_id").distinct()
 
 
-def overlaps(train: DataFrame, evaluation: DataFrame, words: Callable[[Column], Column] = lambda w: w, broadcast_keys: int = 1_000_000) -> DataFrame:
-    """All record pairs (``_t``, ``_e``) of :func:`near_pairs`, with containment and distance."""
+def overlaps(train: DataFrame, evaluation: DataFrame, words: Callable[[Column], Column] = lambda w: w, broadcast_keys: int = 1_000_000, hot: int = 100_000) -> DataFrame:
+    """All record pairs (``_t``, ``_e``) of :func:`near_pairs`, with containment and distance; classes above ``hot`` records are salted."""
     pairs, t, e = near_pairs(train, evaluation, words, broadcast_keys)
     t = t.select(F.col("_class").alias("_t"), F.col("_id").alias("_tid"))
     e = e.select(F.col("_class").alias("_e"), F.col("_id").alias("_eid"))
-    return pairs.join(e, "_e").join(t, "_t").select(F.col("_tid").alias("_t"), F.col("_eid").alias("_e"), "containment", "distance")
+    out = join_salted(e, pairs, "_e", e.count(), hot)
+    return join_salted(t, out, "_t", t.count(), hot).select(F.col("_tid").alias("_t"), F.col("_eid").alias("_e"), "containment", "distance")

@@ -51,7 +51,7 @@ def test_equal_to_brute_force(spark):
         if None not in (i, k, a, j, h, b) and k == h and 4 * abs(len(a) - len(b)) <= max(len(a), len(b)) and (a == b or 4 * word_distance(a, b) <= max(len(a), len(b)))
     }
     assert got == want and len(want) > 100
-    shuffled = overlaps(spark.createDataFrame(train, schema), spark.createDataFrame(dev, schema), broadcast_keys=0)
+    shuffled = overlaps(spark.createDataFrame(train, schema), spark.createDataFrame(dev, schema), broadcast_keys=0, hot=20)
     assert {(x["_t"], x["_e"]) for x in shuffled.collect()} == want
     assert overlaps(spark.createDataFrame([], schema), spark.createDataFrame(dev, schema)).count() == 0
     assert overlaps(spark.createDataFrame(train, schema), spark.createDataFrame([], schema)).count() == 0
