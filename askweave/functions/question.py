@@ -279,10 +279,17 @@ def filled_values(queries: pa.Array, questions: pa.Array) -> pa.Array:
     return pa.array([None if s is None or q is None else filled(s, q) for s, q in zip(queries.to_pylist(), questions.to_pylist())], pa.string())
 
 
-@F.arrow_udf(T.IntegerType())
-def pattern_count(questions: pa.Array, patterns: pa.Array) -> pa.Array:
-    """How often a pattern stands in a question."""
-    return pa.array([None if q is None or p is None else len(find_pattern(p, tag_tokens(q))) for q, p in zip(questions.to_pylist(), patterns.to_pylist())], pa.int32())
+def pattern_counts(patterns: list[str]):
+    """A column function: how often each pattern stands in a question, whose tokens are tagged once."""
 
+    def run(questions: pa.Array) -> pa.Array:
+        out = []
+        for q in questions.to_pylist():
+            tokens = None if q is None else tag_tokens(q)
+            out.append(None if tokens is None else [len(find_pattern(p, tokens)) for p in patterns])
+        return pa.array(out, pa.list_(pa.int32()))
 
-__all__ = ["Token", "filled", "filled_values", "find_pattern", "pattern_count", "question_segments", "question_tags", "repaired", "segments", "stripped_values", "tag_tokens", "without_values"]
+    return F.arrow_udf(run, T.ArrayType(T.IntegerType()))
+
+
+__all__ = ["Token", "filled", "filled_values", "find_pattern", "pattern_counts", "question_segments", "question_tags", "repaired", "segments", "stripped_values", "tag_tokens", "without_values"]

@@ -6,9 +6,10 @@ The lexer and the alias table need a state, so they run over Arrow batches; mask
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,19 +78,27 @@ def normalized(values: pa.Array) -> pa.Array:
     return pa.array([None if s is None else normal_form(s) for s in values.to_pylist()], pa.string())
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def tokens_of(values: pa.Array) -> pa.Array:
-    return pa.array([None if s is None else sql_tokens(s) for s in values.to_pylist()], pa.list_(pa.string()))
+_LITERAL = re.compile(r"'.*'|-?\d+(\.\d+)?", re.S)
 
 
-def skeleton(norm: Column, names: Column) -> Column:
-    """The shape of a normalised query: ``names`` (array of tables, columns and table.column), literals and stars become ``_``.
+def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of the normal form joined by blanks, with names, literals and stars as ``_``; a row's names are a set made once."""
+    for b in batches:
+        out = []
+        for sql, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            known = set(own or ())
+            out.append(None if sql is None else " ".join("_" if t in known or t == "*" or t.endswith(".*") or _LITERAL.fullmatch(t) else t for t in sql_tokens(normal_form(sql))))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["_id", "_masked"])
+
+
+def skeletons(df: DataFrame, id_col: str, sql: Column, names: Column) -> DataFrame:
+    """``id_col`` and ``skeleton``, the shape of a query in normal form: ``names`` (array of tables, columns and table.column), literals and stars become ``_``.
 
     Join conditions go, chains of joined tables, lists and simple comparisons become one ``_`` each.
     """
-    literal = r"^('.*'|-?\d+(\.\d+)?)$"
-    masked = F.transform(tokens_of(norm), lambda t: F.when(F.array_contains(names, t) | (t == "*") | t.endswith(".*") | t.rlike(literal), F.lit("_")).otherwise(t))
-    out = F.concat(F.lit(" "), F.array_join(masked, " "), F.lit(" "))
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("_id"), sql.alias("_sql"), names.alias("_names")).mapInArrow(_masked, f"_id {kind}, _masked string")
+    out = F.concat(F.lit(" "), F.col("_masked"), F.lit(" "))
     for pattern, to in (
         (r" on _ = _(?: (?:and|or) _ = _)*(?= )", ""),
         (r" _(?: join _)+(?= )", " _"),
@@ -99,7 +108,7 @@ def skeleton(norm: Column, names: Column) -> Column:
         (r" +", " "),
     ):
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    return rows.select(F.col("_id").alias(id_col), F.trim(out).alias("skeleton"))
 
 
 def schema_names(db_schema: Column) -> Column:

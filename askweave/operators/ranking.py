@@ -17,11 +17,14 @@ from askweave.functions.text import db_key, words
 TOP_TABLES, TOP_COLUMNS = 4, 5
 
 
+def stems(word_list: Column) -> Column:
+    """Distinct words, plural endings aside."""
+    return F.array_distinct(F.transform(word_list, lambda w: F.regexp_replace(w, "s$", "")))
+
+
 def shared_words(question: Column, item: Column) -> Column:
-    """The share of the item's distinct words, plural endings aside, that the question has."""
-    stem = lambda a: F.array_distinct(F.transform(a, lambda w: F.regexp_replace(w, "s$", "")))
-    q, i = stem(question), stem(item)
-    return F.coalesce(F.size(F.array_intersect(q, i)) / F.nullif(F.size(i), F.lit(0)), F.lit(0.0))
+    """The share of the item's stems that the question has; both are arrays of :func:`stems`."""
+    return F.coalesce(F.size(F.array_intersect(question, item)) / F.nullif(F.size(item), F.lit(0)), F.lit(0.0))
 
 
 def current_catalog(catalog: DataFrame) -> DataFrame:
@@ -43,11 +46,13 @@ def name_words(name: Column) -> Column:
 
 def scored(questions: DataFrame, catalog: DataFrame, scorer: Callable[[Column, Column], Column] = shared_words) -> tuple[DataFrame, DataFrame]:
     """Scores of the tables (``q_id``, ``table_pos``, ``table_name``, ``prob``) and of the columns (with ``column_pos``, ``column_name``)."""
+    # Stems are made before the joins, once a question and once an item, not once a pair.
     items = schema_items(catalog)
-    q = questions.filter("question is not null").select("q_id", db_key(F.col("db_id")).alias("db"), words(F.col("question")).alias("_q"))
-    tables = items.select("db", "table_pos", "table_name").distinct()
-    t = q.join(tables, "db").select("q_id", "table_pos", "table_name", F.round(scorer(F.col("_q"), name_words(F.col("table_name"))), 4).alias("prob"))
-    c = q.join(items, "db").select("q_id", "table_pos", "table_name", "column_pos", "column_name", F.round(scorer(F.col("_q"), name_words(F.col("column_name"))), 4).alias("prob"))
+    q = questions.filter("question is not null").select("q_id", db_key(F.col("db_id")).alias("db"), stems(words(F.col("question"))).alias("_q"))
+    tables = items.select("db", "table_pos", "table_name").distinct().withColumn("_i", stems(name_words(F.col("table_name"))))
+    columns = items.withColumn("_i", stems(name_words(F.col("column_name"))))
+    t = q.join(tables, "db").select("q_id", "table_pos", "table_name", F.round(scorer(F.col("_q"), F.col("_i")), 4).alias("prob"))
+    c = q.join(columns, "db").select("q_id", "table_pos", "table_name", "column_pos", "column_name", F.round(scorer(F.col("_q"), F.col("_i")), 4).alias("prob"))
     return t, c
 
 

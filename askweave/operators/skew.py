@@ -39,3 +39,9 @@ def join_salted(rows: DataFrame, keyed: DataFrame, key: str, total: int, hot: in
     left = rows.join(many, key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*others), F.col("_salts"))).cast("int")).drop("_salts")
     right = keyed.join(many, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has fewer partitions than there are cores, for work that is heavy by the row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -68,10 +68,8 @@ def tokenize(question: str) -> list[str]:
     return [t if t[0] in "'\"" else t.lower() for t in re.findall(r"'[^']*'|\"[^\"]*\"|\d+(?:\.\d+)?|[^\W\d_]+", question)]
 
 
-def link(catalog: Catalog, question: str, find: Callable[[str], list[tuple[str, str]]]) -> Reading:
-    """Longest links first; a word belongs to one link. ``find`` gives the columns that hold a quoted text."""
-    tokens = tokenize(question)
-    out, taken = Reading(tokens), set()
+def _names(catalog: Catalog) -> dict[str, tuple[str, object]]:
+    """Words, plural endings aside, and the table or the columns that go by them; made once a catalog."""
     names: dict[str, tuple[str, object]] = {}
     for t in catalog.tables:
         names[_singular(t)] = ("table", t)
@@ -85,11 +83,18 @@ def link(catalog: Catalog, question: str, find: Callable[[str], list[tuple[str,
         own = [(t, c) for c in cs for t in catalog.tables if c in catalog.tables[t]]
         if own:
             names[w] = ("column", own)
+    return {" ".join(map(_singular, w.split())): what for w, what in names.items()}
+
+
+def link(catalog: Catalog, question: str, find: Callable[[str], list[tuple[str, str]]]) -> Reading:
+    """Longest links first; a word belongs to one link. ``find`` gives the columns that hold a quoted text."""
+    tokens = tokenize(question)
+    out, taken = Reading(tokens), set()
+    names = catalog.__dict__.get("_names") or catalog.__dict__.setdefault("_names", _names(catalog))
     for value in (t[1:-1] for t in tokens if t[0] in "'\""):
         place = tokens.index(next(t for t in tokens if t[0] in "'\"" and t[1:-1] == value))
         out.links.append(Link(place, place + 1, "value", (value, find(value))))
         taken.add(place)
-    names = {" ".join(map(_singular, w.split())): what for w, what in names.items()}
     for size in (4, 3, 2, 1):
         for i in range(len(tokens) - size + 1):
             if any(k in taken for k in range(i, i + size)):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from askweave.functions.text import db_key
 from askweave.operators.ranking import current_catalog
+from askweave.operators.skew import spread
 from askweave.plans.asking import shorthand_of
 from askweave.plans.emit import query_sql
 from askweave.plans.inference import expand
@@ -52,6 +53,7 @@ def generated(questions: DataFrame, catalog: DataFrame, generator: Callable[[str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["q_id", "sql"])
 
     catalogs = current_catalog(catalog).select("db", F.to_json(F.struct(*CATALOG_FIELDS), {"ignoreNullFields": "false"}).alias("catalog"))
-    own = questions.filter("question is not null").select("q_id", db_key(F.col("db_id")).alias("db"), "question").join(catalogs, "db")
+    own = questions.filter("question is not null").select("q_id", db_key(F.col("db_id")).alias("db"), "question")
+    own = spread(own).join(catalogs, "db")
     kind = questions.schema["q_id"].dataType.simpleString()
     return own.select("q_id", "question", "catalog").mapInArrow(run, f"q_id {kind}, sql string")

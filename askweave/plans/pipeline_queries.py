@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askweave.functions.question import filled_values, pattern_count, question_segments, question_tags, stripped_values
-from askweave.functions.sqltext import normalized, schema_names, skeleton
+from askweave.functions.question import filled_values, pattern_counts, question_segments, question_tags, stripped_values
+from askweave.functions.sqltext import normalized, schema_names, skeletons
 from askweave.operators import linking, profiling, ranking
 from askweave.plans.engine import Engine
 from askweave.plans.generation import generated
@@ -27,8 +27,7 @@ def normalize_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "preprocessed_dataset")
-    return p.select("rec_id", skeleton(normalized("sql"), schema_names(F.col("db_schema"))).alias("skeleton"))
+    return skeletons(table(spark, sf_dir, "preprocessed_dataset"), "rec_id", F.col("sql"), schema_names(F.col("db_schema")))
 
 
 def schema_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +52,9 @@ PATTERNS = {"comparison": "$GR $SM _ than NUM", "over": "GR NUM", "under": "SM N
 
 def question_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training questions in which each pattern stands, and how often."""
-    patterns = F.array(*(F.struct(F.lit(k).alias("pattern"), F.lit(v).alias("p")) for k, v in PATTERNS.items()))
-    each = table(spark, sf_dir, "train_spider").filter("question is not null").select("question", F.explode(patterns).alias("x")).select("x.pattern", pattern_count("question", "x.p").alias("n"))
+    counts = pattern_counts(list(PATTERNS.values()))(F.col("question"))
+    each = table(spark, sf_dir, "train_spider").filter("question is not null").select(F.posexplode(counts).alias("p", "n"))
+    each = each.select(F.get(F.array(*map(F.lit, PATTERNS)), F.col("p")).alias("pattern"), "n")
     return each.groupBy("pattern").agg(F.count(F.when(F.col("n") > 0, 1)).alias("questions"), F.sum("n").alias("places"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from askweave.functions.sqltext import normal_form, normalized, schema_names, skeleton
+from askweave.functions.sqltext import normal_form, schema_names, skeletons
 from askweave.operators import linking, profiling, ranking
 from askweave.plans.asking import shorthand_of
 from askweave.plans.engine import Engine
@@ -32,7 +32,7 @@ def test_skeleton(spark):
         [("SELECT T1.a , T1.b FROM t AS T1 JOIN u AS T2 ON T1.i = T2.i WHERE T2.c = 'x' AND T1.b > 3 ORDER BY T1.a DESC LIMIT 2",), ("SELECT count(*) FROM t WHERE a IN (SELECT c FROM u) GROUP BY b",), (None,)], "q string"
     )
     names = F.array(*map(F.lit, "t u a b c i t.a t.b t.i u.i u.c".split()))
-    got = [r[0] for r in df.select(skeleton(normalized("q"), names)).collect()]
+    got = [r["skeleton"] for r in skeletons(df.withColumn("i", F.monotonically_increasing_id()), "i", F.col("q"), names).orderBy("i").collect()]
     assert got == ["select _ from _ where _ order by _ desc limit _", "select count ( _ ) from _ where _ in ( select _ from _ ) group by _", None]
     schema = "s array<struct<table_name_original:string,column_names_original:array<string>>>"
     rows = spark.createDataFrame([([("T", ["A", None]), (None, None), None],), (None,), ([],)], schema).select(schema_names(F.col("s"))).collect()
