@@ -66,11 +66,6 @@ def match_score(question: str, value: str) -> float:
     return score
 
 
-@F.arrow_udf(T.DoubleType())
-def match_scores(questions: pa.Array, values: pa.Array) -> pa.Array:
-    return pa.array([0.0 if q is None or v is None else match_score(q, v) for q, v in zip(questions.to_pylist(), values.to_pylist())], pa.float64())
-
-
 def value_index(preprocessed: DataFrame) -> DataFrame:
     """``db``, ``table_name``, ``column_name``, ``cell_value`` of all distinct cell values of the nested schemas."""
     tables = preprocessed.select(db_key(F.col("db_id")).alias("db"), F.explode("db_schema").alias("t")).filter("t is not null")
@@ -79,6 +74,94 @@ def value_index(preprocessed: DataFrame) -> DataFrame:
     return values.filter("db is not null and table_name is not null and column_name is not null and trim(cell_value) <> ''").distinct()
 
 
+#: Lengths of the pieces of text on which questions and values meet.
+_GRAMS = (2, 3, 4)
+#: Questions, or values, of a database that a task takes at once.
+BLOCK = 5_000
+
+
+def _soft(ch: str) -> bool:
+    return ch in _SEPARATORS or ch.isspace()
+
+
+def _question_keys(question: str, used: set[tuple[str, int]]) -> set[str]:
+    """Pieces of the question at the places where a mention can begin, of the kinds and lengths in ``used``; see :func:`_value_keys`."""
+    q, out = question.lower(), set()
+    sizes = {kind: sorted(n for x, n in used if x == kind) for kind in "123"}
+    for a in range(len(q) - 1):
+        kind, start = "3" if _soft(q[a]) else "1", a
+        if not (a == 0 or _soft(q[a - 1]) or q[a] in _SEPARATORS):
+            if a > 1 and q[a - 2] not in _SEPARATORS:
+                continue
+            kind, start = "2", a - 1
+        out.update(kind + q[start : start + n - 1] for n in sizes[kind] if start + n - 1 <= len(q))
+    return out
+
+
+def _value_keys(value: str, threshold: float) -> set[str]:
+    """Pieces of the value of which a question has one as a key where :func:`match_score` gives ``threshold`` (above 0) and more.
+
+    The score compares the value with a span: a block that is in both, one character more in front and two more behind at most.
+    2 * min(n, s) / (n + s) >= ``threshold`` gives the span's least length s for a value of n characters, hence the block's. The
+    block begins where a word of the question does ("1": the span's first letter, which is the value's, is the block's own), one
+    character later ("2": that letter is in front of it) or at a separator ("3"). Each place of the value at which such a block
+    can begin gives a key.
+    """
+    v = value.lower().strip()
+    n = len(v)
+    least = next((s for s in range(1, n + 1) if 2 * s / (n + s) >= threshold), n)
+    first, out = next((c for c in v if c not in _SEPARATORS), ""), set()
+    for kind, size in (("1", max(2, least - 2)), ("2", max(2, least - 3)), ("3", max(2, least - 2))):
+        g = max(x for x in _GRAMS if x <= size)
+        for i in range(n - size + 1):
+            if kind == "1" and v[i] == first and not _soft(v[i]) or kind == "3" and _soft(v[i]):
+                out.add(kind + v[i : i + g])
+            elif kind == "2" and v[i] not in _SEPARATORS:
+                out.add(kind + first + v[i : i + g])
+    return out
+
+
+def _scored(threshold: float):
+    """Over a block of questions (``q_id``, ``question``) and a block of values (``cell_value``) of one database: the pairs with ``score``."""
+
+    def run(questions: pa.Table, values: pa.Table) -> pa.Table:
+        cells, at = values["cell_value"].to_pylist(), {}
+        for i, v in enumerate(cells):
+            for k in _value_keys(v, threshold):
+                at.setdefault(k, []).append(i)
+        used = {(k[0], len(k)) for k in at}
+        rows, found, scores = [], [], []
+        for r, q in enumerate(questions["question"].to_pylist()):
+            for i in {i for k in _question_keys(q, used) for i in at.get(k, ())}:
+                if (score := match_score(q, cells[i])) >= threshold:
+                    rows.append(r)
+                    found.append(cells[i])
+                    scores.append(score)
+        taken = questions.take(pa.array(rows, pa.int64()))
+        return pa.table({"q_id": taken["q_id"], "db": taken["db"], "cell_value": pa.array(found, pa.string()), "score": pa.array(scores, pa.float64())})
+
+    return run
+
+
+def _alike(questions: DataFrame, index: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``q_id``, ``db``, ``cell_value``, ``score`` of every question and value of its database with ``threshold`` and more.
+
+    Questions and values of a database are dealt to blocks of about ``block`` rows, each block of the ones meets each of the others, and
+    inside they meet on keys: a large database is no large task, and neither keys nor pairs are shuffled.
+    """
+    v = index.select("db", "cell_value").distinct()
+    q = questions.filter("question is not null").select("q_id", db_key(F.col("db_id")).alias("db"), "question").distinct()
+    blocks = lambda df, name: df.groupBy("db").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    grid = blocks(q, "_nq").join(blocks(v, "_nv"), "db")
+    part = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(grid, "db").select("q_id", "db", "question", part("_nq", "q_id", "question").alias("_qb"), each("_nv").alias("_vb"))
+    v = v.join(grid, "db").select("db", "cell_value", part("_nv", "cell_value").alias("_vb"), each("_nq").alias("_qb"))
+    schema = T.StructType([q.schema["q_id"], q.schema["db"], v.schema["cell_value"], T.StructField("score", T.DoubleType())])
+    keys = ["db", "_qb", "_vb"]
+    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(_scored(threshold), schema).distinct()
+
+
 def _met(questions: DataFrame, index: DataFrame) -> DataFrame:
     """Questions beside the values of their database with which they share a word: the value's rarest word, by database."""
     v = index.select("db", "cell_value").distinct().withColumn("_w", F.array_distinct(words(F.col("cell_value")))).filter(F.size("_w") > 0)
@@ -97,9 +180,13 @@ def exact_matches(questions: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def fuzzy_matches(questions: DataFrame, index: DataFrame, keep: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """The best ``keep`` values of each question and column with a score of ``threshold`` and more; columns named for names need 1."""
-    met = _met(questions, index).distinct().withColumn("score", match_scores("question", "cell_value")).filter(F.col("score") >= threshold)
-    out = met.select("q_id", "db", "cell_value", "score").join(index, ["db", "cell_value"]).filter(~F.col("column_name").contains("name") | (F.col("score") >= 1))
+    """The best ``keep`` values of each question and column with a score of ``threshold`` (above 0) and more; columns named for names need 1.
+
+    Every value of the database counts, inflected and misspelt mentions too: pairs are left unscored only where the score can't be reached.
+    """
+    if threshold <= 0:
+        raise ValueError("threshold must be above 0")
+    out = _alike(questions, index, threshold).join(index, ["db", "cell_value"]).filter(~F.col("column_name").contains("name") | (F.col("score") >= 1))
     best = Window.partitionBy("q_id", "table_name", "column_name").orderBy(F.desc("score"), F.desc(F.length("cell_value")), "cell_value")
     return out.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep).select("q_id", "table_name", "column_name", "cell_value", F.round("score", 6).alias("score"), "place")
 
