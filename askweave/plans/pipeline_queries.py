@@ -90,6 +90,11 @@ def same_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.same_content(profiling.distinct_values(keys))
 
 
+def same_content_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`profiling.same_content` over all plain columns of all catalog tables, keys or not."""
+    return profiling.same_content(_values(spark, sf_dir, tuple(Catalog.star(spark, sf_dir).tables)))
+
+
 def fk_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(closure(Catalog.star(spark, sf_dir).foreign)), "src_table string, src_column string, dst_table string, dst_column string")
 
@@ -257,7 +262,7 @@ def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_sql, sql_skeletons, schema_labels, question_tokens, question_parts, question_patterns, fill_values, profile_unique, profile_samples, profile_types, same_content, fk_closure, join_paths, bridge_tables, catalog_columns, star_catalog,
+        normalize_sql, sql_skeletons, schema_labels, question_tokens, question_parts, question_patterns, fill_values, profile_unique, profile_samples, profile_types, same_content, same_content_all, fk_closure, join_paths, bridge_tables, catalog_columns, star_catalog,
         value_index, value_match_exact, value_match_fuzzy, topk_tables, topk_columns, table_coverage, table_auc, table_focal_loss, training_tables, serialize, table_report, input_windows, schema_links, display_names, unique_foreign_keys,
         repair_names, select_candidate, generate_sql, generate_match, exact_match, exec_match, best_checkpoint,
     )
@@ -275,6 +280,7 @@ def _unpivot(cast: str = "VARCHAR") -> str:
 _DOUBLES = "c_acctbal s_acctbal p_retailprice o_totalprice l_quantity l_extendedprice l_discount l_tax".split()
 _OWNER = {"c": "customer", "s": "supplier", "p": "part", "o": "orders", "l": "lineitem"}
 _REST = " UNION ALL ".join(f"SELECT '{_OWNER[c[0]]}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {_OWNER[c[0]]}" for c in [*_DOUBLES, "o_orderdate", "l_shipdate"])
+_EVENTS = " UNION ALL ".join(f"SELECT 'events' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM events" for c in "event_id ts user_id event_type value props".split())
 _NORM_INDEX = """
     WITH t AS (SELECT lower(trim(db_id)) AS db, unnest(db_schema) AS t FROM preprocessed_dataset WHERE db_id IS NOT NULL),
     c AS (SELECT db, lower(t.table_name_original) AS table_name, unnest(t.column_names_original) AS cn, generate_subscripts(t.column_names_original, 1) AS i, t FROM t),
@@ -335,6 +341,10 @@ ORACLES = {
         WITH v AS (SELECT DISTINCT table_name || '.' || column_name AS c, value FROM ({_unpivot()}) WHERE column_name IN ('n_nationkey', 'n_regionkey', 'r_regionkey', 'c_custkey', 'c_nationkey', 's_suppkey', 's_nationkey', 'o_orderkey', 'o_custkey') AND value IS NOT NULL),
         s AS (SELECT c, count(*) AS size FROM v GROUP BY c), p AS (SELECT a.c AS a, b.c AS b, count(*) AS shared FROM v a JOIN v b ON a.value = b.value AND a.c <> b.c GROUP BY ALL)
         SELECT a AS column_a, b AS column_b, shared, size AS values_a FROM p JOIN s ON s.c = p.a WHERE size > 1 AND shared >= size - 1""",
+    "same_content_all": f"""
+        WITH v AS (SELECT DISTINCT table_name || '.' || column_name AS c, value FROM ({_unpivot()} UNION ALL {_REST} UNION ALL {_EVENTS}) WHERE value IS NOT NULL AND value <> ''),
+        s AS (SELECT c, count(*) AS size FROM v GROUP BY c), p AS (SELECT a.c AS a, b.c AS b, count(*) AS shared FROM v a JOIN v b ON a.value = b.value AND a.c <> b.c GROUP BY ALL)
+        SELECT a AS column_a, b AS column_b, shared, size AS values_a FROM p JOIN s ON s.c = p.a WHERE size > 1 AND shared >= size - 1""",
     "value_index": _NORM_INDEX + " SELECT * FROM ix",
     "value_match_exact": _NORM_INDEX + """,
         q AS (SELECT q_id, lower(trim(db_id)) AS db, ' ' || array_to_string(regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS said FROM train_spider WHERE question IS NOT NULL)
