@@ -6,7 +6,7 @@ import re
 import threading
 import uuid
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -73,31 +73,45 @@ def tidy(text: str) -> str:
     return text.rpartition("|")[2].strip().replace("='", "= '").replace("!=", " !=").replace(",", " ,")
 
 
-def run_within(spark: SparkSession, df: DataFrame, seconds: float) -> list | None:
-    """The rows, or None where the query takes longer: its jobs are then cancelled by their tag."""
-    tag = f"askweave-{uuid.uuid4().hex}"
-    timer = threading.Timer(seconds, lambda: spark.sparkContext.cancelJobsWithTag(tag))
+def run_within(spark: SparkSession, df: DataFrame, seconds: float, run: Callable[[DataFrame], object] = DataFrame.collect) -> object | None:
+    """What ``run`` makes of the query (its rows), or None where it fails or takes longer: its jobs are then cancelled by their tag."""
+    tag, over, late = f"askweave-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not over.wait(seconds):
+            late.set()
+            spark.sparkContext.cancelJobsWithTag(tag)
+            while not over.wait(0.5):  # a query has several jobs: the next one ends too
+                spark.sparkContext.cancelJobsWithTag(tag)
+
     spark.sparkContext.addJobTag(tag)
-    timer.start()
+    threading.Thread(target=watch, daemon=True).start()
     try:
-        return df.collect()
+        out = run(df)
+        return None if late.is_set() else out
     except Exception:
         return None
     finally:
-        timer.cancel()
+        over.set()
         spark.sparkContext.removeJobTag(tag)
 
 
+def _drained(df: DataFrame) -> bool:
+    """Every row is made, and none is kept or sent to the driver."""
+    df.toDF(*(f"c{i}" for i in range(len(df.columns)))).write.format("noop").mode("overwrite").save()
+    return True
+
+
 def choose(engine: Engine, candidates: list[str], shorthand: bool = True, seconds: float = TIMEOUT_S) -> tuple[int, str]:
     """Number and text of the first candidate that is repaired, compiled and runs; an empty result counts. (-1, placeholder) if none.
 
-    Analysis comes first and costs no job; a candidate that passes is tried on one row.
+    Analysis comes first and costs no job; a candidate that passes is run as a whole, within ``seconds``, into a sink that keeps nothing.
     """
     for i, raw in enumerate(candidates):
         try:
             text = repair(tidy(raw), engine.catalog)
             df = engine.shorthand(text) if shorthand else engine.sql(text)
-            if run_within(engine.spark, df.limit(1), seconds) is not None:
+            if run_within(engine.spark, df, seconds, _drained) is not None:
                 return i, engine.explain(text) if shorthand else text
         except Exception:  # noqa: S112  a candidate that cannot be read is passed over
             continue
