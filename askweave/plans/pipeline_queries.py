@@ -100,7 +100,7 @@ def fk_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = all_paths(Catalog.star(spark, sf_dir), 4)
+    paths = all_paths(Catalog.star(spark, sf_dir))
     return spark.createDataFrame([(i, len(p), ",".join(sorted(p))) for i, p in enumerate(paths)], "path int, size int, tables string")
 
 
