@@ -1,6 +1,6 @@
 """A question in words to a shorthand: lexical links, clause flags and literals, by rules over the catalog.
 
-The rules know tables and columns by their words, values by a look-up of the question's word runs in the text columns, and a
+The rules know tables and columns by their words, values, quoted or not, by a look-up of the question's word runs in the text columns, and a
 lexicon of function words for aggregates, comparisons, order, grouping and negation. It is approximate by design: what a question leaves
 open, the catalog's order settles.
 """
@@ -8,13 +8,14 @@ open, the catalog's order settles.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askweave.operators.linking import STOP_WORDS
 from askweave.plans.engine import Engine
 from askweave.plans.inference import Options
 from askweave.sources.catalog import Catalog, catalog_type
@@ -40,6 +41,10 @@ STAR_WORDS = {
 STAR_TABLES = {"line item": "lineitem", "order": "orders", "event": "events"}
 
 
+#: Values and their columns, by the words they are said in.
+Known = dict[str, tuple[str, list[tuple[str, str]]]]
+
+
 @dataclass
 class Link:
     """A run of words [start, end) and what it stands for: table, column, value or number."""
@@ -86,8 +91,19 @@ def _names(catalog: Catalog) -> dict[str, tuple[str, object]]:
     return {" ".join(map(_singular, w.split())): what for w, what in names.items()}
 
 
-def link(catalog: Catalog, question: str, find: Callable[[str], list[tuple[str, str]]]) -> Reading:
-    """Longest links first; a word belongs to one link. ``find`` gives the columns that hold a quoted text."""
+def known_values(links: Iterable[tuple[str, str, str]]) -> Known:
+    """Values (``cell_value``, ``table_name``, ``column_name``) by their words; numbers and stop words are none. Of equal ones the first."""
+    known: Known = {}
+    for value, t, c in sorted(links):
+        run = " ".join(tokenize(value.replace("'", " ").replace('"', " ")))
+        if run and run not in STOP_WORDS and not re.fullmatch(r"[\d. ]+", run) and known.setdefault(run, (value, []))[0] == value:
+            known[run][1].append((t, c))
+    return known
+
+
+def link(catalog: Catalog, question: str, find: Callable[[str], list[tuple[str, str]]], known: Known | None = None) -> Reading:
+    """Longest links first; a word belongs to one link. ``find`` gives the columns that hold a quoted text, ``known`` the values that may stand without quotes."""
+    known = known or {}
     tokens = tokenize(question)
     out, taken = Reading(tokens), set()
     names = catalog.__dict__.get("_names") or catalog.__dict__.setdefault("_names", _names(catalog))
@@ -95,7 +111,7 @@ def link(catalog: Catalog, question: str, find: Callable[[str], list[tuple[str,
         place = tokens.index(next(t for t in tokens if t[0] in "'\"" and t[1:-1] == value))
         out.links.append(Link(place, place + 1, "value", (value, find(value))))
         taken.add(place)
-    for size in (4, 3, 2, 1):
+    for size in range(max(4, *(k.count(" ") + 1 for k in known), 0), 0, -1):
         for i in range(len(tokens) - size + 1):
             if any(k in taken for k in range(i, i + size)):
                 continue
@@ -104,6 +120,9 @@ def link(catalog: Catalog, question: str, find: Callable[[str], list[tuple[str,
                 kind, what = names[" ".join(run)]
                 out.links.append(Link(i, i + size, kind, what))
                 taken.update(range(i, i + size))
+            elif " ".join(tokens[i : i + size]) in known:
+                out.links.append(Link(i, i + size, "value", known[" ".join(tokens[i : i + size])]))
+                taken.update(range(i, i + size))
     for i, t in enumerate(tokens):
         if i not in taken and re.fullmatch(r"\d+(\.\d+)?", t):
             out.links.append(Link(i, i + 1, "number", float(t) if "." in t else int(t)))
@@ -124,11 +143,27 @@ def find_value(engine: Engine, value: str) -> list[tuple[str, str]]:
     return [(r["t"], r["c"]) for r in reduce(DataFrame.unionByName, parts).collect()] if parts else []
 
 
+def find_known(engine: Engine, question: str) -> Known:
+    """The values of text columns whose words stand in the question without quotes; distinct values are compared, so every text column is scanned once."""
+    tokens = tokenize(question)
+    names = _names(engine.catalog)
+    runs = {" ".join(tokens[i : i + n]) for n in range(1, len(tokens) + 1) for i in range(len(tokens) - n + 1) if not any(t[0] in "'\"" for t in tokens[i : i + n])}
+    runs = sorted(r for r in runs if not set(r.split()) <= STOP_WORDS and " ".join(map(_singular, r.split())) not in names and not re.fullmatch(r"[\d. ]+", r))
+    parts = []
+    for t, cs in engine.catalog.tables.items():
+        own = [c for c, kind in cs.items() if catalog_type(kind) == "text"]
+        if own and runs:
+            cells = engine.table(t).select(F.explode(F.array(*(F.struct(F.col(c).alias("v"), F.lit(t).alias("t"), F.lit(c).alias("c")) for c in own))).alias("x"))
+            said = F.array_join(F.regexp_extract_all(F.lower("v"), F.lit(r"(\d+(?:\.\d+)?|\p{L}+)"), 1), " ")
+            parts.append(cells.select("x.*").distinct().filter(said.isin(runs)))
+    return known_values(tuple(r) for r in reduce(DataFrame.unionByName, parts).collect()) if parts else {}
+
+
 class Reader:
     """One question over one catalog: links first, then conditions in their order, then what is shown."""
 
-    def __init__(self, catalog: Catalog, question: str, find: Callable[[str], list[tuple[str, str]]]):
-        self.catalog, self.r = catalog, link(catalog, question, find)
+    def __init__(self, catalog: Catalog, question: str, find: Callable[[str], list[tuple[str, str]]], known: Known | None = None):
+        self.catalog, self.r = catalog, link(catalog, question, find, known)
         self.tables, self.columns, self.numbers, self.values = (self.r.of(k) for k in ("table", "column", "number", "value"))
         if not self.tables and not self.columns:
             raise ValueError("the question names no table and no column")
@@ -196,6 +231,9 @@ class Reader:
                 self.add(v, "{}.{} like '%{}%'".format(*self.owner(after), text), after)
                 continue
             target = next((x for x in reversed(self.columns) if x.end <= v.start and v.start - x.end <= 3 and id(x) not in self.used), None)
+            # What is quoted is in the column named before it, in other cells than the known ones perhaps; a bare run is a value only where it is known.
+            if target and self.r.tokens[v.start][0] not in "'\"" and self.owner(target) not in homes:
+                target = None
             home = self.owner(target) if target else next((h for h in homes if h[0] in self.named), homes[0] if homes else None)
             if home:
                 other = " other than " in self.said(v.start - 3, v.start) or " not " in self.said(v.start - 2, v.start)
@@ -275,12 +313,12 @@ class Reader:
         return text, Options(liked=frozenset(self.named))
 
 
-def shorthand_of(catalog: Catalog, question: str, find: Callable[[str], list[tuple[str, str]]] = lambda _: []) -> tuple[str, Options]:
+def shorthand_of(catalog: Catalog, question: str, find: Callable[[str], list[tuple[str, str]]] = lambda _: [], known: Known | None = None) -> tuple[str, Options]:
     """The shorthand that a question stands for."""
-    return Reader(catalog, question, find).text()
+    return Reader(catalog, question, find, known).text()
 
 
 def ask(engine: Engine, question: str, names: list[str] | None = None) -> DataFrame:
     """The answer to a question."""
-    text, options = shorthand_of(engine.catalog, question, lambda value: find_value(engine, value))
+    text, options = shorthand_of(engine.catalog, question, lambda value: find_value(engine, value), find_known(engine, question))
     return engine.shorthand(text, names, options)

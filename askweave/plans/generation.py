@@ -7,7 +7,7 @@ parsed once per worker and delivery; questions move, never the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askweave.functions.text import db_key
+from askweave.operators.linking import exact_matches
 from askweave.operators.ranking import current_catalog
 from askweave.operators.skew import spread
-from askweave.plans.asking import shorthand_of
+from askweave.plans.asking import known_values, shorthand_of, tokenize
 from askweave.plans.emit import query_sql
 from askweave.plans.inference import expand
 from askweave.plans.selection import PLACEHOLDER
@@ -26,21 +27,25 @@ from askweave.sources.catalog import Catalog
 CATALOG_FIELDS = ("table_names_original", "column_names", "column_names_original", "column_types", "primary_keys", "foreign_keys")
 
 
-def by_rules(question: str, catalog: Catalog) -> list[str]:
-    """One candidate, or none where the rules find no way."""
+def by_rules(question: str, catalog: Catalog, links: Iterable[tuple[str, str, str]] = ()) -> list[str]:
+    """One candidate, or none where the rules find no way. ``links``: values in the question, as value, table and column."""
     try:
-        text, options = shorthand_of(catalog, question)
+        known = known_values(x for x in links if x[2] in catalog.tables.get(x[1], {}))
+        text, options = shorthand_of(catalog, question, lambda value: known.get(" ".join(tokenize(value)), ("", []))[1], known)
         return [query_sql(expand(text, catalog, options))]
     except Exception:  # noqa: BLE001  a question that cannot be read has no candidate
         return []
 
 
-def generated(questions: DataFrame, catalog: DataFrame, generator: Callable[[str, Catalog], list[str]] = by_rules) -> DataFrame:
+def generated(questions: DataFrame, catalog: DataFrame, generator: Callable[..., list[str]] = by_rules, index: DataFrame | None = None) -> DataFrame:
     """``q_id`` and ``sql``, the generator's first candidate or the placeholder, for every question of a current database.
 
-    Null questions and unknown databases have none. Repeated questions are answered each.
+    Null questions and unknown databases have none. Repeated questions are answered each. With a value ``index`` the generator also gets
+    the values of the database whose words stand in the question, quoted or not, with their columns.
     """
 
+    linked = index is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
@@ -49,11 +54,16 @@ def generated(questions: DataFrame, catalog: DataFrame, generator: Callable[[str
             return Catalog.of_row(json.loads(text))
 
         for b in batches:
-            found = [(generator(q, parsed(c)) or [PLACEHOLDER])[0] for q, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            links = [([tuple(x.values()) for x in xs or ()],) for xs in b.column(3).to_pylist()] if linked else [()] * b.num_rows
+            found = [(generator(q, parsed(c), *x) or [PLACEHOLDER])[0] for q, c, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), links)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["q_id", "sql"])
 
     catalogs = current_catalog(catalog).select("db", F.to_json(F.struct(*CATALOG_FIELDS), {"ignoreNullFields": "false"}).alias("catalog"))
     own = questions.filter("question is not null").select("q_id", db_key(F.col("db_id")).alias("db"), "question")
-    own = spread(own).join(catalogs, "db")
+    own, columns = spread(own), ["q_id", "question", "catalog"]
+    if linked:  # before the catalogs, whose texts are longer than the questions
+        links = exact_matches(questions, index).groupBy("q_id").agg(F.collect_set(F.struct("cell_value", "table_name", "column_name")).alias("links"))
+        own, columns = own.join(links, "q_id", "left"), [*columns, "links"]
+    own = own.join(catalogs, "db")
     kind = questions.schema["q_id"].dataType.simpleString()
-    return own.select("q_id", "question", "catalog").mapInArrow(run, f"q_id {kind}, sql string")
+    return own.select(*columns).mapInArrow(run, f"q_id {kind}, sql string")

@@ -228,7 +228,7 @@ def select_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generate_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generated(table(spark, sf_dir, "train_spider"), table(spark, sf_dir, "spider_tables"))
+    return generated(table(spark, sf_dir, "train_spider"), table(spark, sf_dir, "spider_tables"), index=value_index(spark, sf_dir))
 
 
 def generate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
