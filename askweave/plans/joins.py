@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
+import heapq
 
-from askweave.plans.syntax import Bool, Col, Cond, Source
+from askweave.plans.parser import QueryError
+from askweave.plans.syntax import Col, Cond, Source
 from askweave.sources.catalog import Catalog
 
-#: Tables of a path at most.
-LONGEST = 7
-
-
 def closure(foreign: tuple[tuple[str, str, str, str], ...]) -> set[tuple[str, str, str, str]]:
     """Foreign keys and those that follow when a key's target is itself a foreign key."""
     out = set(foreign)
@@ -41,28 +38,75 @@ def neighbours(catalog: Catalog) -> dict[str, list[str]]:
     return out
 
 
+#: Up to so many wanted tables the smallest set is found exactly (its cost is 3 to this power); more are joined one by one, nearest first.
+EXACT = 10
+
+
 def covering(catalog: Catalog, wanted: list[str], liked: frozenset[str] = frozenset()) -> list[str] | None:
-    """The smallest connected set of tables with all that are wanted; of equal ones that with most liked tables, then the first found."""
-    need, near = set(wanted), neighbours(catalog)
-    start = frozenset([wanted[0]])
-    queue, seen, found = deque([start]), {start}, []
-    while queue:
-        own = queue.popleft()
-        if found and len(own) > len(found[0]):
-            break
-        if need <= own:
-            found.append(own)
-            continue
-        if len(own) < LONGEST:
-            for t in [n for x in [t for t in catalog.tables if t in own] for n in near[x]]:
-                more = own | {t}
-                if t not in own and more not in seen:
-                    seen.add(more)
-                    queue.append(more)
-    if not found:
+    """The smallest connected set of tables with all that are wanted, however far apart; of equal ones that with most liked tables.
+
+    A smallest tree over the wanted tables is put together from smaller ones (each for a subset of the wanted tables and one more
+    table in which they meet), so the cost grows with the catalog, not with the length of the paths. None where they do not hang together.
+    """
+    order, near = {t: i for i, t in enumerate(catalog.tables)}, neighbours(catalog)
+    wanted = [*dict.fromkeys(wanted)]
+    weight = {t: (1, -(t in liked)) for t in near}
+    if any(t not in near for t in wanted):
         return None
-    best = max(found, key=lambda s: len(s & liked))
-    return [t for t in catalog.tables if t in best]
+    best = _smallest(near, weight, order, wanted) if len(wanted) <= EXACT else _grown(near, weight, order, wanted)
+    return None if best is None else [t for t in catalog.tables if t in best]
+
+
+def _spread(near, weight, order, start: dict[str, tuple[tuple[int, int], frozenset[str]]]) -> dict[str, tuple[tuple[int, int], frozenset[str]]]:
+    """Cheapest trees that reach each table from the given ones, a table at a time."""
+    done: dict[str, tuple[tuple[int, int], frozenset[str]]] = {}
+    heap = [(cost, order.get(t, 0), t, own) for t, (cost, own) in start.items()]
+    heapq.heapify(heap)
+    while heap:
+        cost, _, t, own = heapq.heappop(heap)
+        if t in done:
+            continue
+        done[t] = (cost, own)
+        for n in near[t]:
+            if n not in done:
+                heapq.heappush(heap, (_plus(cost, weight[n]), order.get(n, 0), n, own | {n}))
+    return done
+
+
+def _plus(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
+    return a[0] + b[0], a[1] + b[1]
+
+
+def _smallest(near, weight, order, wanted: list[str]) -> frozenset[str] | None:
+    full = (1 << len(wanted)) - 1
+    trees = {1 << i: _spread(near, weight, order, {t: (weight[t], frozenset([t]))}) for i, t in enumerate(wanted)}
+    for group in range(1, full + 1):
+        if group & group - 1 == 0:
+            continue
+        met: dict[str, tuple[tuple[int, int], frozenset[str]]] = {}
+        part = group & group - 1
+        while part:
+            if part > group ^ part:
+                for t in trees[part].keys() & trees[group ^ part].keys():
+                    (ca, a), (cb, b) = trees[part][t], trees[group ^ part][t]
+                    cost = (ca[0] + cb[0] - weight[t][0], ca[1] + cb[1] - weight[t][1])
+                    if t not in met or cost < met[t][0]:
+                        met[t] = (cost, a | b)
+            part = part - 1 & group
+        trees[group] = _spread(near, weight, order, met)
+    found = trees[full].values()
+    return min(found, key=lambda x: (x[0], sorted(order.get(t, 0) for t in x[1])))[1] if found else None
+
+
+def _grown(near, weight, order, wanted: list[str]) -> frozenset[str] | None:
+    own = frozenset(wanted[:1])
+    while rest := [t for t in wanted if t not in own]:
+        reach = _spread(near, weight, order, {t: ((0, 0), own) for t in own})
+        hit = [reach[t] for t in rest if t in reach]
+        if not hit:
+            return None
+        own = min(hit, key=lambda x: x[0])[1]
+    return own
 
 
 def all_paths(catalog: Catalog, longest: int = 5) -> list[frozenset[str]]:
@@ -83,8 +127,11 @@ def bridges(catalog: Catalog) -> list[str]:
     return sorted(t for t, x in to.items() if len(x) > 1)
 
 
-def join_sources(catalog: Catalog, wanted: list[str], liked: frozenset[str] = frozenset()) -> tuple[Source, ...]:
-    """FROM for the wanted tables (in their order of appearance), with what lies between them; no path gives a cross join."""
+def join_sources(catalog: Catalog, wanted: list[str], liked: frozenset[str] = frozenset(), cross: bool = False) -> tuple[Source, ...]:
+    """FROM for the wanted tables (in their order of appearance), with what lies between them.
+
+    Tables that no key, primary key's name or shared column links are an error, for their join would be a product; ``cross`` allows it.
+    """
     wanted = [*dict.fromkeys(wanted)]
     if not wanted:
         return ()
@@ -95,6 +142,8 @@ def join_sources(catalog: Catalog, wanted: list[str], liked: frozenset[str] = fr
     while rest:
         hit = next(((t, e) for p in placed for t in rest if (e := catalog.edges(p, t))), None) or next(((t, e) for p in placed for t in rest if (e := _made_edges(catalog, p, t))), None)
         if hit is None:
+            if not cross:
+                raise QueryError(f"nothing links {', '.join(placed)} and {rest[0]}")
             out.append(Source(rest[0], rest[0]))
             placed.append(rest.pop(0))
             continue
@@ -104,8 +153,3 @@ def join_sources(catalog: Catalog, wanted: list[str], liked: frozenset[str] = fr
         placed.append(t)
         rest.remove(t)
     return tuple(out)
-
-
-def and_on(source: Source, extra: Cond) -> Source:
-    """The source with one more join condition."""
-    return Source(source.table, source.alias, extra if source.on is None else Bool("and", (source.on, extra)), source.query)

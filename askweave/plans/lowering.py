@@ -6,7 +6,8 @@ Where the language is looser than ANSI SQL, the meaning is fixed here:
 * whole numbers divide to whole numbers, and division by zero is null;
 * LIKE does not look at letter case; a scalar nested query of several rows gives its first;
 * set operations run from left to right; nulls come first in ascending order and last in descending order;
-* NOT IN keeps SQL's nulls: a null on the right lets nothing through, an empty right everything.
+* IN and NOT IN keep SQL's nulls wherever they stand: with a null on the right NOT IN lets nothing through, with an empty right everything;
+* DISTINCT with an order key outside the projection: of equal rows, the one that comes first gives the place.
 """
 
 from __future__ import annotations
@@ -90,7 +91,15 @@ class Lowering:
                 df = self.filtered(df, q.having, scope, prefix, made)
         out = [self.expr(e, scope, prefix, made).alias(f"o{i}") for i, e in enumerate(q.select)]
         if q.distinct or not whole:
-            named = df.select(*out)
+            beside = [o for o in q.order if o.expr not in q.select] if whole and q.distinct else []
+            named = df.select(*out, *(self.expr(o.expr, scope, prefix, made).alias(f"_s{i}") for i, o in enumerate(beside)))
+            if beside:
+                # Of the rows that are one after DISTINCT, the one that comes first gives the order.
+                firsts = [(F.max if o.desc else F.min)(f"_s{i}").alias(f"_s{i}") for i, o in enumerate(beside)]
+                df = named.groupBy(*(f"o{i}" for i in range(len(out)))).agg(*firsts)
+                df = df.orderBy(*self.orders(q.order, lambda e: F.col(f"o{q.select.index(e)}") if e in q.select else F.col(f"_s{[o.expr for o in beside].index(e)}")))
+                df = df if q.limit is None else df.limit(q.limit)
+                return df.select(*(f"o{i}" for i in range(len(out))))
             df = named.distinct() if q.distinct else named
             if whole:
                 df = df.orderBy(*self.orders(q.order, lambda e: F.col(f"o{q.select.index(e)}"))) if q.order else df
@@ -147,10 +156,32 @@ class Lowering:
         a, b = self.alike(df, left, right, F.col(v))
         if c.op == "in":
             return df.join(right, a == b, "left_semi")
-        # Null-aware without a nested loop: one look at the right side (0 empty, 1 full, 2 with nulls), then a plain anti join.
-        state = right.agg(F.when(F.count(F.lit(1)) == 0, 0).when(F.count(v) == F.count(F.lit(1)), 1).otherwise(2)).scalar()
+        # Null-aware without a nested loop: one look at the right side, then a plain anti join.
+        state = self.fullness(right, v)
         return df.filter((state == 0) | left.isNotNull() & (state == 1)).join(right.filter(F.col(v).isNotNull()), a == b, "left_anti")
 
+    @staticmethod
+    def fullness(right: DataFrame, v: str) -> Column:
+        """0 where the right side of an IN is empty, 1 where it has no nulls, 2 where it has some."""
+        return right.agg(F.when(F.count(F.lit(1)) == 0, 0).when(F.count(v) == F.count(F.lit(1)), 1).otherwise(2)).scalar()
+
+    def among(self, p: Cond, left: Column, scope, prefix: str) -> Column:
+        """IN over a nested query as a value of its own, below OR or NOT: true, false or null as SQL has it.
+
+        The nested query is an existence join on equality; its nulls come from one look at it, so nothing loops over pairs.
+        """
+        v = self.fresh("v")
+        inner = self.query(p.right.query).toDF(v)
+        a, b = self.type(p.left, scope, prefix), inner.dtypes[0][1]
+        own, other = left.outer(), F.col(v)
+        if a == "string" and b.startswith(NUMBERS):
+            own = own.try_cast("double")
+        elif b == "string" and a.startswith(NUMBERS):
+            other = other.try_cast("double")
+        state = self.fullness(inner, v)
+        found = inner.filter(other == own).exists()
+        return F.when(state == 0, F.lit(False)).when(left.isNull(), F.lit(None).cast("boolean")).when(found, F.lit(True)).when(state == 2, F.lit(None).cast("boolean")).otherwise(F.lit(False))
+
     @staticmethod
     def alike(df: DataFrame, left: Column, right_df: DataFrame, right: Column) -> tuple[Column, Column]:
         a, b = df.select(left).dtypes[0][1], right_df.select(right).dtypes[0][1]
@@ -178,9 +209,7 @@ class Lowering:
         if op == "in" and isinstance(p.right, Sub) and not p.right.query.sources:
             out = left.isin(*[v.value for v in p.right.query.select])
         elif op == "in":
-            v = self.fresh("v")
-            inner = self.query(p.right.query).toDF(v)
-            out = inner.filter(F.col(v) == left.outer()).exists()
+            out = self.among(p, left, scope, prefix)
         elif op == "between":
             a, b = self.matched(p.left, p.right, scope, prefix, made)
             c, d = self.matched(p.left, p.high, scope, prefix, made)

@@ -39,6 +39,26 @@ _add("filter_in_list", "sql", "select c_custkey from customer where c_mktsegment
 _add("filter_in_subquery", "sql", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 400000)", "custkey", "SELECT c_custkey AS custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 _add("filter_not_in_subquery", "sql", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)", "custkey", "SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 _add("filter_in_or", "sql", "select c_custkey from customer where c_acctbal > 9000 or c_custkey in (select o_custkey from orders where o_totalprice > 400000)", "custkey", "SELECT c_custkey AS custkey FROM customer WHERE c_acctbal > 9000 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+_add(
+    "not_in_or_nulls", "sql", "select doc_id from documents where doc_id = 3 or lang not in (select lang from documents where doc_id < 400)", "doc_id",
+    "SELECT doc_id FROM documents WHERE doc_id = 3 OR lang NOT IN (SELECT lang FROM documents WHERE doc_id < 400)",
+)
+_add(
+    "not_in_or_full", "sql", "select doc_id from documents where doc_id = 3 or lang not in (select lang from documents where lang = 'en' or lang = 'de')", "doc_id",
+    "SELECT doc_id FROM documents WHERE doc_id = 3 OR lang NOT IN (SELECT lang FROM documents WHERE lang IN ('en', 'de'))",
+)
+_add(
+    "not_of_in", "sql", "select s_suppkey from supplier where not (s_nationkey in (select c_nationkey from customer where c_acctbal > 9000) or s_acctbal > 5000)", "suppkey",
+    "SELECT s_suppkey AS suppkey FROM supplier WHERE NOT (s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000) OR s_acctbal > 5000)",
+)
+_add(
+    "in_or_mixed_types", "sql", "select p_partkey from part where p_size = 7 or p_name in (select s_suppkey from supplier) or p_partkey in (select r_name from region)", "partkey",
+    "SELECT p_partkey AS partkey FROM part WHERE p_size = 7 OR TRY_CAST(p_name AS DOUBLE) IN (SELECT s_suppkey FROM supplier) OR p_partkey IN (SELECT TRY_CAST(r_name AS DOUBLE) FROM region WHERE TRY_CAST(r_name AS DOUBLE) IS NOT NULL)",
+)
+_add(
+    "distinct_order_other", "sql", "select distinct c_nationkey from customer order by c_acctbal desc limit 9", "nation",
+    "SELECT c_nationkey AS nation FROM customer GROUP BY 1 ORDER BY max(c_acctbal) DESC LIMIT 9",
+)
 _add("filter_exists", "sql", "select r_name from region where exists (select n_name from nation where n_nationkey > 20)", "name", "SELECT r_name AS name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 20)")
 _add("filter_is_null", "sql", "select count(*) from documents where lang is null", "n", "SELECT count(*) AS n FROM documents WHERE lang IS NULL")
 _add("filter_is_not_null", "sql", "select count(*) from documents where title is not null", "n", "SELECT count(*) AS n FROM documents WHERE title IS NOT NULL")
@@ -52,6 +72,11 @@ _add("join_inferred_2", "short", "select nation.n_name , region.r_name from nati
 _add("join_inferred_4", "short", "select region.r_name , count ( orders.* ) from region group by region.r_name", "region n", "SELECT r_name AS region, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY r_name")
 _add("join_bridge_choice", "short", "select part.p_brand , count ( lineitem.* ) from part where supplier.s_nationkey = 7 group by part.p_brand", "brand n", "SELECT p_brand AS brand, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = 7 GROUP BY p_brand")
 _add("join_forced", "short", "select nation.n_name , count ( lineitem.* ) from nation where @.@ join supplier.* group by nation.n_name", "nation n", "SELECT n_name AS nation, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey GROUP BY n_name")
+_add(
+    "join_long_chain", "short", "select events.event_type , count ( part.* ) from events where region.r_name = 'ASIA' group by events.event_type", "kind n",
+    """SELECT event_type AS kind, count(*) AS n FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+       JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE r_name = 'ASIA' GROUP BY 1""",
+)
 _add("join_any_table", "short", "select count ( distinct customer.c_custkey ) from customer where @.@ = orders.*", "n", "SELECT count(DISTINCT c_custkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey")
 _add("self_join", "sql", "select a.n_name, b.n_name from nation as a join nation as b on a.n_regionkey = b.n_regionkey where a.n_nationkey < b.n_nationkey", "first second", "SELECT a.n_name AS first, b.n_name AS second FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey")
 _add("cross_join", "sql", "select r_name, n_name from region join nation", "region nation", "SELECT r_name AS region, n_name AS nation FROM region CROSS JOIN nation")

@@ -108,3 +108,43 @@ def test_null_semantics(spark, tmp_path):
     assert engine.sql("select k / 0 from l where k = 1").collect()[0][0] is None
     assert [r[0] for r in engine.sql("select k from l where s like 'A'").collect()] == [1]
     assert engine.sql("select k from l where s > 1").collect() == []
+
+
+def test_in_below_or_and_not(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (99,), (None,)], "a int").write.parquet(f"{tmp_path}/t.parquet")
+    spark.createDataFrame([(1,), (None,)], "b int").write.parquet(f"{tmp_path}/u.parquet")
+    spark.createDataFrame([("1",), ("x",)], "s string").write.parquet(f"{tmp_path}/w.parquet")
+    spark.createDataFrame([], "b int").write.parquet(f"{tmp_path}/e.parquet")
+    engine = Engine(spark, str(tmp_path), Catalog({"t": {"a": "int"}, "u": {"b": "int"}, "e": {"b": "int"}, "w": {"s": "string"}}))
+    rows = lambda where: {r[0] for r in engine.sql(f"select a from t where {where}").collect()}
+    assert rows("a = 99 or a not in (select b from u)") == {99}
+    assert rows("not a in (select b from u)") == set()
+    assert rows("a = 2 or a in (select b from u)") == {1, 2}
+    assert rows("a = 2 or a not in (select b from e)") == {1, 2, 99, None}
+    assert rows("a = 2 or a not in (select b from u where b is not null)") == {2, 99}
+    assert rows("a = 2 or a in (select s from w)") == {1, 2}
+    assert {r[0] for r in engine.sql("select s from w where s = 'x' or s in (select b from u)").collect()} == {"1", "x"}
+
+
+def test_distinct_with_another_order(spark, tmp_path):
+    spark.createDataFrame([("a", 3), ("b", 2), ("a", 1), ("c", 0)], "k string, v int").write.parquet(f"{tmp_path}/t.parquet")
+    engine = Engine(spark, str(tmp_path), Catalog({"t": {"k": "string", "v": "int"}}))
+    assert [r[0] for r in engine.sql("select distinct k from t order by v").collect()] == ["c", "a", "b"]
+    assert [r[0] for r in engine.sql("select distinct k from t order by v desc limit 2").collect()] == ["a", "b"]
+
+
+def chain(n):
+    names = [f"t{i}" for i in range(n)]
+    return Catalog({t: {"id": "int", "up": "int"} for t in names}, {t: "id" for t in names}, tuple((names[i], "up", names[i - 1], "id") for i in range(1, n)))
+
+
+def test_paths_of_any_length_and_no_silent_product():
+    long = chain(30)
+    assert covering(long, ["t0", "t29"]) == list(long.tables)
+    assert covering(long, [f"t{i}" for i in range(0, 30, 2)]) == [f"t{i}" for i in range(29)]
+    apart = Catalog({"a": {"x": "int"}, "b": {"y": "string"}})
+    with pytest.raises(QueryError):
+        expand("select a.x , b.y from a", apart)
+    assert query_sql(expand("select a.x , b.y from a", apart, Options(cross=True))) == "select a.x, b.y from a cross join b"
+    ring = Catalog({t: {"id": "int", "k": "int"} for t in "abcd"}, {t: "id" for t in "abcd"}, (("b", "k", "a", "id"), ("c", "k", "a", "id"), ("d", "k", "b", "id"), ("d", "id", "c", "id")))
+    assert covering(ring, ["a", "d"], frozenset("c")) == ["a", "c", "d"] and covering(ring, ["a", "d"]) == ["a", "b", "d"]
