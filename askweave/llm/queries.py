@@ -83,7 +83,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+    return p8_leaks(spark, sf_dir).filter(F.col("longest") >= LEAK_WORDS).select("doc_id", "item_id").distinct()
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +120,14 @@ _FORM = rf"""
       lambda c: CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248) WHEN c = 'ﬁ' THEN 'fi' WHEN unicode(c) = 8490 THEN 'K' ELSE c END), '')), '[\p{{L}}\p{{N}}]+'),
       lambda w: lower(CASE WHEN regexp_matches(w, '\p{{Latin}}') THEN translate(w, '{_DOUBLES}', '{"".join(LOOKALIKES.values())}') ELSE w END))"""
 
+# Windows of 13 words, or of a shorter item as a whole, with their places.
+_WINDOWS = r"""
+    WITH d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM test_items WHERE text IS NOT NULL) WHERE len(w) >= 5),
+    iw AS (SELECT item_id, len(w) AS item_words, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+    dw AS (SELECT doc_id, len(w) AS doc_words, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
+    m AS (SELECT dw.doc_id, dw.doc_words, iw.item_id, iw.item_words, iw.n, dw.k, iw.k AS j FROM dw JOIN iw USING (g, n))"""
+
 
 def _canonical(name: str) -> str:
     """``c_<name>``: canonical query and words of each question of a table."""
@@ -145,6 +153,21 @@ ORACLES = {
         dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
         iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13))
         SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
+    "p8_leaks": _WINDOWS + """,
+        x AS (SELECT DISTINCT doc_id, doc_words, item_id, item_words, n, k FROM m),
+        y AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k) AS run, lead(k) OVER (PARTITION BY doc_id, item_id ORDER BY k) AS next FROM x),
+        r AS (SELECT doc_id, item_id, max(c) AS c FROM (SELECT doc_id, item_id, count(*) AS c FROM y GROUP BY doc_id, item_id, run) GROUP BY ALL),
+        z AS (SELECT doc_id, item_id, sum(least(n, coalesce(next - j, n))) AS covered FROM (SELECT *, lead(j) OVER (PARTITION BY doc_id, item_id ORDER BY j) AS next FROM (SELECT DISTINCT doc_id, item_id, n, j FROM m)) GROUP BY ALL)
+        SELECT doc_id, item_id, doc_words, item_words, min(k) - 1 AS first_word, any_value(c) + any_value(n) - 1 AS longest, count(*) AS windows, CAST(sum(least(n, coalesce(next - k, n))) AS BIGINT) AS leaked_words, CAST(any_value(covered) AS BIGINT) AS item_covered
+        FROM y JOIN r USING (doc_id, item_id) JOIN z USING (doc_id, item_id) GROUP BY doc_id, item_id, doc_words, item_words""",
+    "p8_scrubbed": _WINDOWS + r""",
+        gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS w FROM m),
+        hit AS (SELECT doc_id, count(*) AS leaked FROM gone GROUP BY doc_id),
+        p AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS place FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS ps FROM d JOIN hit USING (doc_id))),
+        q AS (SELECT *, regexp_matches(piece, '^[\p{L}\p{N}]') AS word, sum(CASE WHEN regexp_matches(piece, '^[\p{L}\p{N}]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS w FROM p),
+        kept AS (SELECT q.doc_id, coalesce(string_agg(piece, '' ORDER BY place) FILTER (a.w IS NULL OR NOT word AND b.w IS NULL), '') AS kept_text FROM q LEFT JOIN gone a ON a.doc_id = q.doc_id AND a.w = q.w LEFT JOIN gone b ON b.doc_id = q.doc_id AND b.w = q.w + 1 GROUP BY q.doc_id)
+        SELECT o.doc_id, CAST(coalesce(leaked, 0) AS INTEGER) AS leaked_words, CASE WHEN leaked IS NULL THEN o.text WHEN leaked > 0.5 * len(d.w) THEN NULL ELSE kept_text END AS kept_text
+        FROM documents o LEFT JOIN d USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "p4_found": """
         WITH RECURSIVE r AS (SELECT DISTINCT lower(trim(db_id)) AS db, author FROM train_spider WHERE db_id IS NOT NULL AND author IS NOT NULL AND author <> ''),
         e AS (SELECT DISTINCT x.db AS a, y.db AS b FROM r x JOIN r y ON x.author = y.author AND x.db <> y.db),
