@@ -1,13 +1,14 @@
 """Records that differ in formatting only, collapsed to one each (problem 2).
 
 Every record has a 64-bit hash of its canonical fields. Each task turns the hashes that it sees once and those that
-it sees repeatedly into places of a segmented Bloom filter; the filters of all tasks are merged per segment, a place
+it sees repeatedly into a segmented Bloom filter; the filters of all tasks are merged per segment, a place
 met by two tasks counting as repeated. Only records whose every place is marked repeated are shuffled, as
 (id, digest), and grouped exactly; all others are singletons without having moved.
 
-The merged filter goes to the shared folder and is read by the tasks that need it, never through the driver. Its
-size is known beforehand, ``bits_per_row`` bits a record. A filter above ``max_filter_bytes`` is made in passes, each
-for a range of hashes; where that would take more than ``max_passes``, all records are grouped exactly.
+A task's share of a segment is sent as 4 bytes a distinct hash, of which the places follow, or as two bit maps where those are
+smaller. The merged filter goes to the shared folder and is read by the tasks that need it, never through the driver. Its
+size is known beforehand, ``bits_per_row`` bits a record. A filter above ``max_filter_bytes`` is made in passes, however many, each
+for a range of hashes; records are kept in the order of their ranges, so that a pass reads its own only.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from askweave.storage import SharedTables
 HASHES = 3
 SEGMENT_BITS = 22
 CHUNK = 1 << 20
+#: Ranges of hashes that records are kept in the order of.
+RANGES = 1 << 12
 
 
 def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """``HASHES`` places below 2**bits for each hash."""
+    """``HASHES`` places below 2**bits for each hash of 32 bits."""
     h = hashes.astype(np.uint64)
     out = np.empty((HASHES, len(h)), np.uint32)
     for i in range(HASHES):
@@ -46,19 +49,39 @@ def _segments(hashes: np.ndarray, segments: int) -> np.ndarray:
     return (hashes.astype(np.uint64) % np.uint64(segments)).astype(np.int64)
 
 
+def _short(hashes: np.ndarray, segments: int) -> np.ndarray:
+    """32 bits of each hash, of those that do not name its segment; equal ones only make a place look repeated."""
+    return (hashes.astype(np.uint64) // np.uint64(segments)).astype(np.uint32)
+
+
+def _map(places: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(1 << bits, bool)
+    out[places] = True
+    return out
+
+
 def _seen(segments: int, bits: int):
+    """``once`` and ``again`` of each segment: short hashes, or, where ``maps``, bit maps of their places."""
+    room = (1 << bits) // 8
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(parts: list[np.ndarray]) -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(parts), return_counts=True)
-            where, places = _segments(found, segments), _places(found, bits)
+            where, short = _segments(found, segments), _short(found, segments)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(segments + 1))
             rows = []
-            for s in range(segments):
+            for s in np.flatnonzero(np.diff(cuts)):
                 own = order[cuts[s] : cuts[s + 1]]
-                if len(own):
-                    rows.append((s, np.unique(places[:, own]).tobytes(), np.unique(places[:, own[times[own] > 1]]).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "once", "again"])
+                once, again = short[own], short[own[times[own] > 1]]
+                if 4 * (len(once) + len(again)) > 2 * room:
+                    places = _places(once, bits).ravel()
+                    met = np.bincount(places, minlength=1 << bits)
+                    rows.append((s, True, np.packbits(met > 0).tobytes(), np.packbits((met > 1) | _map(_places(again, bits).ravel(), bits)).tobytes()))
+                else:
+                    rows.append((s, False, np.sort(once).tobytes(), np.sort(again).tobytes()))
+            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["segment", "maps", "once", "again"])
 
         held: list[np.ndarray] = []
         for b in batches:
@@ -76,62 +99,76 @@ def _seen(segments: int, bits: int):
 def _merge(bits: int):
     def run(table: pa.Table) -> pa.Table:
         once, again = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
-        for a, b in zip(table.column("once"), table.column("again")):
-            new = np.frombuffer(a.as_buffer(), np.uint32)
-            again[new[once[new]]] = True
-            once[new] = True
-            again[np.frombuffer(b.as_buffer(), np.uint32)] = True
+        for maps, a, b in zip(table.column("maps").to_pylist(), table.column("once"), table.column("again")):
+            if maps:
+                new, twice = (np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)).view(bool) for x in (a, b))
+            else:
+                places = _places(np.frombuffer(a.as_buffer(), np.uint32), bits).ravel()
+                new, twice = _map(places, bits), _map(_places(np.frombuffer(b.as_buffer(), np.uint32), bits).ravel(), bits)
+                twice |= np.bincount(places, minlength=1 << bits) > 1
+            again |= once & new | twice
+            once |= new
         return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(again).tobytes()], pa.binary())})
 
     return run
 
 
-@lru_cache(1)
-def _read_filter(path: str, segments: int, bits: int) -> np.ndarray:
+@lru_cache(2)
+def _read_filter(path: str, fetched: bool, segments: int, bits: int) -> np.ndarray:
     import pyarrow.dataset as ds
-    from pyarrow import fs
+    from pyspark import SparkFiles
 
-    system, inner = fs.FileSystem.from_uri(path)
     out = np.zeros((segments, max(1, (1 << bits) // 8)), np.uint8)
-    for batch in ds.dataset(inner, filesystem=system, format="parquet").to_batches(batch_size=16):
+    for batch in ds.dataset(SparkFiles.get(path) if fetched else path, format="parquet").to_batches(batch_size=16):
         for s, b in zip(batch.column("segment").to_pylist(), batch.column("bits")):
             out[s] = np.frombuffer(b.as_buffer(), np.uint8)
     return out
 
 
-def _probe(path: str, segments: int, bits: int):
+def _probe(path: str, fetched: bool, segments: int, bits: int):
     def run(values: pa.Array) -> pa.Array:
-        filled, hashes = _read_filter(path, segments, bits), values.to_numpy(zero_copy_only=False)
+        filled, hashes = _read_filter(path, fetched, segments, bits), values.to_numpy(zero_copy_only=False)
         where, hit = _segments(hashes, segments), np.ones(len(hashes), bool)
-        for p in _places(hashes, bits):
+        for p in _places(_short(hashes, segments), bits):
             hit &= (filled[where, p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
         return pa.array(hit)
 
     return F.arrow_udf(run, T.BooleanType())
 
 
-def _uri(df: DataFrame, path: str) -> str:
-    spark = df.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
-    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+def _reachable(df: DataFrame, path: str, fetch: bool = False) -> tuple[str, bool]:
+    """Where workers find a folder of the shared file system: at its path, or, where that is no mounted one, fetched by each executor itself."""
+    context = df.sparkSession.sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    if full.getScheme() == "file" and not fetch:
+        return full.getPath(), False
+    context.addFile(full.toString(), recursive=True)
+    return full.getPath().rstrip("/").rpartition("/")[2], True
+
+
+def hash_range(h: Column) -> Column:
+    """The range of a hash, of ``RANGES``."""
+    return F.shiftrightunsigned(h, 64 - RANGES.bit_length() + 1).cast("int")
 
 
-def possible_repeats(df: DataFrame, hash_col: str, tables: SharedTables, bits_per_row: int = 12, max_filter_bytes: int = 128 << 20, max_passes: int = 16) -> DataFrame:
-    """``df`` with ``_maybe``: false only where no other row has the same hash. A null hash is never a repeat."""
+def possible_repeats(df: DataFrame, hash_col: str, range_col: str, tables: SharedTables, bits_per_row: int = 12, max_filter_bytes: int = 128 << 20, fetch: bool = False) -> DataFrame:
+    """``df`` with ``_maybe``: false only where no other row has the same hash. A null hash is never a repeat.
+
+    ``range_col`` is the hash's :func:`hash_range`. With ``fetch`` executors fetch the filter even where they could read it in place.
+    """
     rows = df.filter(F.col(hash_col).isNotNull()).count()
-    passes = max(1, math.ceil(rows * bits_per_row / 8 / max_filter_bytes))
-    if passes > max_passes:
-        return df.withColumn("_maybe", F.col(hash_col).isNotNull())
+    passes = min(RANGES, max(1, math.ceil(rows * bits_per_row / 8 / max_filter_bytes)))
     bits = min(SEGMENT_BITS, max(10, math.ceil(math.log2(max(1, rows * bits_per_row / passes)))))
     segments = max(1, math.ceil(rows * bits_per_row / passes / (1 << bits)))
-    out = None
+    out = df.filter(F.col(hash_col).isNull()).withColumn("_maybe", F.lit(False))
     for k in range(passes):
-        part = df if passes == 1 else df.filter(F.coalesce(F.pmod(F.shiftrightunsigned(hash_col, 40), F.lit(passes)), F.lit(0)) == k)
-        seen = part.filter(F.col(hash_col).isNotNull()).select(hash_col).mapInArrow(_seen(segments, bits), "segment long, once binary, again binary")
+        part = df.filter(F.col(hash_col).isNotNull())
+        if passes > 1:
+            part = part.filter((F.col(range_col) >= k * RANGES // passes) & (F.col(range_col) < (k + 1) * RANGES // passes))
+        seen = part.select(hash_col).mapInArrow(_seen(segments, bits), "segment long, maps boolean, once binary, again binary")
         merged = tables.write(seen.groupBy("segment").applyInArrow(_merge(bits), "segment long, bits binary"))
-        kept = part.withColumn("_maybe", F.col(hash_col).isNotNull() & _probe(_uri(df, merged._askweave_path), segments, bits)(F.coalesce(F.col(hash_col), F.lit(0).cast("long"))))
-        out = kept if out is None else out.unionByName(kept)
+        out = out.unionByName(part.withColumn("_maybe", _probe(*_reachable(df, merged._askweave_path, fetch), segments, bits)(F.col(hash_col))))
     return out
 
 
@@ -143,17 +180,18 @@ class Copies:
     empty table has no groups. Other columns of ``df`` are not looked at, whatever their names.
     """
 
-    def __init__(self, df: DataFrame, id_col: str, keys: list[Column], required: Column | None = None, **filter_options: int):
+    def __init__(self, df: DataFrame, id_col: str, keys: list[Column], required: Column | None = None, **filter_options: float):
         self.id_col = id_col
         canon = df.select(F.col(id_col).alias("_id"), (F.lit(True) if required is None else required.isNotNull()).alias("_may"), *(k.alias(f"_k{i}") for i, k in enumerate(keys)))
         parts = [F.coalesce(F.concat(F.lit("="), F.col(f"_k{i}")), F.lit("-")) for i in range(len(keys))]
         keyed = canon.select("_id", F.when(F.col("_may"), F.concat_ws("\x1f", *parts)).alias("_key"))
         keyed = keyed.select("_id", F.when(F.col("_key").isNotNull(), F.xxhash64("_key")).alias("_h"), F.unhex(F.sha2("_key", 256)).alias("_digest"))
         self.tables = SharedTables(df.sparkSession, "copies")
-        # Canonical forms are made once; what is kept of them is 48 bytes a record.
-        keyed = self.tables.write(keyed)
-        flagged = possible_repeats(keyed, "_h", self.tables, **filter_options)
+        # Canonical forms are made once; what is kept of them is 52 bytes a record.
+        keyed = self.tables.write(keyed.withColumn("_range", hash_range(F.col("_h"))).sortWithinPartitions("_range"))
+        flagged = possible_repeats(keyed, "_h", "_range", self.tables, **filter_options)
         self.records = self.tables.write(flagged.select("_id", F.when(F.col("_maybe"), F.col("_digest")).alias("_digest")))
+        self.tables.drop(keyed)
         self.maybe = self.records.filter("_digest is not null")
 
     def groups(self) -> DataFrame:

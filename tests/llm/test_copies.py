@@ -1,7 +1,9 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from askweave.functions.text import compact, db_key
 from askweave.llm.canon import _by_structure, canonical_query, query_key
-from askweave.llm.copies import HASHES, Copies, _places
+from askweave.llm.copies import HASHES, Copies, _merge, _places, _seen, _segments, _short
 
 
 @pytest.mark.parametrize(
@@ -57,7 +59,7 @@ def _rows():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"max_filter_bytes": 2000}, {"max_filter_bytes": 10, "max_passes": 2}])
+@pytest.mark.parametrize("options", [{}, {"max_filter_bytes": 2000, "fetch": True}, {"max_filter_bytes": 200}])
 def test_equal_to_brute_force(spark, options):
     rows = _rows()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "q_id long, db string, question string, query string, _id string, _digest int").repartition(5)
@@ -81,12 +83,31 @@ def test_empty(spark):
     assert copies.members().count() == 0 and copies.collapsed().count() == 0
 
 
-def test_filter_clears_most_singletons(spark):
+@pytest.mark.parametrize("options", [{}, {"max_filter_bytes": 1500}])  # one pass, and twenty
+def test_filter_clears_most_singletons(spark, options):
     df = spark.range(20_000).select("id", F.concat(F.lit("t"), (F.col("id") % 19_000).cast("string")).alias("t"))
-    maybe = Copies(df, "id", [F.col("t")]).maybe.count()
+    maybe = Copies(df, "id", [F.col("t")], **options).maybe.count()
     assert 2000 <= maybe < 3000
 
 
+@pytest.mark.parametrize("n", [50, 5000])
+def test_filter_as_hashes_and_as_bit_maps(n):
+    r = np.random.default_rng(1)
+    parts = [r.integers(-(2**63), 2**63, n) for _ in range(3)]
+    parts[1][:5], parts[2][:3] = parts[0][:5], parts[2][5:8]
+    shares = [b for p in parts for b in _seen(3, 12)(iter([pa.record_batch([pa.array(p)], ["h"])]))]
+    assert {x for b in shares for x in b.column("maps").to_pylist()} == {n == 5000}
+    table = pa.Table.from_batches(shares)
+    merged = {s: np.unpackbits(np.frombuffer(_merge(12)(table.filter(pc.equal(table["segment"], s)))["bits"][0].as_buffer(), np.uint8)) for s in range(3)}
+    every = np.concatenate(parts)
+    for s in range(3):
+        own = every[_segments(every, 3) == s]
+        kinds, times = np.unique(own, return_counts=True)
+        places = [set(p) for p in _places(_short(kinds, 3), 12).T.tolist()]
+        want = {x for p, t in zip(places, times) for x in p if t > 1} | {x for x, c in Counter(x for p in _places(_short(kinds, 3), 12).T.tolist() for x in p).items() if c > 1}
+        assert set(np.flatnonzero(merged[s])) == want
+
+
 def test_places_are_spread():
     p = _places(np.arange(10_000, dtype=np.int64), 16)
     assert p.shape == (HASHES, 10_000) and len(np.unique(p[0])) > 8_500
