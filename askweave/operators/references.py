@@ -1,8 +1,9 @@
 """References to records that do not exist (problem 3).
 
-A ledger of signed deltas: a reference adds to its key's references, a record that appears adds 1 to its key's existence and
-one that goes takes 1 away. Running over a key's deltas in time gives the existence at the time of each reference; summed over all
-time, keys with references above zero and existence of zero are the current orphans.
+A ledger of signed deltas per key: a reference that appears adds 1 to its key's references and one that is withdrawn takes 1 away; a
+record that appears adds 1 to its key's existence and one that goes takes 1 away. Summed over all time, keys with references
+above zero and existence of zero are the current orphans. Running over a key's deltas in time gives both counts at every
+moment: a reference that appears while its key has references and no existence is an orphan of that time.
 """
 
 from __future__ import annotations
@@ -14,82 +15,124 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from askweave.functions.text import db_key
+from askweave.storage import SharedTables
 
-_ALWAYS, _LATE = "timestamp_ntz'0001-01-02 00:00:00'", "timestamp_ntz'9999-12-30 00:00:00'"
+_ALWAYS = "timestamp_ntz'0001-01-02 00:00:00'"
+WHAT = "struct<src_table:string,src_id:bigint,src_field:string,pos:int,period:timestamp_ntz>"
+#: Steps of one moment: records come and go before references that look for them; what is withdrawn as a whole goes after them.
+DATED, CAME, LEFT, CLOSED = 0, 1, 2, 3
+
+
+def delta(key: Column, at: Column, step: int, refs: int, there: int, what: Column | None = None, kind: str = WHAT) -> Column:
+    """One entry of the ledger; ``what`` names the reference, null for existence."""
+    what = F.lit(None).cast(kind) if what is None else what.cast(kind)
+    return F.struct(key.alias("key"), at.alias("at"), F.lit(step).alias("step"), F.lit(refs).alias("refs"), F.lit(there).alias("there"), what.alias("what"))
 
 
 def dated_existence(key: Column, start: Column, end: Column) -> Column:
-    """The deltas of a record that is there from ``start`` until before ``end`` (null: still); none if it never is."""
+    """The entries of a record that is there from ``start`` until before ``end`` (null: still); none if it never is."""
     alive = start.isNotNull() & key.isNotNull() & (end.isNull() | (end > start))
-    came = F.struct(key.alias("key"), start.alias("at"), F.lit(1).alias("delta"))
-    went = F.struct(key.alias("key"), end.alias("at"), F.lit(-1).alias("delta"))
-    return F.when(alive & end.isNotNull(), F.array(came, went)).when(alive, F.array(came))
+    came, went = delta(key, start, DATED, 0, 1), delta(key, end, DATED, 0, -1)
+    return F.when(alive & end.isNotNull(), F.array(came, went)).when(alive, F.array(came)).otherwise(F.array().cast(f"array<struct<key:string,at:timestamp_ntz,step:int,refs:int,there:int,what:{WHAT}>>"))
 
 
-def orphans_in_time(references: DataFrame, existence: DataFrame, chunk: int = 1_000_000) -> DataFrame:
-    """The references (``key``, ``at``, ``what``) whose key does not exist at their time.
+def orphans_in_time(deltas: DataFrame, chunk: int = 1_000_000) -> DataFrame:
+    """``key``, ``at`` and ``what`` of the references whose key does not exist at their time.
 
-    ``existence`` has ``key``, ``at`` and ``delta``. A delta at the very time of a reference counts before it. References with a null
-    key or time are orphans. References of a key are dealt to groups of about ``chunk``; the key's deltas go to each of its groups, so
-    a hot key is spread. Deltas of one key at one time are summed first. Repeated references come out each.
+    ``deltas`` has ``key``, ``at``, ``step``, ``refs``, ``there`` and ``what`` as of :func:`delta`; it is read twice: give it a written table.
+    References with a null key or time are orphans. The references of a key are dealt to groups of about ``chunk``, a withdrawal to that of
+    its reference, and the key's existence goes to each of them, so that a hot key is spread. Repeated references come out each.
     """
-    deltas = existence.groupBy("key", "at").agg(F.sum("delta").alias("delta")).filter("delta <> 0")
-    total = references.count()
-    chunk = max(chunk, math.ceil(total / 1000))
-    hot = references.filter("key is not null").groupBy("key").count().filter(F.col("count") > chunk)  # 1,000 keys at most
-    hot = hot.select("key", F.ceil(F.col("count") / chunk).cast("int").alias("groups"))
-    references = references.join(F.broadcast(hot), "key", "left")
-    salt = F.when(F.col("groups").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("what"), F.col("groups"))).cast("int")
-    refs = references.select("key", salt.alias("salt"), "at", F.lit(1).alias("is_ref"), F.lit(0).cast("long").alias("delta"), "what")
-    spread = deltas.join(F.broadcast(hot), "key", "left")
-    spread = spread.select("key", F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)).alias("salt"), "at", F.lit(0).alias("is_ref"), "delta", F.lit(None).cast(references.schema["what"].dataType).alias("what"))
+    is_ref = F.col("what").isNotNull()
+    chunk = max(chunk, math.ceil(deltas.count() / 1000))  # so that there are 1,000 hot keys at most
+    hot = deltas.filter(is_ref & F.col("key").isNotNull()).groupBy("key").count().filter(F.col("count") > chunk)
+    hot = F.broadcast(hot.select("key", F.ceil(F.col("count") / chunk).cast("int").alias("groups")))
+    groups = F.coalesce("groups", F.lit(1))
+    own = F.when(is_ref, F.array(F.pmod(F.xxhash64("what"), groups).cast("int"))).otherwise(F.sequence(F.lit(0), groups - 1))
+    ledger = deltas.filter("key is not null and at is not null").join(hot, "key", "left").select("key", F.explode(own).alias("salt"), "at", "step", "refs", "there", "what")
+    run = Window.partitionBy("key", "salt").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ledger = ledger.withColumns({"_refs": F.sum("refs").over(run), "_there": F.sum("there").over(run)})
+    found = ledger.filter(is_ref & (F.col("refs") > 0) & (F.col("_refs") > 0) & (F.col("_there") <= 0)).select("key", "at", "what")
     # Null keys exist nowhere: they need no group.
-    ledger = refs.filter("key is not null and at is not null").unionByName(spread)
-    there = F.sum("delta").over(Window.partitionBy("key", "salt").orderBy("at", "is_ref").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = ledger.withColumn("there", there).filter("is_ref = 1 and there <= 0").select("key", "at", "what")
-    return found.unionByName(refs.filter("key is null or at is null").select("key", "at", "what"))
+    return found.unionByName(deltas.filter(is_ref & (F.col("refs") > 0) & (F.col("key").isNull() | F.col("at").isNull())).select("key", "at", "what"))
+
+
+def current_orphans(deltas: DataFrame) -> DataFrame:
+    """``key`` and ``refs`` of all keys with references above zero and no existence once all deltas are counted."""
+    summed = deltas.filter("key is not null").groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("there").alias("there"))
+    return summed.filter("refs > 0 and there <= 0").select("key", "refs")
+
+
+def counts(deltas: DataFrame) -> DataFrame:
+    """Signed counts by key and, of references, by table, field and period: what a ledger keeps of its deltas."""
+    of = lambda name: F.col(f"what.{name}").alias(name)
+    return summed(deltas.filter("key is not null").select("key", of("src_table"), of("src_field"), of("period"), F.col("refs").cast("long").alias("refs"), F.col("there").cast("long").alias("there")))
+
+
+def summed(counted: DataFrame) -> DataFrame:
+    """Counts of :func:`counts` added up; what has come to nothing goes."""
+    out = counted.groupBy("key", "src_table", "src_field", "period").agg(F.sum("refs").alias("refs"), F.sum("there").alias("there"))
+    return out.filter("refs <> 0 or there <> 0")
 
 
-def current_orphans(references: DataFrame, existence: DataFrame) -> DataFrame:
-    """``key`` and ``refs`` of all keys with references above zero and no existence, whatever the times."""
-    summed = references.select("key", F.lit(1).alias("refs"), F.lit(0).alias("delta")).unionByName(existence.select("key", F.lit(0).alias("refs"), F.col("delta").cast("int").alias("delta")))
-    return summed.filter("key is not null").groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("delta").alias("there")).filter("refs > 0 and there <= 0").select("key", "refs")
+def current_report(counted: DataFrame) -> DataFrame:
+    """Current orphan references (``orphans``) and their keys (``keys``) per table, field and month, from :func:`counts`."""
+    there = F.sum("there").over(Window.partitionBy("key"))
+    lost = counted.withColumn("_there", there).filter("_there <= 0 and refs > 0")
+    return lost.groupBy("src_table", "src_field", "period").agg(F.sum("refs").alias("orphans"), F.count(F.lit(1)).alias("keys"))
 
 
-def _what(table: str, id_: Column, field: str, pos: Column, period: Column) -> Column:
-    return F.struct(F.lit(table).alias("src_table"), id_.cast("long").alias("src_id"), F.lit(field).alias("src_field"), pos.cast("int").alias("pos"), F.date_trunc("month", period.cast("timestamp_ntz")).alias("period")).alias("what")
+def train_deltas(train: DataFrame, name: str = "train_spider") -> DataFrame:
+    """The ledger entries of training records: each refers to its database from its creation on. A null database refers to nothing."""
+    at = F.col("created_at").cast("timestamp_ntz")
+    what = F.struct(F.lit(name), F.col("q_id").cast("long"), F.lit("db_id"), F.lit(0), F.date_trunc("month", at))
+    entry = delta(F.concat(F.lit("db:"), db_key(F.col("db_id"))), at, CAME, 1, 0, what)
+    return train.filter("db_id is not null").select(F.inline(F.array(entry)))
 
 
-def catalog_ledger(train: DataFrame, catalog: DataFrame, train_table: str = "train_spider", catalog_table: str = "spider_tables") -> tuple[DataFrame, DataFrame]:
-    """References and existence of databases in time, and of tables and columns within each catalog row.
+def catalog_deltas(catalog: DataFrame, name: str = "spider_tables") -> DataFrame:
+    """The ledger entries of catalog deliveries: databases in time, and tables, columns and keys within each delivery.
 
-    Null arrays refer to nothing and hold nothing; null entries are references that lead nowhere. Every array entry is taken.
+    What a delivery holds and refers to comes with it and is withdrawn with it. Null arrays refer to nothing and hold nothing; null entries
+    are references that lead nowhere. Every array entry is taken, and each delivery is read once.
     """
-    refs = train.filter("db_id is not null").select(F.concat(F.lit("db:"), db_key(F.col("db_id"))).alias("key"), F.col("created_at").cast("timestamp_ntz").alias("at"), _what(train_table, F.col("q_id"), "db_id", F.lit(0), F.col("created_at")))
-    dated = dated_existence(F.concat(F.lit("db:"), db_key(F.col("db_id"))), F.col("loaded_at").cast("timestamp_ntz"), F.col("deleted_at").cast("timestamp_ntz"))
-    existence = catalog.select(F.inline(dated))
-
-    def key(kind: str, place: Column) -> Column:
-        return F.concat_ws(":", F.lit(kind), F.coalesce(F.col("catalog_id").cast("string"), F.lit("null")), F.coalesce(place.cast("string"), F.lit("none")))
-
-    late, always = F.expr(_LATE), F.expr(_ALWAYS)
-    columns = catalog.select("catalog_id", "loaded_at", F.size("table_names_original").alias("n"), F.posexplode("column_names_original").alias("pos", "c")).filter("pos > 0")
-    refs = refs.unionByName(columns.select(key("t", F.col("c.table_idx")).alias("key"), late.alias("at"), _what(catalog_table, F.col("catalog_id"), "column_names_original", F.col("pos"), F.col("loaded_at"))))
-    there = F.col("c.name").isNotNull() & (F.col("c.table_idx") >= 0) & (F.col("c.table_idx") < F.col("n"))
-    existence = existence.unionByName(columns.filter(there).select(key("c", F.col("pos")).alias("key"), always.alias("at"), F.lit(1).alias("delta")))
-    tables = catalog.select("catalog_id", F.posexplode("table_names_original").alias("pos", "name"))
-    existence = existence.unionByName(tables.select(key("t", F.col("pos")).alias("key"), always.alias("at"), F.lit(1).alias("delta")))
-    primary = catalog.select("catalog_id", "loaded_at", F.posexplode("primary_keys").alias("pos", "to"))
-    foreign = catalog.select("catalog_id", "loaded_at", F.posexplode("foreign_keys").alias("pos", "pair")).select("catalog_id", "loaded_at", "pos", F.explode(F.array("pair.src", "pair.dst")).alias("to"))
-    for field, part in (("primary_keys", primary), ("foreign_keys", foreign)):
-        refs = refs.unionByName(part.select(key("c", F.col("to")).alias("key"), late.alias("at"), _what(catalog_table, F.col("catalog_id"), field, F.col("pos"), F.col("loaded_at"))))
-    return refs, existence
+    loaded, deleted = F.col("loaded_at").cast("timestamp_ntz"), F.col("deleted_at").cast("timestamp_ntz")
+    id_ = F.coalesce(F.col("catalog_id").cast("string"), F.lit("null"))
+    came = F.coalesce(loaded, F.expr(_ALWAYS))
+    left = F.greatest(deleted, came)
+    key = lambda kind, place: F.concat_ws(":", F.lit(kind), id_, F.coalesce(place.cast("string"), F.lit("none")))
+    what = lambda field, pos: F.struct(F.lit(name), F.col("catalog_id").cast("long"), F.lit(field), pos.cast("int"), F.date_trunc("month", loaded))
+    columns, n = F.col("column_names_original"), F.size("table_names_original")
+
+    def entries(at: Column, sign: int) -> list[Column]:
+        ref, there = (CAME, DATED) if sign > 0 else (LEFT, CLOSED)
+        refers = lambda place, field, pos, kind: delta(key(kind, place), at, ref, sign, 0, what(field, pos))
+        real = lambda c, pos: (pos > 0) & c["name"].isNotNull() & (c["table_idx"] >= 0) & (c["table_idx"] < n)
+        # Entries that are no reference or hold nothing become null and go.
+        return [
+            F.transform("table_names_original", lambda t, pos: delta(key("t", pos), at, there, 0, sign)),
+            F.transform(columns, lambda c, pos: F.when(real(c, pos), delta(key("c", pos), at, there, 0, sign))),
+            F.transform(columns, lambda c, pos: F.when(pos > 0, refers(c["table_idx"], "column_names_original", pos, "t"))),
+            F.transform("primary_keys", lambda i, pos: refers(i, "primary_keys", pos, "c")),
+            F.transform("foreign_keys", lambda p, pos: refers(p["src"], "foreign_keys", pos, "c")),
+            F.transform("foreign_keys", lambda p, pos: refers(p["dst"], "foreign_keys", pos, "c")),
+        ]
+
+    none = F.array().cast(f"array<struct<key:string,at:timestamp_ntz,step:int,refs:int,there:int,what:{WHAT}>>")
+    whole = [F.coalesce(F.array_compact(x), none) for x in entries(came, 1)]
+    gone = [F.when(deleted.isNotNull(), F.coalesce(F.array_compact(x), none)).otherwise(none) for x in entries(left, -1)]
+    dated = dated_existence(F.concat(F.lit("db:"), db_key(F.col("db_id"))), loaded, deleted)
+    return catalog.select(F.inline(F.concat(*whole, *gone, dated)))
+
+
+def reference_deltas(train: DataFrame, catalog: DataFrame) -> DataFrame:
+    return train_deltas(train).unionByName(catalog_deltas(catalog))
 
 
 def orphan_references(train: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Distinct ``src_table``, ``src_id``, ``src_field``, ``pos`` and ``period`` (month) of all orphan references."""
-    refs, existence = catalog_ledger(train, catalog)
-    return orphans_in_time(refs, existence).select("what.*").distinct()
+    """Distinct ``src_table``, ``src_id``, ``src_field``, ``pos`` and ``period`` (month) of all orphan references; both tables are read once."""
+    deltas = SharedTables(train.sparkSession, "references").write(reference_deltas(train, catalog))
+    return orphans_in_time(deltas).select("what.*").distinct()
 
 
 def orphan_report(train: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askweave.operators.references import catalog_ledger, current_orphans, orphan_references, orphan_report
+from askweave.operators.references import catalog_deltas, counts, current_orphans, current_report, orphan_references, orphan_report, reference_deltas, train_deltas
 from askweave.operators.shredding import flat_table, schema_leaves
 from askweave.sources.tables import table
+from askweave.storage import SharedTables
+from askweave.streaming.ledger import LedgerStream
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +21,22 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return current_orphans(*catalog_ledger(table(spark, sf_dir, "train_spider"), table(spark, sf_dir, "spider_tables")))
+    return current_orphans(reference_deltas(table(spark, sf_dir, "train_spider"), table(spark, sf_dir, "spider_tables")))
+
+
+def p3_current_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current orphans per table, field and month; keys count once each."""
+    return current_report(counts(reference_deltas(table(spark, sf_dir, "train_spider"), table(spark, sf_dir, "spider_tables"))))
+
+
+def p3_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`p3_current_report` from a ledger that streams of both tables keep up."""
+    root = SharedTables(spark, "ledger").path()
+    ledger = LedgerStream(spark, f"{root}/state")
+    stream = lambda name: spark.readStream.schema(table(spark, sf_dir, name).schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/{name}.parquet*")
+    deltas = train_deltas(stream("train_spider")).unionByName(catalog_deltas(stream("spider_tables")))
+    ledger.run(deltas, f"{root}/progress").awaitTermination()
+    return ledger.report()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +77,7 @@ def p5_catalog_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _catalog_part(spark, sf_dir, ["primary_keys", "foreign_keys"], fields, "key_pos", dict.fromkeys(fields, "int"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_current, p5_found, p5_schema_tables, p5_schema_columns, p5_cell_values, p5_catalog_tables, p5_catalog_columns, p5_catalog_keys)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_current, p3_current_report, p3_streamed, p5_found, p5_schema_tables, p5_schema_columns, p5_cell_values, p5_catalog_tables, p5_catalog_columns, p5_catalog_keys)}
 
 _P3 = """
     WITH cols AS (SELECT catalog_id, loaded_at, len(table_names_original) AS n, unnest(column_names_original) AS c, generate_subscripts(column_names_original, 1) - 1 AS pos FROM spider_tables),
@@ -77,6 +94,19 @@ _P3 = """
         OR NOT EXISTS (SELECT 1 FROM good g WHERE g.catalog_id = fk.catalog_id AND g.pos = fk.p.dst))
 """
 
+# What refers and what is there now: withdrawn deliveries are gone with all they held and referred to.
+_P3_NOW = """
+    WITH now AS (SELECT *, date_trunc('month', loaded_at) AS period FROM spider_tables WHERE deleted_at IS NULL),
+    live AS (SELECT 'db:' || lower(trim(db_id)) AS key FROM now WHERE db_id IS NOT NULL AND loaded_at IS NOT NULL
+      UNION SELECT 't:' || catalog_id || ':' || i FROM (SELECT catalog_id, unnest(range(len(table_names_original))) AS i FROM now)
+      UNION SELECT 'c:' || catalog_id || ':' || i FROM (SELECT catalog_id, len(table_names_original) AS n, unnest(range(1, len(column_names_original))) AS i, column_names_original AS cs FROM now)
+        WHERE cs[i + 1].name IS NOT NULL AND cs[i + 1].table_idx BETWEEN 0 AND n - 1),
+    refs AS (SELECT 'train_spider' AS src_table, 'db_id' AS src_field, CAST(date_trunc('month', created_at) AS TIMESTAMP) AS period, 'db:' || lower(trim(db_id)) AS key FROM train_spider WHERE db_id IS NOT NULL
+      UNION ALL SELECT 'spider_tables', 'column_names_original', CAST(period AS TIMESTAMP), 't:' || catalog_id || ':' || coalesce(CAST(c.table_idx AS VARCHAR), 'none') FROM (SELECT catalog_id, period, unnest(column_names_original[2:]) AS c FROM now)
+      UNION ALL SELECT 'spider_tables', 'primary_keys', CAST(period AS TIMESTAMP), 'c:' || catalog_id || ':' || coalesce(CAST(i AS VARCHAR), 'none') FROM (SELECT catalog_id, period, unnest(primary_keys) AS i FROM now)
+      UNION ALL SELECT 'spider_tables', 'foreign_keys', CAST(period AS TIMESTAMP), 'c:' || catalog_id || ':' || coalesce(CAST(unnest([p.src, p.dst]) AS VARCHAR), 'none') FROM (SELECT catalog_id, period, unnest(foreign_keys) AS p FROM now))
+"""
+
 _P5 = """
     WITH t AS (SELECT rec_id, unnest(db_schema) AS t, generate_subscripts(db_schema, 1) - 1 AS table_pos FROM preprocessed_dataset)
 """
@@ -84,19 +114,9 @@ _P5 = """
 ORACLES = {
     "p3_found": _P3 + "SELECT src_table, src_id, src_field, CAST(pos AS INTEGER) AS pos FROM orphans",
     "p3_report": _P3 + "SELECT src_table, src_field, CAST(date_trunc('month', stamp) AS TIMESTAMP) AS period, count(*) AS orphans FROM orphans GROUP BY ALL",
-    "p3_current": """
-        WITH cols AS (SELECT catalog_id, len(table_names_original) AS n, unnest(column_names_original) AS c, generate_subscripts(column_names_original, 1) - 1 AS pos FROM spider_tables),
-        pk AS (SELECT catalog_id, unnest(primary_keys) AS i FROM spider_tables),
-        fk AS (SELECT catalog_id, unnest(foreign_keys) AS p FROM spider_tables),
-        tabs AS (SELECT catalog_id, generate_subscripts(table_names_original, 1) - 1 AS pos FROM spider_tables),
-        refs AS (SELECT 'db:' || lower(trim(db_id)) AS key FROM train_spider WHERE db_id IS NOT NULL
-          UNION ALL SELECT 't:' || catalog_id || ':' || coalesce(CAST(c.table_idx AS VARCHAR), 'none') FROM cols WHERE pos > 0
-          UNION ALL SELECT 'c:' || catalog_id || ':' || coalesce(CAST(i AS VARCHAR), 'none') FROM pk
-          UNION ALL SELECT 'c:' || catalog_id || ':' || coalesce(CAST(p.src AS VARCHAR), 'none') FROM fk UNION ALL SELECT 'c:' || catalog_id || ':' || coalesce(CAST(p.dst AS VARCHAR), 'none') FROM fk),
-        there AS (SELECT 'db:' || lower(trim(db_id)) AS key FROM spider_tables WHERE db_id IS NOT NULL AND loaded_at IS NOT NULL AND deleted_at IS NULL
-          UNION ALL SELECT 't:' || catalog_id || ':' || pos FROM tabs
-          UNION ALL SELECT 'c:' || catalog_id || ':' || pos FROM cols WHERE pos > 0 AND c.name IS NOT NULL AND c.table_idx >= 0 AND c.table_idx < n)
-        SELECT key, count(*) AS refs FROM refs ANTI JOIN there USING (key) GROUP BY key""",
+    "p3_current": _P3_NOW + "SELECT key, count(*) AS refs FROM refs WHERE key NOT IN (SELECT key FROM live) GROUP BY key",
+    "p3_current_report": _P3_NOW + "SELECT src_table, src_field, period, count(*) AS orphans, count(DISTINCT key) AS keys FROM refs WHERE key NOT IN (SELECT key FROM live) GROUP BY ALL",
+    "p3_streamed": _P3_NOW + "SELECT src_table, src_field, period, count(*) AS orphans, count(DISTINCT key) AS keys FROM refs WHERE key NOT IN (SELECT key FROM live) GROUP BY ALL",
     "p5_found": _P5 + """,
         c AS (SELECT rec_id, table_pos, generate_subscripts(t.column_names_original, 1) - 1 AS column_pos, t FROM t),
         v AS (SELECT rec_id, table_pos, column_pos, unnest(t.db_contents[column_pos + 1]) AS v, generate_subscripts(t.db_contents[column_pos + 1], 1) - 1 AS value_pos FROM c),

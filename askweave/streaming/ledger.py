@@ -6,47 +6,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-SCHEMA = "key string, refs long, there long"
+from askweave.operators.references import counts, current_report, summed
+
+SCHEMA = "key string, src_table string, src_field string, period timestamp_ntz, refs long, there long"
 
 
 class LedgerStream:
-    """Signed counts per key in versioned tables under ``path``.
+    """Signed counts per key, and of references per table, field and period, in tables under ``path``.
 
-    Every batch of deltas (``key``, ``refs``, ``there``: what to add) is summed per key and merged with the version before it by one
-    aggregation. A batch that is run again after a failure writes the same version, so nothing counts twice. The last ``keep`` versions stay.
+    A batch of deltas is summed and written as a table of its own, so its cost is that of its own rows, whatever the ledger holds. After
+    ``merge_every`` batches all tables become one. Readers add up the tables that are there. A batch that is run again after a failure
+    overwrites its own table, and a merged table replaces its parts only once it is whole, so nothing counts twice.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+    def __init__(self, spark: SparkSession, path: str, merge_every: int = 16):
+        self.spark, self.path, self.merge_every = spark, path.rstrip("/"), merge_every
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> list[int]:
+    def _whole(self, kind: str) -> list[int]:
         fs, p = self._fs(self.path)
         if not fs.exists(p):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        whole = [n for n in names if n.startswith("v") and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])]
-        return sorted(int(n[1:]) for n in whole)
+        return sorted(int(n[1:]) for n in names if n[0] == kind and n[1:].isdigit() and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1]))
+
+    def parts(self) -> list[str]:
+        """The tables that make up the ledger: the newest merged one and the batches after it."""
+        merged = self._whole("m")[-1:]
+        return [f"m{i:012d}" for i in merged] + [f"b{i:012d}" for i in self._whole("b") if not merged or i > merged[0]]
 
-    def counts(self, before: int | None = None) -> DataFrame:
-        """The newest version, or the newest before a batch."""
-        own = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{own[-1]:012d}") if own else self.spark.createDataFrame([], SCHEMA)
+    def counts(self) -> DataFrame:
+        own = [f"{self.path}/{n}" for n in self.parts()]
+        return summed(self.spark.read.schema(SCHEMA).parquet(*own)) if own else self.spark.createDataFrame([], SCHEMA)
 
     def add(self, deltas: DataFrame, batch: int) -> None:
-        new = deltas.filter("key is not null").select("key", F.col("refs").cast("long").alias("refs"), F.col("there").cast("long").alias("there"))
-        merged = self.counts(before=batch).unionByName(new).groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("there").alias("there")).filter("refs <> 0 or there <> 0")
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{batch:012d}")
-        for old in self.versions()[: -self.keep]:
-            fs, p = self._fs(f"{self.path}/v{old:012d}")
-            fs.delete(p, True)
+        """Take in a batch of :func:`askweave.operators.references.delta` entries."""
+        if batch in self._whole("m") or any(batch <= m for m in self._whole("m")):
+            return  # run again after it was merged
+        counts(deltas).write.mode("overwrite").parquet(f"{self.path}/b{batch:012d}")
+        if len(self.parts()) > self.merge_every:
+            self.counts().write.mode("overwrite").parquet(f"{self.path}/m{batch:012d}")
+            for kind in "bm":
+                for old in self._whole(kind):
+                    if old < batch or kind == "b" and old == batch:
+                        fs, p = self._fs(f"{self.path}/{kind}{old:012d}")
+                        fs.delete(p, True)
 
     def orphans(self) -> DataFrame:
         """Keys with references above zero and no existence."""
-        return self.counts().filter("refs > 0 and there <= 0").select("key", "refs")
+        return self.counts().groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("there").alias("there")).filter("refs > 0 and there <= 0").select("key", "refs")
+
+    def report(self) -> DataFrame:
+        """Current orphans per table, field and month."""
+        return current_report(self.counts())
 
     def run(self, deltas: DataFrame, checkpoint: str) -> StreamingQuery:
         """Feed a streaming DataFrame of deltas; what is there is taken in batches, then the query ends."""

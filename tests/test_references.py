@@ -1,6 +1,6 @@
 from datetime import datetime as dt
 
-from askweave.operators.references import current_orphans, orphan_references, orphans_in_time
+from askweave.operators.references import CAME, DATED, LEFT, current_orphans, orphan_references, orphans_in_time
 
 TRAIN = "q_id long, db_id string, created_at timestamp_ntz, key string, at int, what string"
 CATALOG = "catalog_id long, db_id string, table_names_original array<string>, column_names_original array<struct<table_idx:int,name:string>>, primary_keys array<int>, foreign_keys array<struct<src:int,dst:int>>, loaded_at timestamp_ntz, deleted_at timestamp_ntz, salt int, delta int"
@@ -30,6 +30,13 @@ def test_hot_key_in_chunks_equals_brute_force(spark):
     refs = [("k" if i % 3 else f"x{i % 7}", i % 50, i) for i in range(900)]
     deltas = [("k", 10, 1), ("k", 20, -1), ("k", 20, 1), ("k", 30, -1), ("x1", 0, 1), ("x2", 5, 1), ("x2", 5, -1)]
     want = sorted(w for k, at, w in refs if sum(d for dk, dat, d in deltas if dk == k and dat <= at) <= 0)
-    r, e = spark.createDataFrame(refs, "key string, at int, what long"), spark.createDataFrame(deltas, "key string, at int, delta int")
-    assert sorted(x["what"] for x in orphans_in_time(r, e, chunk=50).collect()) == want
-    assert {x["key"]: x["refs"] for x in current_orphans(r, e).collect()} == {k: n for k in {x for x, _, _ in refs} if sum(d for dk, _, d in deltas if dk == k) <= 0 and (n := sum(x == k for x, _, _ in refs))}
+    rows = [(k, at, CAME, 1, 0, w) for k, at, w in refs] + [(k, at, DATED, 0, d, None) for k, at, d in deltas]
+    schema = "key string, at int, step int, refs int, there int, what long"
+    df = spark.createDataFrame(rows, schema)
+    assert sorted(x["what"] for x in orphans_in_time(df, chunk=50).collect()) == want
+    none = {k: n for k in {x for x, _, _ in refs} if sum(d for dk, _, d in deltas if dk == k) <= 0 and (n := sum(x == k for x, _, _ in refs))}
+    assert {x["key"]: x["refs"] for x in current_orphans(df).collect()} == none
+    # Withdrawn references stay orphans of their time, and are none now.
+    back = df.unionByName(spark.createDataFrame([(k, 99, LEFT, -1, 0, w) for k, _, w in refs if k != "x3"], schema))
+    assert sorted(x["what"] for x in orphans_in_time(back, chunk=50).collect()) == want
+    assert {x["key"]: x["refs"] for x in current_orphans(back).collect()} == {"x3": none["x3"]}

@@ -1,8 +1,9 @@
 import json
-from collections import Counter
+from datetime import datetime as dt
 
+from askweave.operators.references import WHAT, counts, current_orphans, current_report
 from askweave.sources.files import read_catalog, read_questions, star_columns, write_predictions, write_records
-from askweave.streaming.ledger import SCHEMA, LedgerStream
+from askweave.streaming.ledger import LedgerStream
 
 
 def test_files_round_trip(spark, tmp_path):
@@ -24,28 +25,37 @@ def test_star_columns(spark):
     assert [tuple(r) for r in star_columns(df).orderBy("catalog_id", "new_pos").collect()] == [(1, 0, 0, "*", None), (1, 1, 0, "x", 2), (1, 2, 1, "*", None), (1, 3, 1, "y", 1)]
 
 
+DELTAS = f"key string, at timestamp_ntz, step int, refs int, there int, what {WHAT}"
+MAY, JUNE = dt(2024, 5, 1), dt(2024, 6, 1)
+
+
+def _delta(key, refs, there, period=None):
+    return (key, MAY, 1, refs, there, ("s", 1, "f", 0, period) if period else None)
+
+
 def test_ledger_stream_equals_batch(spark, tmp_path):
-    parts = [[("a", 1, 0), ("b", 1, 0), (None, 1, 0)], [("a", 0, 1), ("c", 0, 1), ("b", 1, 0)], [("a", 0, -1), ("c", 2, 0), ("b", -2, 0)], [("d", 1, 1)]]
+    parts = [
+        [_delta("a", 1, 0, MAY), _delta("b", 1, 0, MAY), _delta(None, 1, 0, MAY)], [_delta("a", 0, 1), _delta("c", 0, 1), _delta("b", 1, 0, JUNE)],
+        [_delta("a", 0, -1), _delta("c", 1, 0, JUNE), _delta("b", -1, 0, MAY)], [_delta("d", 1, 0, JUNE)], [_delta("d", -1, 0, JUNE), _delta("a", 1, 0, JUNE)],
+    ]
     for i, rows in enumerate(parts):
-        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    ledger = LedgerStream(spark, f"{tmp_path}/state")
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    query = ledger.run(stream, f"{tmp_path}/checkpoint")
-    query.awaitTermination(120)
-    want = Counter()
-    for key, refs, there in (r for rows in parts for r in rows):
-        if key:
-            want[key, "refs"] += refs
-            want[key, "there"] += there
-    got = {r["key"]: (r["refs"], r["there"]) for r in ledger.counts().collect()}
-    assert got == {k: (want[k, "refs"], want[k, "there"]) for k in "acd"}
-    assert {r["key"] for r in ledger.orphans().collect()} == {"a"} and len(ledger.versions()) <= 2
+        spark.createDataFrame(rows, DELTAS).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    every = spark.createDataFrame([r for rows in parts for r in rows], DELTAS)
+    want, report = sorted(map(tuple, current_orphans(every).collect())), sorted(map(str, current_report(counts(every)).collect()))
+    assert want == [("a", 2), ("b", 1)] and len(report) == 2
+    for merge_every in (2, 16):
+        ledger = LedgerStream(spark, f"{tmp_path}/state{merge_every}", merge_every)
+        stream = spark.readStream.schema(DELTAS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        ledger.run(stream, f"{tmp_path}/checkpoint{merge_every}").awaitTermination(120)
+        assert sorted(map(tuple, ledger.orphans().collect())) == want and sorted(map(str, ledger.report().collect())) == report
+        assert len(ledger.parts()) == (1 if merge_every == 2 else 5)
 
 
 def test_ledger_batch_run_again(spark, tmp_path):
-    ledger = LedgerStream(spark, f"{tmp_path}/state")
-    frames = [spark.createDataFrame(rows, SCHEMA) for rows in ([("a", 1, 0)], [("a", 1, 0), ("b", 0, 1)])]
-    for i in (0, 1, 1):
-        ledger.add(frames[i], i)
-    assert {tuple(r) for r in ledger.counts().collect()} == {("a", 2, 0), ("b", 0, 1)}
+    frames = [spark.createDataFrame(rows, DELTAS) for rows in ([_delta("a", 1, 0, MAY)], [_delta("a", 1, 0, MAY), _delta("b", 0, 1)])]
+    for merge_every in (1, 9):
+        ledger = LedgerStream(spark, f"{tmp_path}/state{merge_every}", merge_every)
+        for i in (0, 1, 1, 0):
+            ledger.add(frames[i], i)
+        assert {(r["key"], r["refs"], r["there"]) for r in ledger.counts().collect()} == {("a", 2, 0), ("b", 0, 1)}
     assert LedgerStream(spark, f"{tmp_path}/none").orphans().count() == 0
