@@ -44,12 +44,15 @@ def orphans_in_time(deltas: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     its reference, and the key's existence goes to each of them, so that a hot key is spread. Repeated references come out each.
     """
     is_ref = F.col("what").isNotNull()
-    chunk = max(chunk, math.ceil(deltas.count() / 1000))  # so that there are 1,000 hot keys at most
-    hot = deltas.filter(is_ref & F.col("key").isNotNull()).groupBy("key").count().filter(F.col("count") > chunk)
-    hot = F.broadcast(hot.select("key", F.ceil(F.col("count") / chunk).cast("int").alias("groups")))
-    groups = F.coalesce("groups", F.lit(1))
-    own = F.when(is_ref, F.array(F.pmod(F.xxhash64("what"), groups).cast("int"))).otherwise(F.sequence(F.lit(0), groups - 1))
-    ledger = deltas.filter("key is not null and at is not null").join(hot, "key", "left").select("key", F.explode(own).alias("salt"), "at", "step", "refs", "there", "what")
+    total = deltas.count()
+    chunk = max(chunk, math.ceil(total / 1000))  # so that there are 1,000 hot keys at most
+    ledger = deltas.filter("key is not null and at is not null").select("key", F.lit(0).alias("salt"), "at", "step", "refs", "there", "what")
+    if total > chunk:  # else no key can be hot
+        hot = deltas.filter(is_ref & F.col("key").isNotNull()).groupBy("key").count().filter(F.col("count") > chunk)
+        hot = F.broadcast(hot.select("key", F.ceil(F.col("count") / chunk).cast("int").alias("groups")))
+        groups = F.coalesce("groups", F.lit(1))
+        own = F.when(is_ref, F.array(F.pmod(F.xxhash64("what"), groups).cast("int"))).otherwise(F.sequence(F.lit(0), groups - 1))
+        ledger = ledger.drop("salt").join(hot, "key", "left").select("key", F.explode(own).alias("salt"), "at", "step", "refs", "there", "what")
     run = Window.partitionBy("key", "salt").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ledger = ledger.withColumns({"_refs": F.sum("refs").over(run), "_there": F.sum("there").over(run)})
     found = ledger.filter(is_ref & (F.col("refs") > 0) & (F.col("_refs") > 0) & (F.col("_there") <= 0)).select("key", "at", "what")
