@@ -2,11 +2,12 @@
 
 Records are first collapsed to classes of equal key and equal word list, so that exact copies are compared once. The word
 bigrams of the evaluation classes, hashed together with the record's key, are partitioned by hash; those of the training
-classes are scanned for hits. An evaluation record with n words can lose at most two bigrams for each changed word, so its
-rarest ``2 * n // 3 + 1`` bigrams suffice to meet every partner within the limit. For each pair met, the containment of the
+classes are scanned for hits. An evaluation record with n words can lose at most two bigrams for each changed word, so (for a quarter) its
+rarest ``2 * (n // 3) + 1`` bigrams suffice to meet every partner within the limit. For each pair met, the containment of the
 evaluation record (its bigrams that the training record has) must reach what the limit leaves; the exact word distance decides.
 
-The limit: two lists differ by at most a quarter of the longer list's words.
+The limit: two lists differ by at most one word in ``share`` of the longer list (a quarter by default). With one key for all records,
+texts alone decide.
 """
 
 from __future__ import annotations
@@ -71,12 +72,13 @@ def _grams(words: Column, key: Column) -> Column:
     return F.array_distinct(F.when(n > 0, pairs).otherwise(F.array(F.xxhash64(key, F.lit("\x1d")))))
 
 
-def near_pairs(train: DataFrame, evaluation: DataFrame, words: Callable[[Column], Column] = lambda w: w, broadcast_keys: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_pairs(train: DataFrame, evaluation: DataFrame, words: Callable[[Column], Column] = lambda w: w, broadcast_keys: int = 1_000_000, hot: int = 100_000, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of classes within the limit, and the members of the training and the evaluation classes.
 
     Both inputs have ``_id``, ``_key`` (a binary digest of what must be equal) and ``_words``, of which ``words`` makes an array of strings.
     Rows with a null in any of them have no partner. Training rows whose key no evaluation row has are dropped before their
-    words are made: by a broadcast of key hashes where there are ``broadcast_keys`` at most, else by a shuffled join.
+    words are made: by a broadcast of key hashes where there are ``broadcast_keys`` at most, else by a shuffled semi join, whose hot keys
+    adaptive execution splits. Grams, classes and pairs of more than ``hot`` rows to a key are salted.
     Returns (``_t``, ``_e``, ``containment``, ``distance``), then twice (``_class``, ``_id``). Repeated rows give one pair.
     """
     tables = SharedTables(train.sparkSession, "overlap")
@@ -86,30 +88,31 @@ def near_pairs(train: DataFrame, evaluation: DataFrame, words: Callable[[Column]
     t = train.select("_id", "_key", "_words").filter("_key is not null").withColumn("_hash", F.xxhash64("_key")).join(near, "_hash", "left_semi")
     t = tables.write(_with_class(t.select("_id", "_key", words(F.col("_words")).alias("_words"))))
     e_classes, t_classes = tables.write(_classes(e)), tables.write(_classes(t))
-    lost = (2 * F.floor(F.size("_words") / 3)).cast("int")
+    lost = (2 * F.floor(F.size("_words") / (share - 1))).cast("int")
     e_grams = e_classes.select(F.col("_class").alias("_e"), lost.alias("_lost"), F.explode(_grams(F.col("_words"), F.col("_key"))).alias("_g"))
-    t_grams = t_classes.select(F.col("_class").alias("_t"), F.explode(_grams(F.col("_words"), F.col("_key"))).alias("_g"))
+    t_grams = tables.write(t_classes.select(F.col("_class").alias("_t"), F.explode(_grams(F.col("_words"), F.col("_key"))).alias("_g")))
     often = t_grams.groupBy("_g").count()
     rarest = Window.partitionBy("_e").orderBy("count", "_g")
     # Grams that no training record has come first: they use up the changes, then the rarest of the rest.
     probes = e_grams.join(often, "_g", "left").fillna(0, ["count"]).withColumn("_place", F.row_number().over(rarest)).filter("_place <= _lost + 1 and count > 0")
-    met = t_grams.join(probes.select("_e", "_g"), "_g").select("_t", "_e").distinct()
+    met = tables.write(join_salted(t_grams, probes.select("_e", "_g"), "_g", t_grams.count(), hot).select("_t", "_e").distinct())
     ew = e_classes.select(F.col("_class").alias("_e"), F.col("_words").alias("_ew"), F.col("_key").alias("_ek"))
     tw = t_classes.select(F.col("_class").alias("_t"), F.col("_words").alias("_tw"))
-    pairs = met.join(tw, "_t").join(ew, "_e")
+    many = met.count()
+    pairs = join_salted(join_salted(met, tw, "_t", many, hot), ew, "_e", many, hot)
     longer = F.greatest(F.size("_ew"), F.size("_tw"))
     own, other = _grams(F.col("_ew"), F.col("_ek")), _grams(F.col("_tw"), F.col("_ek"))
     shared = F.size(F.array_intersect(own, other))
-    pairs = pairs.withColumns({"_n": F.size(own), "_shared": shared, "_most": F.floor(longer / SHARE).cast("int")})
+    pairs = pairs.withColumns({"_n": F.size(own), "_shared": shared, "_most": F.floor(longer / share).cast("int")})
     pairs = pairs.filter((F.abs(F.size("_ew") - F.size("_tw")) <= F.col("_most")) & (F.col("_shared") >= F.greatest(F.lit(1), F.col("_n") - 2 * F.col("_most"))))
     pairs = pairs.withColumn("distance", _distance("_ew", "_tw")).filter("distance <= _most")
     pairs = pairs.select("_t", "_e", (F.col("_shared") / F.col("_n")).alias("containment"), "distance")
     return tables.write(pairs), t.select("_class", "_id").distinct(), e.select("_class", "_id").distinct()
 
 
-def overlaps(train: DataFrame, evaluation: DataFrame, words: Callable[[Column], Column] = lambda w: w, broadcast_keys: int = 1_000_000, hot: int = 100_000) -> DataFrame:
+def overlaps(train: DataFrame, evaluation: DataFrame, words: Callable[[Column], Column] = lambda w: w, broadcast_keys: int = 1_000_000, hot: int = 100_000, share: int = SHARE) -> DataFrame:
     """All record pairs (``_t``, ``_e``) of :func:`near_pairs`, with containment and distance; classes above ``hot`` records are salted."""
-    pairs, t, e = near_pairs(train, evaluation, words, broadcast_keys)
+    pairs, t, e = near_pairs(train, evaluation, words, broadcast_keys, hot, share)
     t = t.select(F.col("_class").alias("_t"), F.col("_id").alias("_tid"))
     e = e.select(F.col("_class").alias("_e"), F.col("_id").alias("_eid"))
     out = join_salted(e, pairs, "_e", e.count(), hot)

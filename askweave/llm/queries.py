@@ -35,13 +35,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps per evaluation split and source: pairs, evaluation records and the highest containment, without making all pairs."""
+    """Overlaps per evaluation split, its source and the training source: pairs, evaluation records and the highest containment, without making all pairs."""
     train, dev = table(spark, sf_dir, "train_spider"), table(spark, sf_dir, "dev")
     pairs, t, e = near_pairs(_keyed(train), _keyed(dev), _words)
-    t = t.groupBy(F.col("_class").alias("_t")).agg(F.count(F.lit(1)).alias("_copies"))
+    t = t.join(train.select(F.col("q_id").alias("_id"), F.col("source").alias("train_source")), "_id").groupBy(F.col("_class").alias("_t"), "train_source").agg(F.count(F.lit(1)).alias("_copies"))
     e = e.join(dev.select(F.col("q_id").alias("_id"), "split", "source"), "_id").select(F.col("_class").alias("_e"), "_id", "split", "source")
-    per = pairs.join(t, "_t").groupBy("_e").agg(F.sum("_copies").alias("_pairs"), F.max("containment").alias("_most"))
-    return e.join(per, "_e").groupBy("split", "source").agg(F.sum("_pairs").alias("pairs"), F.count_distinct("_id").alias("dev_records"), F.round(F.max("_most"), 6).alias("max_containment"))
+    per = pairs.join(t, "_t").groupBy("_e", "train_source").agg(F.sum("_copies").alias("_pairs"), F.max("containment").alias("_most"))
+    return e.join(per, "_e").groupBy("split", "source", "train_source").agg(F.sum("_pairs").alias("pairs"), F.count_distinct("_id").alias("dev_records"), F.round(F.max("_most"), 6).alias("max_containment"))
+
+
+def p1_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation records whose question, whatever its query, is in the training split up to a tenth of its words: training records, their least distance."""
+    any_ = lambda name: table(spark, sf_dir, name).select(F.col("q_id").alias("_id"), F.lit(b"").alias("_key"), F.col("question").alias("_words"))
+    pairs, t, e = near_pairs(any_("train_spider"), any_("dev"), _words, share=10)
+    t = t.groupBy(F.col("_class").alias("_t")).agg(F.count(F.lit(1)).alias("_copies"))
+    per = pairs.join(t, "_t").groupBy("_e").agg(F.sum("_copies").alias("train_records"), F.min("distance").alias("least_distance"))
+    return e.select(F.col("_class").alias("_e"), F.col("_id").alias("dev_q_id")).join(per, "_e").drop("_e")
 
 
 def _copies(spark: SparkSession, sf_dir: str) -> Copies:
@@ -102,7 +111,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", PIECE_TOKENS, PIECE_OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p4_found, p4_splits, p6_found, p6_forms, p7_containers, p8_found, p8_leaks, p8_scrubbed, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_questions, p2_found, p2_collapsed, p4_found, p4_splits, p6_found, p6_forms, p7_containers, p8_found, p8_leaks, p8_scrubbed, p9_found, p9_pieces)}
 
 # Canonical queries in SQL hold where the first FROM closes the select list and no comma of the list stands in brackets or quotes, as in all rows here.
 _COPIES = r"""
@@ -136,7 +145,25 @@ def _canonical(name: str) -> str:
     return body.replace("FROM train_spider", f"FROM {name}").replace("FROM r)", f"FROM r_{name})")
 
 
+_DISTANCE = "levenshtein(array_to_string(list_transform(x, lambda w: chr(CAST(35 + list_position(every, w) AS INTEGER))), ''), array_to_string(list_transform(y, lambda w: chr(CAST(35 + list_position(every, w) AS INTEGER))), ''))"
+
+
+def _bigrams(words: str) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(len({words}), 2)), lambda i: coalesce({words}[i], '') || ' ' || coalesce({words}[i + 1], '')))"
+
+
 ORACLES = {
+    "p1_report": f"""
+    WITH r_train_spider AS {_canonical('train_spider')}, r_dev AS {_canonical('dev')},
+    p AS (SELECT a.q_id AS train_q_id, b.q_id AS dev_q_id, a.w AS x, b.w AS y, list_distinct(list_concat(a.w, b.w)) AS every FROM c_train_spider a JOIN c_dev b ON a.db = b.db AND a.items = b.items AND a.d = b.d AND a.rest = b.rest),
+    m AS (SELECT train_q_id, dev_q_id, len(list_intersect({_bigrams('y')}, {_bigrams('x')})) / len({_bigrams('y')}) AS containment FROM p WHERE 4 * {_DISTANCE} <= greatest(len(x), len(y)))
+    SELECT d.split, d.source, t.source AS train_source, count(*) AS pairs, count(DISTINCT dev_q_id) AS dev_records, round(max(containment), 6) AS max_containment
+    FROM m JOIN dev d ON d.q_id = dev_q_id JOIN train_spider t ON t.q_id = train_q_id GROUP BY ALL""",
+    "p1_questions": f"""
+    WITH a AS (SELECT q_id, {_FORM} AS w FROM train_spider WHERE question IS NOT NULL), b AS (SELECT q_id, {_FORM} AS w FROM dev WHERE question IS NOT NULL),
+    p AS (SELECT b.q_id AS dev_q_id, a.w AS x, b.w AS y, list_distinct(list_concat(a.w, b.w)) AS every FROM a JOIN b ON abs(len(a.w) - len(b.w)) * 10 <= greatest(len(a.w), len(b.w)) AND (len(a.w) = 0 OR len(list_intersect(a.w, b.w)) > 0)),
+    d AS (SELECT dev_q_id, {_DISTANCE} AS distance, greatest(len(x), len(y)) AS longer FROM p)
+    SELECT dev_q_id, count(*) AS train_records, CAST(min(distance) AS INTEGER) AS least_distance FROM d WHERE 10 * distance <= longer GROUP BY dev_q_id""",
     "p1_found": f"""
     WITH r_train_spider AS {_canonical('train_spider')}, r_dev AS {_canonical('dev')},
     p AS (SELECT a.q_id AS train_q_id, b.q_id AS dev_q_id, a.w AS x, b.w AS y, list_distinct(list_concat(a.w, b.w)) AS every FROM c_train_spider a JOIN c_dev b ON a.db = b.db AND a.items = b.items AND a.d = b.d AND a.rest = b.rest)
