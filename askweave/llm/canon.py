@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,21 +65,6 @@ def _by_structure(sql: str) -> str:
 
 
 @F.arrow_udf(T.StringType())
-def _any_form(values: pa.Array) -> pa.Array:
+def query_key(values: pa.Array) -> pa.Array:
+    """:func:`canonical_query` over Arrow batches; null stays null. The same in JVM expressions takes twice the time."""
     return pa.array([None if s is None else canonical_query(s) for s in values.to_pylist()], pa.string())
-
-
-def query_key(query: Column) -> Column:
-    """:func:`canonical_query` of a column; null stays null.
-
-    Plain queries (ASCII, the select list without quotes, nesting or unmatched brackets), the usual ones, stay inside the JVM; only the others
-    go to Python.
-    """
-    low = F.lower(query)
-    part = lambda i: F.regexp_extract(low, r"(?s)^\s*select\b\s*(distinct\b|all\b)?(.*?)\bfrom\b(.*)$", i)
-    items, pieces = part(2), lambda c: F.array_join(F.regexp_extract_all(c, F.lit(r"(\w+|[^\w\s,;'\"`])"), 0), " ")
-    plain = query.rlike(r"^[\x09-\x0d\x20-\x7e]*$") & low.rlike(r"(?s)^\s*select\b.*?\bfrom\b")
-    plain = plain & (F.regexp_count(items, F.lit(r"\(")) == F.regexp_count(items, F.lit(r"\)"))) & ~items.rlike(r"['\"`]|\([^)]*[,(]|(?:^|\))[^(]*\)")
-    sorted_items = F.array_sort(F.transform(F.split(items, ","), pieces))
-    usual = F.array_join(F.filter(F.concat(F.array(F.lit("select"), part(1)), sorted_items, F.array(F.lit("from"), pieces(part(3)))), lambda x: x != ""), " ")
-    return F.when(plain, usual).otherwise(_any_form(F.when(~plain, query)))
