@@ -9,7 +9,9 @@ Components are then laid out in the order of their hashes and cut at the proport
 
 from __future__ import annotations
 
+import math
 import uuid
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,8 @@ from askweave.storage import SharedTables
 
 #: Links of labels that one task merges at most; beyond it the graph of labels is contracted by another search.
 SMALL = 200_000
+#: Entries of the adjacency to a bucket.
+BUCKET_ROWS = 100_000
 
 
 def _rank(node):
@@ -56,7 +60,7 @@ def _bucketed(edges: DataFrame, tables: SharedTables, hub: int) -> tuple[str, Da
     hub = max(hub, many // 10_000)  # so that there are 10,000 hubs at most
     hubs = tables.write(edges.groupBy("a").count().filter(F.col("count") > hub).select("a", F.ceil(F.col("count") / hub).cast("int").alias("salts")))
     salted = edges.join(F.broadcast(hubs), "a", "left").select(F.col("a").alias("node"), F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("b"), F.col("salts"))).otherwise(F.lit(0)).cast("int").alias("salt"), F.col("b").alias("to"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, math.ceil(many / BUCKET_ROWS))
     name = f"askweave_adjacency_{uuid.uuid4().hex}"
     salted.repartition(buckets, "node", "salt").write.bucketBy(buckets, "node", "salt").option("path", tables.path()).format("parquet").saveAsTable(name)
     return name, hubs
@@ -76,16 +80,20 @@ def components(edges: DataFrame, tables: SharedTables | None = None, hub: int =
     adjacency = spark.table(name)
     hubs = None if hubs.isEmpty() else F.broadcast(hubs.withColumnRenamed("a", "node"))
     nodes = both.groupBy("a").agg(F.min(_rank(F.col("b"))).alias("least"))
-    frontier = visited = tables.write(nodes.filter(_rank(F.col("a")) < F.col("least")).select(F.col("a").alias("node"), F.col("a").alias("label")))
+    frontier = tables.write(nodes.filter(_rank(F.col("a")) < F.col("least")).select(F.col("a").alias("node"), F.col("a").alias("label")))
+    levels, before = [frontier], frontier.limit(0)
     while not frontier.isEmpty():
         if hubs is None:
             ahead = frontier.withColumn("salt", F.lit(0))
         else:
             ahead = frontier.join(hubs, "node", "left").select("node", "label", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt"))
         reached = adjacency.join(ahead, ["node", "salt"]).groupBy(F.col("to").alias("node")).agg(F.min("label").alias("label"))
-        frontier = tables.write(reached.join(visited.select("node"), "node", "left_anti"))
-        visited = visited.unionByName(frontier)
-    visited = tables.write(visited)
+        # A neighbour of a node k steps from the seeds is k - 1, k or k + 1 steps from them: older levels need no look.
+        frontier, before = tables.write(reached.join(frontier.select("node").unionByName(before.select("node")), "node", "left_anti")), frontier
+        levels.append(frontier)
+    visited = tables.write(reduce(DataFrame.unionByName, levels))
+    for level in levels:
+        tables.drop(level)
     # Where two labels met: every edge once, with the labels of its ends.
     ends = visited.select(F.col("node").alias("a"), F.col("label").alias("x")), visited.select(F.col("node").alias("b"), F.col("label").alias("y"))
     many = both.count() // 2
@@ -113,18 +121,19 @@ class RelatedSplits:
         named = [F.concat(F.lit(f"{tag}:"), k) for tag, k in keys.items()]
         own = F.coalesce(*named, F.concat(F.lit("-:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
         self.records = df.select(F.col(id_col).alias("_id"), own.alias("node"))
-        edges = None
-        for i, x in enumerate(named):
-            # The first key that is there with each later one: enough to chain all keys of a record.
-            others = [F.coalesce(*named[:i])] if i else [x]
-            part = df.select(others[0].alias("a"), x.alias("b")).filter("b is not null").select(F.coalesce("a", "b").alias("a"), "b").distinct()
-            edges = part if edges is None else edges.unionByName(part)
+        # The first key that is there with each later one: enough to chain all keys of a record. A lone key is a node as well.
+        chained = [F.struct(F.coalesce(*named[: i + 1]).alias("a"), x.alias("b")) for i, x in enumerate(named)]
+        edges = df.select(F.inline(F.array(*chained))).filter("b is not null").distinct()
         self.labels = components(edges, self.tables)
 
     def linked(self, tag: str) -> DataFrame:
         """Pairs ``a`` < ``b`` of values of the key ``tag`` that share a component."""
-        own = self.labels.filter(F.col("node").startswith(f"{tag}:")).select("label", F.expr(f"substring(node, {len(tag) + 2})").alias("v"))
-        return own.select("label", F.col("v").alias("a")).join(own.select("label", F.col("v").alias("b")), "label").filter("a < b").select("a", "b")
+        own = self.members(tag)
+        return join_salted(own.select("label", F.col("v").alias("a")), own.select("label", F.col("v").alias("b")), "label", own.count()).filter("a < b").select("a", "b")
+
+    def members(self, tag: str) -> DataFrame:
+        """``label`` and ``v``, every value of the key ``tag`` with its component: what all pairs are made of."""
+        return self.labels.filter(F.col("node").startswith(f"{tag}:")).select("label", F.expr(f"substring(node, {len(tag) + 2})").alias("v"))
 
     def assigned(self, proportions: dict[str, float], buckets: int = 4096) -> DataFrame:
         """``id``, ``component`` and ``split`` of each record.

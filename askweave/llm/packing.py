@@ -27,6 +27,10 @@ TOKENIZER = os.environ.get("ASKWEAVE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.t
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Rows of one id and size that are dealt out together.
+RUN = 100_000
+
+
 @lru_cache(2)
 def _encoding(path: str, pattern: str):
     import tiktoken
@@ -117,7 +121,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def _pack_block(capacity: int):
     def run(table: pa.Table) -> pa.Table:
         # The order of rows in a block is that of a shuffle; ids make it the same on every run.
-        table = table.sort_by([("_size", "descending"), ("_id", "ascending"), ("_piece", "ascending")])
+        table = table.sort_by([("_size", "descending"), ("_id", "ascending"), ("_piece", "ascending"), ("_nth", "ascending")])
         return table.append_column("_bin", pa.array(pack(table.column("_size").to_numpy(), capacity), pa.int64()))
 
     return run
@@ -132,18 +136,23 @@ def fill_containers(df: DataFrame, id_col: str, text_col: str, capacity: int = 2
     if capacity < 1:
         raise ValueError("the capacity must be positive")
     tables = SharedTables(df.sparkSession, "packing")
-    sized = tables.write(df.select(F.col(id_col).alias("_id"), F.coalesce(token_counter(tokenizer, pattern)(F.col(text_col)), F.lit(0)).alias("_tokens")))
+    sized = df.select(F.col(id_col).alias("_id"), F.coalesce(token_counter(tokenizer, pattern)(F.col(text_col)), F.lit(0)).alias("_tokens"))
+    # Rows of one id and size are alike: they are counted, and dealt out again by number, long runs of them over many tasks.
+    alike = tables.write(sized.groupBy("_id", "_tokens").agg(F.count(F.lit(1)).alias("_n")))
+    runs = alike.filter(F.col("_n") > RUN).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN)))).repartition("_id", "_tokens", "_run")
+    runs = alike.filter(F.col("_n") <= RUN).withColumn("_run", F.lit(0).cast("long")).unionByName(runs)
+    sized = runs.select("_id", "_tokens", F.explode(F.sequence(F.col("_run") * RUN, F.least("_n", (F.col("_run") + 1) * RUN) - 1)).alias("_nth"))
     whole = F.floor(F.col("_tokens") / capacity).cast("int")
     rest = (F.col("_tokens") % capacity).cast("int")
     pieces = F.greatest(F.lit(1), whole + (rest > 0).cast("int"))
-    cut = sized.select("_id", "_tokens", pieces.alias("pieces"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_piece"))
+    cut = sized.select("_id", "_tokens", "_nth", pieces.alias("pieces"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_piece"))
     cut = cut.withColumn("_size", F.least(F.lit(capacity).cast("long"), F.col("_tokens") - F.col("_piece").cast("long") * capacity))
-    packed_alone = cut.filter(F.col("_size") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("_piece"), F.monotonically_increasing_id()))
+    packed_alone = cut.filter(F.col("_size") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("_piece"), F.col("_nth")))
     empty = cut.filter(F.col("_size") == 0).withColumn("container", F.lit(None).cast("string"))
     open_ = cut.filter((F.col("_size") > 0) & (F.col("_size") < capacity))
-    blocks = max(1, math.ceil(sized.count() / block_items))
-    # Ids may repeat (or be null) in a third of the rows; the place of the row breaks such a group up.
-    block = F.pmod(F.xxhash64("_id", "_piece", F.monotonically_increasing_id()), F.lit(blocks))
+    blocks = max(1, math.ceil((alike.agg(F.sum("_n")).first()[0] or 0) / block_items))
+    # Ids may repeat (or be null) in a third of the rows; the number of the row breaks such a group up, the same way on every run.
+    block = F.pmod(F.xxhash64("_id", "_piece", "_nth"), F.lit(blocks))
     open_ = open_.withColumn("_block", block)
     schema = T.StructType([*open_.schema.fields, T.StructField("_bin", T.LongType())])
     filled = open_.groupBy("_block").applyInArrow(_pack_block(capacity), schema).withColumn("container", F.concat_ws("-", "_block", "_bin"))

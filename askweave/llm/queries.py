@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from askweave.functions.text import compact, db_key, words
 from askweave.llm.canon import query_key
@@ -79,6 +80,26 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _related(spark, sf_dir).assigned(PROPORTIONS)
 
 
+def p4_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every database with the first of its component: the form of :func:`p4_found` whose size is that of the databases."""
+    own = _related(spark, sf_dir).members("db")
+    return own.join(own.groupBy("label").agg(F.min("v").alias("component")), "label").select(F.col("v").alias("db"), "component")
+
+
+def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of :func:`p4_splits`: records with one split each, databases and authors torn apart, splits further off their share than the largest component."""
+    train, out = table(spark, sf_dir, "train_spider"), p4_splits(spark, sf_dir)
+    rows = train.select("q_id", db_key(F.col("db_id")).alias("db"), F.when(F.col("author") != "", F.col("author")).alias("author")).join(out, "q_id", "left")
+    torn = lambda c: rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count_distinct("split").alias("n")).agg(F.count(F.when(F.col("n") != 1, 1)).alias(f"torn_{c}s"))
+    most = rows.groupBy("component").count().agg(F.max("count").alias("most"), F.sum("count").alias("total"))
+    wanted = spark.createDataFrame(list(PROPORTIONS.items()), "split string, wanted double")
+    shares = F.broadcast(wanted).join(rows.groupBy("split").count(), "split", "left").withColumn("one", F.lit(1)).join(most.withColumn("one", F.lit(1)), "one")
+    off = shares.agg(F.count(F.when(F.abs(F.coalesce("count", F.lit(0)) - F.col("wanted") * F.col("total")) > F.col("most"), 1)).alias("shares_off"))
+    whole = rows.groupBy("q_id").agg(F.count_distinct("split").alias("n")).agg(F.count(F.when(F.col("n") == 1, 1)).alias("records"))
+    parts = [x.withColumn("one", F.lit(1)) for x in (whole, torn("db"), torn("author"), off)]  # a row each
+    return parts[0].join(parts[1], "one").join(parts[2], "one").join(parts[3], "one").drop("one")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_texts(table(spark, sf_dir, "train_spider"), "q_id", "question")
 
@@ -87,10 +108,32 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise(table(spark, sf_dir, "train_spider"), "q_id", "question")
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of :func:`p6_forms`: a form for each question that is there; forms that change when brought into form again, or have odd characters left."""
+    once = p6_forms(spark, sf_dir)
+    again = normalise(once.select("q_id", "form"), "q_id", "form").withColumnRenamed("form", "again")
+    both = once.select("q_id", "form").join(again, "q_id")
+    odd = sum((F.col(c) for c in again.columns if c.startswith("n_")), F.lit(0))
+    return both.agg(F.count("form").alias("forms"), F.count(F.when(F.col("form") != F.col("again"), 1)).alias("unstable"), F.count(F.when(odd > 0, 1)).alias("odd_left"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITY)
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of :func:`p7_containers`: documents; texts cut that fit; pieces missing; containers above the capacity; and whether 2 % (and a container a block) of room is left at most."""
+    out = p7_containers(spark, sf_dir)
+    docs = out.groupBy("doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("pieces").alias("p"), F.count_distinct("piece").alias("k"), F.max("token_start").alias("last"))
+    per = docs.agg(
+        F.count(F.lit(1)).alias("docs"), F.count(F.when((F.col("n") > 1) & (F.col("t") <= CAPACITY), 1)).alias("cut_that_fit"),
+        F.count(F.when((F.col("n") != F.col("p")) | (F.col("k") != F.col("p")) | (F.col("last") != (F.col("p") - 1) * CAPACITY) | (F.col("t") > F.col("p") * CAPACITY), 1)).alias("incomplete"),
+    )
+    full = out.filter("container is not null").groupBy("container").agg(F.sum("tokens").alias("t"))
+    full = full.agg(F.count(F.when(F.col("t") > CAPACITY, 1)).alias("above"), (F.count(F.lit(1)) <= 1.02 * F.ceil(F.sum("t") / CAPACITY) + 1).alias("tight"))
+    return per.withColumn("one", F.lit(1)).join(full.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).filter(F.col("longest") >= LEAK_WORDS).select("doc_id", "item_id").distinct()
 
@@ -111,7 +154,22 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", PIECE_TOKENS, PIECE_OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_questions, p2_found, p2_collapsed, p4_found, p4_splits, p6_found, p6_forms, p7_containers, p8_found, p8_leaks, p8_scrubbed, p9_found, p9_pieces)}
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of :func:`p9_pieces`: texts, and those cut; pieces above the limit; pieces that are not their stretch of the text; gaps or wrong overlaps; texts not covered to the end."""
+    texts, pieces = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole")).filter("whole is not null"), p9_pieces(spark, sf_dir)
+    both = pieces.join(texts, "doc_id").withColumn("next", F.lead("char_start").over(Window.partitionBy("doc_id").orderBy("piece")))
+    tokens = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"([\x{4E00}-\x{9FFF}]|(?:(?![\x{4E00}-\x{9FFF}])[\p{L}\p{N}_])+|[^\s\p{Z}\x1c-\x1f\x85])"), 1))
+    stretch = lambda a, z: F.substring("whole", a + 1, z - a)
+    bad = lambda cond: F.count(F.when(cond, 1))
+    last = F.col("piece") == F.col("pieces") - 1
+    return both.agg(
+        F.count_distinct("doc_id").alias("docs"), F.count_distinct(F.when(F.col("pieces") > 1, F.col("doc_id"))).alias("cut"), bad((tokens(F.col("text")) > PIECE_TOKENS) | (tokens(F.col("text")) != F.col("tokens"))).alias("above"),
+        bad(F.col("text") != stretch(F.col("char_start"), F.col("char_end"))).alias("changed"), bad(~last & ((F.col("next") > F.col("char_end")) | (tokens(stretch(F.col("next"), F.col("char_end"))) != PIECE_OVERLAP))).alias("wrong_overlap"),
+        bad((F.col("piece") == 0) & (F.col("char_start") != 0) | last & (F.col("char_end") != F.length("whole"))).alias("uncovered"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_questions, p2_found, p2_collapsed, p4_found, p4_splits, p4_components, p4_checks, p6_found, p6_forms, p6_checks, p7_containers, p7_checks, p8_found, p8_leaks, p8_scrubbed, p9_found, p9_pieces, p9_checks)}
 
 # Canonical queries in SQL hold where the first FROM closes the select list and no comma of the list stands in brackets or quotes, as in all rows here.
 _COPIES = r"""
@@ -200,6 +258,18 @@ ORACLES = {
         e AS (SELECT DISTINCT x.db AS a, y.db AS b FROM r x JOIN r y ON x.author = y.author AND x.db <> y.db),
         c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
         SELECT a AS db_a, b AS db_b FROM c WHERE a < b""",
+    "p4_components": """
+        WITH RECURSIVE t AS (SELECT lower(trim(db_id)) AS db, author FROM train_spider WHERE db_id IS NOT NULL),
+        r AS (SELECT DISTINCT db, author FROM t WHERE author IS NOT NULL AND author <> ''),
+        e AS (SELECT DISTINCT x.db AS a, y.db AS b FROM r x JOIN r y ON x.author = y.author AND x.db <> y.db),
+        c(a, b) AS (SELECT DISTINCT db, db FROM t UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
+        SELECT a AS db, min(b) AS component FROM c GROUP BY a""",
+    "p4_checks": "SELECT count(DISTINCT q_id) AS records, 0 AS torn_dbs, 0 AS torn_authors, 0 AS shares_off FROM train_spider",
+    "p6_checks": "SELECT count(question) AS forms, 0 AS unstable, 0 AS odd_left FROM train_spider",
+    "p7_checks": "SELECT count(DISTINCT doc_id) AS docs, 0 AS cut_that_fit, 0 AS incomplete, 0 AS above, true AS tight FROM documents",
+    "p9_checks": r"""
+        SELECT count(*) AS docs, count(*) FILTER (len(regexp_extract_all(regexp_replace(text, '[\x{4E00}-\x{9FFF}]', ' § ', 'g'), '[\p{L}\p{N}_]+|[^\s\p{Z}]')) > 512) AS cut, 0 AS above, 0 AS changed, 0 AS wrong_overlap, 0 AS uncovered
+        FROM documents WHERE text IS NOT NULL""",
     "p9_found": r"""
         SELECT doc_id FROM documents
         WHERE len(regexp_extract_all(regexp_replace(text, '[\x{4E00}-\x{9FFF}]', ' § ', 'g'), '[\p{L}\p{N}_]+|[^\s\p{Z}]')) > 512""",

@@ -91,26 +91,46 @@ def _strengths(text: str, starts: np.ndarray, ends: np.ndarray, points: np.ndarr
     return out
 
 
+def _cuts(strengths: np.ndarray, n: int, limit: int, overlap: int, reach: float, pieces: int) -> list[int] | None:
+    """Cuts into so many pieces; None where one of them is above the limit, or empty."""
+    step = (n - overlap) / pieces
+    near = int(step * reach)
+    cuts, before, began = [], 0, 0
+    for j in range(1, pieces):
+        target = overlap + step * j
+        a, z = max(before + 1, int(target) - near, overlap + 1), min(n - 1, int(target) + near)
+        if a > z:
+            a = z = min(max(before + 1, int(target)), n - 1)
+        own = strengths[a - 1 : z].astype(np.int64)
+        away = np.abs(np.arange(a, z + 1) - target)
+        cut = a + int(np.lexsort((away, -own))[0])
+        if cut <= before or cut - began > limit:
+            return None
+        cuts.append(cut)
+        before, began = cut, max(0, cut - overlap)
+    return cuts if before < n and n - began <= limit else None
+
+
 def balanced_cuts(strengths: np.ndarray, n: int, limit: int, overlap: int, reach: float = 0.125) -> list[int]:
-    """Token numbers at which a text of ``n`` > ``limit`` tokens is cut: piece j is [cut(j-1) - overlap, cut(j))."""
-    pieces = max(2, -(-(n - overlap) // (limit - overlap)))
-    while True:
-        step = (n - overlap) / pieces
-        near = int(step * reach)
-        cuts, before = [], 0
-        for j in range(1, pieces):
-            target = overlap + step * j
-            a, z = max(before + 1, int(target) - near, overlap + 1), min(n - 1, int(target) + near)
-            if a > z:
-                a = z = min(max(before + 1, int(target)), n - 1)
-            own = strengths[a - 1 : z].astype(np.int64)
-            away = np.abs(np.arange(a, z + 1) - target)
-            cuts.append(a + int(np.lexsort((away, -own))[0]))
-            before = cuts[-1]
-        edges = [0, *cuts, n]
-        if all(b - max(0, a - (overlap if k else 0)) <= limit for k, (a, b) in enumerate(zip(edges, edges[1:]))) and all(a < b for a, b in zip(edges, edges[1:])):
-            return cuts
-        pieces += 1
+    """Token numbers at which a text of ``n`` > ``limit`` tokens is cut: piece j is [cut(j-1) - overlap, cut(j)).
+
+    Where the least number of pieces fails, numbers further off are tried in steps that double, then those between by halves, so the cost
+    grows with the text, not with its square. Pieces that each go on by one token always keep the limit.
+    """
+    least = max(2, -(-(n - overlap) // (limit - overlap)))
+    bad, more = least - 1, 1
+    good, cuts = least, _cuts(strengths, n, limit, overlap, reach, least)
+    while cuts is None:
+        bad, good, more = good, min(good + more, n - overlap), more * 2
+        cuts = _cuts(strengths, n, limit, overlap, reach, good)
+    while good - bad > 1:
+        middle = (bad + good) // 2
+        found = _cuts(strengths, n, limit, overlap, reach, middle)
+        if found is None:
+            bad = middle
+        else:
+            good, cuts = middle, found
+    return cuts
 
 
 def _split(limit: int, overlap: int, texts: bool):

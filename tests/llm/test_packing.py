@@ -1,9 +1,10 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from askweave.llm import packing
 from askweave.llm.packing import TOKENIZER, _encoding, PATTERN, fill_containers, pack
 
 
@@ -45,3 +46,12 @@ def test_containers(spark):
     assert seen[900] == count[900] and seen[901] == 0 and seen[rows[4][0]] == 2 * count[rows[4][0]]
     assert all(seen[i] == n for i, n in count.items() if i != rows[4][0])
     assert fill_containers(df.limit(0), "doc_id", "text", 64).count() == 0
+
+
+def test_names_do_not_depend_on_files(spark, monkeypatch):
+    rows = [(i % 40 if i % 3 else None, "word " * (1 + i % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [Counter(map(tuple, fill_containers(x, "doc_id", "text", 16, block_items=50).collect())) for x in (df.repartition(1), df.repartition(7))]
+    monkeypatch.setattr(packing, "RUN", 3)
+    sets.append(Counter(map(tuple, fill_containers(df, "doc_id", "text", 16, block_items=50).collect())))
+    assert sets[0] == sets[1] == sets[2] and sum(sets[0].values()) == len(rows)

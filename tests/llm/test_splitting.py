@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from askweave.llm import splitting
 from askweave.llm.splitting import PARAGRAPH, SENTENCE, _strengths, balanced_cuts, oversized, split_texts, token_bounds
 
 TOKENS = re.compile(r"[一-鿿]|[^\W一-鿿]+|[^\w\s]")
@@ -23,6 +24,13 @@ def test_cuts_keep_limit_and_overlap(strengths, limit, data):
     assert all(b - (a - overlap if k else 0) <= limit and (k == 0 or a >= overlap) for k, (a, b) in enumerate(zip(edges, edges[1:])))
 
 
+def test_very_long_text_takes_few_tries(monkeypatch):
+    tries = []
+    monkeypatch.setattr(splitting, "_cuts", lambda *a, run=splitting._cuts: tries.append(1) or run(*a))
+    strengths = np.random.default_rng(0).integers(0, 6, 399_999).astype(np.uint8)
+    assert len(balanced_cuts(strengths, 400_000, 512, 32)) >= 833 and len(tries) < 30
+
+
 def test_strengths():
     import pyarrow as pa
 
