@@ -6,8 +6,6 @@ The lexer and the alias table need a state, so they run over Arrow batches; mask
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,24 +79,22 @@ def normalized(values: pa.Array) -> pa.Array:
 _LITERAL = re.compile(r"'.*'|-?\d+(\.\d+)?", re.S)
 
 
-def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@F.arrow_udf(T.StringType())
+def _masked(queries: pa.Array, names: pa.Array) -> pa.Array:
     """Tokens of the normal form joined by blanks, with names, literals and stars as ``_``; a row's names are a set made once."""
-    for b in batches:
-        out = []
-        for sql, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            known = set(own or ())
-            out.append(None if sql is None else " ".join("_" if t in known or t == "*" or t.endswith(".*") or _LITERAL.fullmatch(t) else t for t in sql_tokens(normal_form(sql))))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["_id", "_masked"])
+    out = []
+    for sql, own in zip(queries.to_pylist(), names.to_pylist()):
+        known = set(own or ())
+        out.append(None if sql is None else " ".join("_" if t in known or t == "*" or t.endswith(".*") or _LITERAL.fullmatch(t) else t for t in sql_tokens(normal_form(sql))))
+    return pa.array(out, pa.string())
 
 
-def skeletons(df: DataFrame, id_col: str, sql: Column, names: Column) -> DataFrame:
-    """``id_col`` and ``skeleton``, the shape of a query in normal form: ``names`` (array of tables, columns and table.column), literals and stars become ``_``.
+def skeleton(sql: Column, names: Column) -> Column:
+    """The shape of a query in normal form: ``names`` (array of tables, columns and table.column), literals and stars become ``_``.
 
     Join conditions go, chains of joined tables, lists and simple comparisons become one ``_`` each.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("_id"), sql.alias("_sql"), names.alias("_names")).mapInArrow(_masked, f"_id {kind}, _masked string")
-    out = F.concat(F.lit(" "), F.col("_masked"), F.lit(" "))
+    out = F.concat(F.lit(" "), _masked(sql, names), F.lit(" "))
     for pattern, to in (
         (r" on _ = _(?: (?:and|or) _ = _)*(?= )", ""),
         (r" _(?: join _)+(?= )", " _"),
@@ -108,7 +104,12 @@ def skeletons(df: DataFrame, id_col: str, sql: Column, names: Column) -> DataFra
         (r" +", " "),
     ):
         out = F.regexp_replace(out, pattern, to)
-    return rows.select(F.col("_id").alias(id_col), F.trim(out).alias("skeleton"))
+    return F.trim(out)
+
+
+def skeletons(df: DataFrame, id_col: str, sql: Column, names: Column) -> DataFrame:
+    """``id_col`` and ``skeleton`` of each query, whatever its form."""
+    return df.select(id_col, skeleton(sql, names).alias("skeleton"))
 
 
 def schema_names(db_schema: Column) -> Column:

@@ -41,7 +41,22 @@ def join_salted(rows: DataFrame, keyed: DataFrame, key: str, total: int, hot: in
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
+def join_small(rows: DataFrame, keyed: DataFrame, key: str, limit: int = 100_000, hot: int = 100_000) -> DataFrame:
+    """Inner join with a side that is a row a key, such as catalogs: by a broadcast up to ``limit`` rows of it, which are counted, else salted."""
+    if keyed.count() <= limit:
+        return rows.join(F.broadcast(keyed), key)
+    return join_salted(rows, keyed, key, rows.count(), hot)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a scan has fewer partitions than there are cores, for work that is heavy by the row."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt out anew over all cores, for work that is heavy by the row and scans of few, small files."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if _bytes(df) < SPREAD_BYTES else df
+
+
+#: Data sets up to this size may come as fewer scan tasks than there are cores.
+SPREAD_BYTES = 1 << 30
+
+
+def _bytes(df: DataFrame) -> int:
+    """The optimizer's estimate, for which nothing runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

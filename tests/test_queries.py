@@ -2,10 +2,10 @@
 
 import pytest
 
-from askweave.plans import pipeline_queries, queries, star_queries
+from askweave.plans import pipeline_queries, queries, record_queries, star_queries
 
-CORE = star_queries.QUERIES | pipeline_queries.QUERIES | queries.QUERIES
-ORACLES = star_queries.ORACLES | pipeline_queries.ORACLES | queries.ORACLES
+CORE = star_queries.QUERIES | pipeline_queries.QUERIES | record_queries.QUERIES | queries.QUERIES
+ORACLES = star_queries.ORACLES | pipeline_queries.ORACLES | record_queries.ORACLES | queries.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
