@@ -7,6 +7,7 @@ parsed once per worker and delivery; questions move, never the driver.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 from askweave.functions.text import db_key
 from askweave.operators.linking import exact_matches
 from askweave.operators.ranking import current_catalog
-from askweave.operators.skew import spread
+from askweave.operators.skew import join_small, spread
 from askweave.plans.asking import known_values, shorthand_of, tokenize
 from askweave.plans.emit import query_sql
 from askweave.plans.inference import expand
-from askweave.plans.selection import PLACEHOLDER
+from askweave.plans.selection import PLACEHOLDER, compiled
 from askweave.sources.catalog import Catalog
 
 CATALOG_FIELDS = ("table_names_original", "column_names", "column_names_original", "column_types", "primary_keys", "foreign_keys")
@@ -37,6 +38,35 @@ def by_rules(question: str, catalog: Catalog, links: Iterable[tuple[str, str, st
         return []
 
 
+def catalog_texts(catalog: DataFrame) -> DataFrame:
+    """``db`` and ``catalog``, the current delivery of each database as one text."""
+    return current_catalog(catalog).select("db", F.to_json(F.struct(*CATALOG_FIELDS), {"ignoreNullFields": "false"}).alias("catalog"))
+
+
+@lru_cache(256)
+def parsed(text: str) -> Catalog:
+    return Catalog.of_row(json.loads(text))
+
+
+def decoded(candidates: DataFrame, catalog: DataFrame, shorthand: bool = False) -> DataFrame:
+    """Of the candidates (``q_id``, ``db``, ``place``, ``text``) of each question, the first that can be read after repair, as ``place`` and ``sql``.
+
+    Repair and compilation run on the executors, once a candidate; names that the question's catalog lacks become known ones. A question
+    none of whose candidates can be read has place -1 and the placeholder. Null texts and unknown databases are no candidates.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [compiled(t, parsed(c), shorthand) for t, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["q_id", "place", "sql"])
+
+    kind = candidates.schema["q_id"].dataType.simpleString()
+    own = join_small(spread(candidates.filter("text is not null and place is not null")), catalog_texts(catalog), "db").select("q_id", F.col("place").cast("int").alias("place"), "text", "catalog")
+    read = own.mapInArrow(run, f"q_id {kind}, place int, sql string")
+    first = read.groupBy("q_id").agg(F.min(F.when(F.col("sql").isNotNull(), F.struct("place", "sql"))).alias("x"))
+    return first.select("q_id", F.coalesce("x.place", F.lit(-1)).alias("place"), F.coalesce("x.sql", F.lit(PLACEHOLDER)).alias("sql"))
+
+
 def generated(questions: DataFrame, catalog: DataFrame, generator: Callable[..., list[str]] = by_rules, index: DataFrame | None = None) -> DataFrame:
     """``q_id`` and ``sql``, the generator's first candidate or the placeholder, for every question of a current database.
 
@@ -47,23 +77,16 @@ def generated(questions: DataFrame, catalog: DataFrame, generator: Callable[...,
     linked = index is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        @lru_cache(256)
-        def parsed(text: str) -> Catalog:
-            return Catalog.of_row(json.loads(text))
-
         for b in batches:
             links = [([tuple(x.values()) for x in xs or ()],) for xs in b.column(3).to_pylist()] if linked else [()] * b.num_rows
             found = [(generator(q, parsed(c), *x) or [PLACEHOLDER])[0] for q, c, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), links)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["q_id", "sql"])
 
-    catalogs = current_catalog(catalog).select("db", F.to_json(F.struct(*CATALOG_FIELDS), {"ignoreNullFields": "false"}).alias("catalog"))
     own = questions.filter("question is not null").select("q_id", db_key(F.col("db_id")).alias("db"), "question")
     own, columns = spread(own), ["q_id", "question", "catalog"]
     if linked:  # before the catalogs, whose texts are longer than the questions
         links = exact_matches(questions, index).groupBy("q_id").agg(F.collect_set(F.struct("cell_value", "table_name", "column_name")).alias("links"))
         own, columns = own.join(links, "q_id", "left"), [*columns, "links"]
-    own = own.join(catalogs, "db")
+    own = join_small(own, catalog_texts(catalog), "db")
     kind = questions.schema["q_id"].dataType.simpleString()
     return own.select(*columns).mapInArrow(run, f"q_id {kind}, sql string")

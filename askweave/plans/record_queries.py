@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askweave.functions.sqltext import normalized
+from askweave.functions.text import db_key
 from askweave.operators import records
+from askweave.operators.skew import join_small
+from askweave.plans.engine import Engine
+from askweave.plans.generation import decoded
 from askweave.plans.pipeline_queries import _ITEMS, _NORM_INDEX, value_match_exact
+from askweave.plans.selection import exact_matches, same_results
+from askweave.plans.star_queries import SHORTHANDS
 from askweave.sources.tables import table
 
 
@@ -50,7 +56,43 @@ def ranked_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.ranked_for_training(table(spark, sf_dir, "preprocessed_dataset"))
 
 
-QUERIES = {f.__name__: f for f in (preprocess_records, preprocess_texts, normalize_records, ranked_eval, ranked_coverage, ranked_train)}
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each training query: a text that is no query, the query with every long name a letter short, and the query itself."""
+    q = table(spark, sf_dir, "train_spider").filter("question is not null and query <> ''").select("q_id", db_key(F.col("db_id")).alias("db"), "query").distinct()
+    short = F.regexp_replace("query", r"(?<!['\"\w])(?i)(?!select\b|except\b|having\b)([a-z_]{5,})[a-z_](?![\w'\"])", "$1")
+    texts = F.array(F.lit("select ( _"), F.concat(F.lit("select _ from _ | "), short), F.col("query"))
+    return q.select("q_id", "db", F.posexplode(texts).alias("place", "text"))
+
+
+def decode_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first readable candidate of each training question, repaired and compiled on the executors."""
+    return decoded(_candidates(spark, sf_dir), table(spark, sf_dir, "spider_tables"))
+
+
+def decode_shorthand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shorthands of the preprocessed records with every name a letter short, repaired, compiled, and compared with the record's query."""
+    own = table(spark, sf_dir, "preprocessed_dataset").filter("norm_natsql is not null and norm_sql is not null").select("rec_id", db_key(F.col("db_id")).alias("db"), "norm_natsql", "norm_sql")
+    short = F.regexp_replace("norm_natsql", r"(\w+\.[a-z_]{4,})[a-z_](?!\w)", "$1")
+    out = decoded(own.select(F.col("rec_id").alias("q_id"), "db", F.lit(0).alias("place"), short.alias("text")), table(spark, sf_dir, "spider_tables"), shorthand=True)
+    return out.join(own, F.col("q_id") == F.col("rec_id")).select("rec_id", "place", "sql", exact_matches("sql", "norm_sql").alias("matches"))
+
+
+def decode_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of :func:`decode_batch`: questions answered; texts chosen that are no query; names left that no catalog of the database has."""
+    chosen = decode_batch(spark, sf_dir).join(table(spark, sf_dir, "train_spider").select("q_id", db_key(F.col("db_id")).alias("db")).distinct(), "q_id")
+    both = join_small(chosen, records.schemas(table(spark, sf_dir, "spider_tables")), "db")
+    dotted = F.filter(records.query_names(F.col("sql")), lambda n: n.rlike(r"^[a-z_]\w*\."))
+    return both.agg(F.count(F.lit(1)).alias("questions"), F.count(F.when(F.col("place") == 0, 1)).alias("unread_chosen"), F.count(F.when(F.size(F.array_except(dotted, "names")) > 0, 1)).alias("unknown_names"))
+
+
+def emitted_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shorthand query of the star schema: whether its plan gives the rows that the SQL written out for it gives."""
+    engine = Engine(spark, sf_dir)
+    pairs = [(lambda t=t, o=o: engine.shorthand(t, options=o), lambda t=t, o=o: engine.sql(engine.explain(t, o))) for t, o in SHORTHANDS.values()]
+    return spark.createDataFrame(list(zip(SHORTHANDS, same_results(pairs))), "name string, matches boolean")
+
+
+QUERIES = {f.__name__: f for f in (preprocess_records, preprocess_texts, normalize_records, ranked_eval, ranked_coverage, ranked_train, decode_batch, decode_shorthand, decode_checks, emitted_sql)}
 
 
 def _score(name: str) -> str:
@@ -101,6 +143,10 @@ ORACLES = {
     "normalize_records": """
         WITH a AS (SELECT rec_id, norm_sql AS s, regexp_extract(norm_sql, '(\\w+) as t1\\b', 1) AS x, regexp_extract(norm_sql, '(\\w+) as t2\\b', 1) AS y FROM preprocessed_dataset)
         SELECT rec_id, regexp_replace(regexp_replace(replace(replace(s, ' as t1', ''), ' as t2', ''), '\\bt1\\.', x || '.', 'g'), '\\bt2\\.', y || '.', 'g') AS norm FROM a""",
+    "decode_checks": """
+        SELECT count(*) AS questions, 0 AS unread_chosen, 0 AS unknown_names FROM (SELECT DISTINCT q_id, lower(trim(db_id)) AS db FROM train_spider WHERE question IS NOT NULL AND query <> '')
+        WHERE db IN (SELECT lower(trim(db_id)) FROM spider_tables WHERE deleted_at IS NULL AND db_id IS NOT NULL)""",
+    "emitted_sql": "SELECT name, true AS matches FROM (VALUES " + ", ".join(f"('{n}')" for n in SHORTHANDS) + ") t(name)",
     "ranked_eval": _EVAL + " SELECT * FROM e",
     "ranked_coverage": _EVAL + " SELECT count(tables_covered) AS records, round(avg(CAST(tables_covered AS INTEGER)), 6) AS tables_covered, round(avg(CAST(columns_covered AS INTEGER)), 6) AS columns_covered FROM e",
     "ranked_train": _RANKED + f""",

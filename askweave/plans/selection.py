@@ -7,6 +7,7 @@ import threading
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -14,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askweave.plans.emit import query_sql
 from askweave.plans.engine import Engine
+from askweave.plans.inference import expand
 from askweave.plans.parser import QueryError, parse_sql
-from askweave.plans.syntax import Bool, Col, Lit, Query, Source, rewrite
+from askweave.plans.syntax import Bool, Col, Lit, Query, Source, Sub, outer, rewrite
 from askweave.sources.catalog import Catalog
 
 #: What a question without a usable candidate gets.
@@ -73,6 +76,37 @@ def tidy(text: str) -> str:
     return text.rpartition("|")[2].strip().replace("='", "= '").replace("!=", " !=").replace(",", " ,")
 
 
+def compiled(text: str, catalog: Catalog, shorthand: bool = False) -> str | None:
+    """The candidate repaired and compiled to SQL; None where it cannot be read or names what the catalog lacks."""
+    try:
+        query = repair(tidy(text), catalog)
+        tree = expand(query, catalog) if shorthand else parse_sql(query)
+        return query_sql(tree) if known(tree, catalog) else None
+    except Exception:
+        return None
+
+
+def known(q: Query, catalog: Catalog, above: dict[str, frozenset[str]] | None = None) -> bool:
+    """Whether every table and column of a query is in the catalog, by the scopes of its blocks."""
+    scope = dict(above or {})
+    for s in q.sources:
+        if s.query is not None:
+            if not known(s.query, catalog, above):
+                return False
+            scope[s.alias] = frozenset(e.name if isinstance(e, Col) else f"o{i}" for i, e in enumerate(s.query.select))
+        elif s.table not in catalog.tables:
+            return False
+        else:
+            scope[s.alias] = frozenset(catalog.tables[s.table])
+    every = frozenset().union(*scope.values())
+    for x in outer((q.select, tuple(s.on for s in q.sources), q.where, q.group, q.having, q.order)):
+        if isinstance(x, Col) and x.name != "*" and x.name not in (scope.get(x.table, frozenset()) if x.table else every):
+            return False
+        if isinstance(x, Sub) and x.query.sources and not known(x.query, catalog, scope):
+            return False
+    return all(known(part, catalog, above) for _, part in q.sets)
+
+
 def run_within(spark: SparkSession, df: DataFrame, seconds: float, run: Callable[[DataFrame], object] = DataFrame.collect) -> object | None:
     """What ``run`` makes of the query (its rows), or None where it fails or takes longer: its jobs are then cancelled by their tag."""
     tag, over, late = f"askweave-{uuid.uuid4().hex}", threading.Event(), threading.Event()
@@ -161,13 +195,28 @@ def same_result(a: DataFrame, b: DataFrame) -> bool:
     """Whether two results are the same bag of rows, whatever their column names."""
     if len(a.columns) != len(b.columns):
         return False
-    b = b.toDF(*a.columns)
+    names = [f"c{i}" for i in range(len(a.columns))]
     try:
-        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+        # Each row counts up on one side and down on the other: one aggregation, partial before its shuffle.
+        both = a.toDF(*names).withColumn("_n", F.lit(1)).union(b.toDF(*names).withColumn("_n", F.lit(-1)))
+        return both.groupBy(*names).agg(F.sum("_n").alias("_n")).filter("_n <> 0").isEmpty()
     except Exception:
         return False
 
 
+def same_results(pairs: Iterable[tuple[Callable[[], DataFrame], Callable[[], DataFrame]]], at_once: int = 4) -> list[bool]:
+    """:func:`same_result` of every pair of plans, some of them running side by side; a plan that cannot be made matches nothing."""
+
+    def one(pair: tuple[Callable[[], DataFrame], Callable[[], DataFrame]]) -> bool:
+        try:
+            return same_result(pair[0](), pair[1]())
+        except Exception:
+            return False
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(one, pairs))
+
+
 def best_checkpoints(metrics: DataFrame) -> DataFrame:
     """The best checkpoint (``ckpt``, ``em``, ``ex``) by exact match, by execution and by their sum; ties by the other, then the first."""
     out = None
@@ -178,4 +227,4 @@ def best_checkpoints(metrics: DataFrame) -> DataFrame:
     return out
 
 
-__all__ = ["PLACEHOLDER", "best_checkpoints", "choose", "closest", "exact_match", "exact_matches", "repair", "run_within", "same_result", "tidy"]
+__all__ = ["PLACEHOLDER", "best_checkpoints", "choose", "closest", "compiled", "exact_match", "exact_matches", "known", "repair", "run_within", "same_result", "same_results", "tidy"]

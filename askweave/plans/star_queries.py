@@ -12,6 +12,8 @@ from askweave.plans.inference import Options
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The shorthand texts by query, with their options.
+SHORTHANDS: dict[str, tuple[str, Options]] = {}
 
 
 def _add(name: str, kind: str, text: str, names: str, oracle: str, **options: bool) -> None:
@@ -20,6 +22,8 @@ def _add(name: str, kind: str, text: str, names: str, oracle: str, **options: bo
         return engine.sql(text, out) if kind == "sql" else engine.shorthand(text, out, Options(**options))
 
     QUERIES[name], ORACLES[name] = run, oracle
+    if kind == "short":
+        SHORTHANDS[name] = (text, Options(**options))
 
 
 # Projections, filters, predicates
