@@ -269,6 +269,12 @@ def question_segments(values: pa.Array) -> pa.Array:
     return pa.array([None if q is None else [{"kind": k, "text": x} for k, x in segments(q)] for q in values.to_pylist()], kind)
 
 
+@F.arrow_udf(T.StringType())
+def repaired_questions(questions: pa.Array, names: pa.Array) -> pa.Array:
+    """:func:`repaired` over Arrow batches, each question with the names of its schema; null stays null."""
+    return pa.array([None if q is None else repaired(q, [n for n in ns or () if n]) for q, ns in zip(questions.to_pylist(), names.to_pylist())], pa.string())
+
+
 @F.arrow_udf(T.StringType())
 def stripped_values(values: pa.Array) -> pa.Array:
     return pa.array([None if s is None else without_values(s) for s in values.to_pylist()], pa.string())
@@ -292,4 +298,4 @@ def pattern_counts(patterns: list[str]):
     return F.arrow_udf(run, T.ArrayType(T.IntegerType()))
 
 
-__all__ = ["Token", "filled", "filled_values", "find_pattern", "pattern_counts", "question_segments", "question_tags", "repaired", "segments", "stripped_values", "tag_tokens", "without_values"]
+__all__ = ["Token", "filled", "filled_values", "find_pattern", "pattern_counts", "question_segments", "question_tags", "repaired", "repaired_questions", "segments", "stripped_values", "tag_tokens", "without_values"]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LEX = re.compile(r"""'(?:[^']|'')*'|<=|>=|!=|<>|-?\d+\.\d+|(?<![\w)]\s)(?<![\w)])-\d+|[^\W\d]\w*(?:\.(?:\w+|\*))?|\d+\w*|\S""")
+_LEX = re.compile(r"""'(?:[^']|'')*'|@\.@|<=|>=|!=|<>|-?\d+\.\d+|(?<![\w)]\s)(?<![\w)])-\d+|[^\W\d]\w*(?:\.(?:\w+|\*))?|\d+\w*|\S""")
 _JOINERS = {"select", "from", "where", "group", "having", "order", "limit", "join", "on", "union", "intersect", "except", "and", "or"}
 COMPARISONS = ("=", "!=", ">", ">=", "<", "<=")
 
