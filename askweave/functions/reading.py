@@ -175,5 +175,23 @@ def read(a: Annotated, words: SchemaWords, stored: dict[int, list[Column]] | Non
     return parts, out
 
 
+def evidence(a: Annotated, words: SchemaWords, stored: dict[int, list[Column]] | None = None) -> dict[str, int]:
+    """How much a question speaks of each table: 4 by its whole name, 3 by a value of its, 2 by a whole column name, 1 by a part of either.
+
+    Words that are a column of some table by themselves are no part of another table's name.
+    """
+    out: dict[str, int] = {}
+    whole_columns = {m.start for m in a.mentions if m.column and m.tier <= 1}
+    for m in a.mentions:
+        whole = m.tier <= 1
+        if not m.column and not whole and m.start in whole_columns:
+            continue
+        out[m.table] = max(out.get(m.table, 0), (2 if whole else 1) if m.column else (4 if whole else 1))
+    for columns in (stored or {}).values():
+        for t, _ in columns:
+            out[t] = max(out.get(t, 0), 3)
+    return out
+
+
 def content_words(text: str) -> list[str]:
     return [w for w in text.lower().split() if w not in STOP_WORDS]

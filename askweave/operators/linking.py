@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from askweave.functions.text import db_key, words
+from askweave.operators.skew import join_salted
 
 _SEPARATORS = set("'\"()`,.?! ")
 #: Words that are no value by themselves, and words that count only when they match wholly.
@@ -191,6 +192,36 @@ def fuzzy_matches(questions: DataFrame, index: DataFrame, keep: int = 2, thresho
     return out.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep).select("q_id", "table_name", "column_name", "cell_value", F.round("score", 6).alias("score"), "place")
 
 
+def cell_spans(questions: DataFrame, index: DataFrame, longest: int = 6) -> DataFrame:
+    """``q_id``, ``pos``, ``span``, ``table_name``, ``column_name``: the longest run of a question's words, from each place on, with which a value of its database begins.
+
+    Plural endings of the last word aside. A run of one word counts only if that is the whole value, or no stop word, number or word of one or two
+    letters. Questions and values meet on their first word; of a value up to ``longest`` words are compared.
+    """
+    first = lambda a, n: F.slice(a, 1, n)
+    stem = lambda a: F.transform(a, lambda w: F.regexp_replace(w, "s$", ""))
+    v = index.select("db", "table_name", "column_name", words(F.col("cell_value")).alias("_v")).filter(F.size("_v") > 0)
+    v = v.select("db", F.regexp_replace(F.get("_v", F.lit(0)), "s$", "").alias("w"), "table_name", "column_name", first(stem(F.col("_v")), longest).alias("_v"), (F.size("_v") == 1).alias("_whole")).distinct()
+    q = questions.filter("question is not null").select("q_id", db_key(F.col("db_id")).alias("db"), words(F.col("question")).alias("_q")).distinct()
+    q = q.select("q_id", "db", F.posexplode("_q").alias("pos", "said"), "_q").withColumn("_rest", stem(F.slice("_q", F.col("pos") + 1, F.lit(longest))))
+    q = q.filter(~F.col("said").isin(*sorted(STOP_WORDS))).select("q_id", "db", "pos", "said", F.regexp_replace("said", "s$", "").alias("w"), "_rest")
+    met = join_salted(q.withColumn("k", F.concat_ws("\x1f", "db", "w")).drop("db"), v.withColumn("k", F.concat_ws("\x1f", "db", "w")).drop("db", "w"), "k", q.count())
+    same = F.transform(F.arrays_zip("_rest", "_v"), lambda x: x["_rest"] == x["_v"])
+    run = F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + (s["on"] & F.coalesce(x, F.lit(False))).cast("int")).alias("n"), (s["on"] & F.coalesce(x, F.lit(False))).alias("on")), lambda s: s["n"])
+    met = met.withColumn("span", run).filter((F.col("span") > 1) | F.col("_whole") | ~F.col("said").rlike(r"^(\d+|.{1,2})$"))
+    best = Window.partitionBy("q_id", "pos")
+    return met.select("q_id", "pos", "span", "table_name", "column_name").distinct().withColumn("_most", F.max("span").over(best)).filter("span = _most").drop("_most")
+
+
+def starting_with(table: DataFrame, text: str, limit: int = 500) -> DataFrame:
+    """Rows in which a text column, blanks aside, begins with the text, letter case aside: ``limit`` at most. One scan, whatever the number of columns."""
+    columns = [c for c, t in table.dtypes if t == "string"]
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.lower(F.trim(F.col(f"`{c}`"))).startswith(text.lower())
+    return table.filter(hit).limit(limit)
+
+
 def schema_links(questions: DataFrame, items: DataFrame) -> DataFrame:
     """``q_id``, ``table_name``, ``column_name`` (null for the table itself) and ``tier`` of the schema items a question speaks of.
 

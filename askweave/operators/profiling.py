@@ -50,13 +50,12 @@ def types(values: DataFrame) -> DataFrame:
     v = F.lower(F.trim("value"))
     is_number = v.rlike(r"^-?\d+(\.\d+)?([eE]-?\d+)?$")
     is_date = v.rlike(r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}([ t].*)?$|^\d{1,2}:\d{2}(:\d{2})?$")
-    full = values.filter("value is not null and trim(value) <> ''")
-    seen = full.groupBy("table_name", "column_name").agg(
-        F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
-        F.count(F.when(v.rlike(r"^\p{L}"), 1)).alias("letters"), F.count(F.when(is_number, 1)).alias("numbers"),
-        F.count(F.when(is_date, 1)).alias("dates"), F.count(F.when(v.rlike(r"^[12]\d{3}$"), 1)).alias("years"),
+    full = F.col("value").isNotNull() & (F.trim("value") != "")
+    count = lambda cond: F.count(F.when(full & cond, 1))
+    every = values.groupBy("table_name", "column_name").agg(
+        count(F.lit(True)).alias("n"), F.min(F.when(full, v)).alias("low"), F.max(F.when(full, v)).alias("high"), count(v.rlike(r"^\p{L}")).alias("letters"),
+        count(is_number).alias("numbers"), count(is_date).alias("dates"), count(v.rlike(r"^[12]\d{3}$")).alias("years"),
     )
-    every = values.select("table_name", "column_name").distinct().join(seen, ["table_name", "column_name"], "left")
     n, name = F.coalesce("n", F.lit(0)), F.lower("column_name")
     pair = F.lit(False)
     for a, b in BOOLEAN_PAIRS:
@@ -81,3 +80,39 @@ def same_content(values: DataFrame, miss: int = 1) -> DataFrame:
     met = own.groupBy("value").agg(F.sort_array(F.collect_set("c")).alias("cs")).filter(F.size("cs") > 1)
     pairs = met.select(F.explode("cs").alias("a"), "cs").select("a", F.explode("cs").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     return pairs.join(size.withColumnRenamed("c", "a"), "a").filter((F.col("size") > 1) & (F.col("shared") >= F.col("size") - miss)).select(F.col("a").alias("column_a"), F.col("b").alias("column_b"), "shared", F.col("size").alias("values_a"))
+
+
+def checked_types(columns: DataFrame, values: DataFrame) -> DataFrame:
+    """``kind`` of catalog columns (``db``, ``table_name``, ``column_name``, ``shown``, ``declared``) by their values where they have any, else as declared.
+
+    A text column that is named "x or y" is boolean. ``values`` has ``db``, ``table_name``, ``column_name`` and ``cell_value``.
+    """
+    own = values.select(F.concat_ws("\x1f", "db", "table_name").alias("table_name"), "column_name", F.col("cell_value").alias("value")).distinct()
+    found = types(own).select(F.split("table_name", "\x1f").alias("_t"), "column_name", "kind").select(F.get("_t", F.lit(0)).alias("db"), F.get("_t", F.lit(1)).alias("table_name"), "column_name", "kind")
+    named = F.lower("shown").contains(" or ") & (F.col("declared") == "text")
+    both = columns.join(found.filter("kind <> 'unknown'"), ["db", "table_name", "column_name"], "left")
+    return both.select("db", "table_name", "column_name", "declared", F.when(named, "boolean").otherwise(F.coalesce("kind", "declared")).alias("kind"))
+
+
+def same_named(columns: DataFrame) -> DataFrame:
+    """Pairs of columns of one database (``table_a``, ``column_a``, ``table_b``, ``column_b``) that say the same: equal words, two at least, plural endings aside, and equal kind.
+
+    ``shares_table``: one of the words is one of either table's name. ``columns`` has ``db``, ``table_name``, ``column_name``, ``words`` (array), ``table_words`` and ``declared``.
+    """
+    stem = lambda c: F.transform(c, lambda w: F.regexp_replace(w, "s$", ""))
+    own = columns.select("db", "table_name", "column_name", "declared", stem(F.col("words")).alias("w"), stem(F.col("table_words")).alias("t")).filter(F.size("w") > 1)
+    side = lambda x: own.select("db", F.array_join("w", " ").alias("said"), "declared", F.col("table_name").alias(f"table_{x}"), F.col("column_name").alias(f"column_{x}"), F.col("w").alias(f"w_{x}"), F.col("t").alias(f"t_{x}"))
+    # A database's catalog bounds how often one name stands in it.
+    both = side("a").join(side("b"), ["db", "said", "declared"]).filter((F.col("table_a") < F.col("table_b")) | (F.col("table_a") == F.col("table_b")) & (F.col("column_a") < F.col("column_b")))
+    return both.select("db", "table_a", "column_a", "table_b", "column_b", (F.arrays_overlap("w_a", "t_a") | F.arrays_overlap("w_a", "t_b")).alias("shares_table"))
+
+
+def compound_names(names: DataFrame, dictionary: DataFrame, least: int = 3) -> DataFrame:
+    """One-word names that are two words of the database's dictionary written together: ``db``, ``name``, ``first`` and ``second``, each of ``least`` letters and more.
+
+    ``names`` has ``db`` and ``name``, ``dictionary`` has ``db`` and ``word``. Every split is tried, and all that hold are given.
+    """
+    cut = names.filter(F.length("name") >= 2 * least).select("db", "name", F.explode(F.sequence(F.lit(least), F.length("name") - least)).alias("n"))
+    halves = cut.select("db", "name", F.substring("name", F.lit(1), F.col("n")).alias("first"), F.substring("name", F.col("n") + 1, F.length("name")).alias("second"))
+    words = dictionary.select("db", "word").distinct()
+    return halves.join(words.withColumnRenamed("word", "first"), ["db", "first"]).join(words.withColumnRenamed("word", "second"), ["db", "second"]).select("db", "name", "first", "second").distinct()

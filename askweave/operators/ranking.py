@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from askweave.functions.text import db_key, words
+from askweave.operators.skew import join_many
 
 TOP_TABLES, TOP_COLUMNS = 4, 5
 
@@ -36,7 +37,7 @@ def current_catalog(catalog: DataFrame) -> DataFrame:
 def schema_items(catalog: DataFrame) -> DataFrame:
     """``db``, ``table_pos``, ``table_name``, ``column_pos`` and ``column_name`` of the current catalog; columns that exist only."""
     columns = current_catalog(catalog).select("db", "table_names_original", F.posexplode("column_names_original").alias("column_pos", "c")).filter("column_pos > 0 and c.name is not null and c.table_idx >= 0 and c.table_idx < size(table_names_original)")
-    return columns.select("db", F.col("c.table_idx").alias("table_pos"), F.element_at("table_names_original", F.col("c.table_idx") + 1).alias("table_name"), "column_pos", F.col("c.name").alias("column_name"))
+    return columns.select("db", F.col("c.table_idx").alias("table_pos"), F.get("table_names_original", F.col("c.table_idx")).alias("table_name"), "column_pos", F.col("c.name").alias("column_name"))
 
 
 def name_words(name: Column) -> Column:
@@ -51,8 +52,8 @@ def scored(questions: DataFrame, catalog: DataFrame, scorer: Callable[[Column, C
     q = questions.filter("question is not null").select("q_id", db_key(F.col("db_id")).alias("db"), stems(words(F.col("question"))).alias("_q"))
     tables = items.select("db", "table_pos", "table_name").distinct().withColumn("_i", stems(name_words(F.col("table_name"))))
     columns = items.withColumn("_i", stems(name_words(F.col("column_name"))))
-    t = q.join(tables, "db").select("q_id", "table_pos", "table_name", F.round(scorer(F.col("_q"), F.col("_i")), 4).alias("prob"))
-    c = q.join(columns, "db").select("q_id", "table_pos", "table_name", "column_pos", "column_name", F.round(scorer(F.col("_q"), F.col("_i")), 4).alias("prob"))
+    t = join_many(q, tables, "db").select("q_id", "table_pos", "table_name", F.round(scorer(F.col("_q"), F.col("_i")), 4).alias("prob"))
+    c = join_many(q, columns, "db").select("q_id", "table_pos", "table_name", "column_pos", "column_name", F.round(scorer(F.col("_q"), F.col("_i")), 4).alias("prob"))
     return t, c
 
 
@@ -68,14 +69,20 @@ def coverage(labelled: DataFrame, group: list[str]) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("groups"), F.round(F.avg((F.col("_u") == F.col("_k")).cast("double")), 6).alias("coverage"))
 
 
-def auc(scores: DataFrame, prob: str = "prob", label: str = "label") -> DataFrame:
-    """Area under the ROC curve; equal scores share their rank. Null without both classes.
+def auc(scores: DataFrame, prob: str = "prob", label: str = "label", ranges: int = 1000) -> DataFrame:
+    """Area under the ROC curve; equal scores share their rank, however close others are. Null without both classes.
 
-    Rows are summed per score before they are ordered; scores have four digits, so 10,001 rows at most are ranked in one task.
+    Rows are summed per score. The scores are cut at ``ranges`` quantiles; what lies below a score is what lies in the ranges below its own (as
+    many rows as there are ranges) and below it within the range, so no task orders all scores.
     """
-    per = scores.groupBy(F.round(prob, 4).alias("p")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    area = per.select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("a"))
+    per = scores.filter(F.col(prob).isNotNull()).groupBy(F.col(prob).alias("p")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+    cuts = per.agg(F.array_distinct(F.percentile_approx("p", [i / ranges for i in range(1, ranges)], 10 * ranges)).alias("cuts"))
+    per = per.withColumn("one", F.lit(1)).join(F.broadcast(cuts.withColumn("one", F.lit(1))), "one")  # one row
+    per = per.select("p", "pos", "neg", F.size(F.filter("cuts", lambda c: c <= F.col("p"))).alias("range"))
+    below = per.groupBy("range").agg(F.sum("neg").alias("n"))  # ``ranges`` rows at most
+    below = below.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    within = F.coalesce(F.sum("neg").over(Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    area = per.withColumn("_w", within).join(F.broadcast(below), "range").select("pos", "neg", (F.col("pos") * (F.col("before") + F.col("_w") + F.col("neg") / 2)).alias("a"))
     return area.agg(F.round(F.sum("a") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)), 6).alias("auc"))
 
 

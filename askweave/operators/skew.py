@@ -48,6 +48,11 @@ def join_small(rows: DataFrame, keyed: DataFrame, key: str, limit: int = 100_000
     return join_salted(rows, keyed, key, rows.count(), hot)
 
 
+def join_many(rows: DataFrame, keyed: DataFrame, key: str, limit: int = 100_000, hot: int = 100_000) -> DataFrame:
+    """Inner join with a side that has several rows a key, such as the columns of catalogs: by a broadcast up to ``limit`` rows of it, which are counted, else salted."""
+    return join_small(rows, keyed, key, limit, hot)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out anew over all cores, for work that is heavy by the row and scans of few, small files."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if _bytes(df) < SPREAD_BYTES else df

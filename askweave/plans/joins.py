@@ -19,13 +19,44 @@ def closure(foreign: tuple[tuple[str, str, str, str], ...]) -> set[tuple[str, st
 
 
 def _made_edges(catalog: Catalog, a: str, b: str) -> list[tuple[str, str, str, str]]:
-    """Where no key is declared: a primary key met by a column of the same name, else any two columns of one name and type."""
+    """Where no key is declared: a primary key met by a column of the same name; two primary keys of one type that share a word of their names;
+    any two columns of one name and type; a foreign key and a primary key of one type whose names share a word."""
     for x, y in ((a, b), (b, a)):
         key = catalog.primary.get(y)
         if key and key in catalog.tables[x]:
             return [(x, key, y, key)]
+    same_type = lambda c, d: catalog.type_of(a, c) == catalog.type_of(b, d)
+    said = lambda c: set(c.split("_")) - {"id", "key", "no", "code"}
+    p, q = catalog.primary.get(a), catalog.primary.get(b)
+    if p and q and same_type(p, q) and said(p) & said(q):
+        return [(a, p, b, q)]
     shared = [c for c in catalog.tables[a] if catalog.tables[b].get(c) == catalog.tables[a][c]]
-    return [(a, shared[0], b, shared[0])] if shared else []
+    if shared:
+        return [(a, shared[0], b, shared[0])]
+    for x, y in ((a, b), (b, a)):
+        key = catalog.primary.get(y)
+        for f in catalog.foreign:
+            if f[0] == x and key and catalog.type_of(x, f[1]) == catalog.type_of(y, key) and said(f[1]) & (said(key) | {y}):
+                return [(x, f[1], y, key)]
+    return []
+
+
+def variants(catalog: Catalog, longest: int = 5) -> list[tuple[frozenset[str], frozenset[tuple[str, str, str, str]]]]:
+    """Every way to join a set of up to ``longest`` tables: the tables and the keys that make them one tree, parallel keys and all shapes included."""
+    level, out = {(frozenset([t]), frozenset()) for t in catalog.tables}, []
+    for _ in range(longest):
+        out += sorted(level, key=lambda v: (sorted(v[0]), sorted(v[1])))
+        level = {(own | {new}, keys | {f}) for own, keys in level for f in catalog.foreign if (f[0] in own) != (f[2] in own) for new in [f[2] if f[0] in own else f[0]]}
+    return out
+
+
+def many_to_many(catalog: Catalog) -> list[tuple[str, str, str]]:
+    """Pairs of tables (in name order) with each table that stands between them, ``(a, b, bridge)``."""
+    out = set()
+    for t in bridges(catalog):
+        ends = sorted({f[2] for f in catalog.foreign if f[0] == t and catalog.primary.get(t) != f[1] and f[2] != t})
+        out |= {(a, b, t) for i, a in enumerate(ends) for b in ends[i + 1 :]}
+    return sorted(out)
 
 
 def neighbours(catalog: Catalog) -> dict[str, list[str]]:
@@ -42,15 +73,15 @@ def neighbours(catalog: Catalog) -> dict[str, list[str]]:
 EXACT = 10
 
 
-def covering(catalog: Catalog, wanted: list[str], liked: frozenset[str] = frozenset()) -> list[str] | None:
-    """The smallest connected set of tables with all that are wanted, however far apart; of equal ones that with most liked tables.
+def covering(catalog: Catalog, wanted: list[str], liked: frozenset[str] | dict[str, int] = frozenset()) -> list[str] | None:
+    """The smallest connected set of tables with all that are wanted, however far apart; of equal ones that with most liked tables (or the most of what ``liked`` says of each).
 
     A smallest tree over the wanted tables is put together from smaller ones (each for a subset of the wanted tables and one more
     table in which they meet), so the cost grows with the catalog, not with the length of the paths. None where they do not hang together.
     """
     order, near = {t: i for i, t in enumerate(catalog.tables)}, neighbours(catalog)
     wanted = [*dict.fromkeys(wanted)]
-    weight = {t: (1, -(t in liked)) for t in near}
+    weight = {t: (1, -(liked.get(t, 0) if isinstance(liked, dict) else t in liked)) for t in near}
     if any(t not in near for t in wanted):
         return None
     best = _smallest(near, weight, order, wanted) if len(wanted) <= EXACT else _grown(near, weight, order, wanted)
@@ -127,7 +158,7 @@ def bridges(catalog: Catalog) -> list[str]:
     return sorted(t for t, x in to.items() if len(x) > 1)
 
 
-def join_sources(catalog: Catalog, wanted: list[str], liked: frozenset[str] = frozenset(), cross: bool = False) -> tuple[Source, ...]:
+def join_sources(catalog: Catalog, wanted: list[str], liked: frozenset[str] | dict[str, int] = frozenset(), cross: bool = False) -> tuple[Source, ...]:
     """FROM for the wanted tables (in their order of appearance), with what lies between them.
 
     Tables that no key, primary key's name or shared column links are an error, for their join would be a product; ``cross`` allows it.

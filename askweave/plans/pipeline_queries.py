@@ -336,7 +336,7 @@ ORACLES = {
         c AS (SELECT catalog_id, unnest(column_names_original) AS c, generate_subscripts(column_names_original, 1) - 1 AS old_pos FROM spider_tables),
         u AS (SELECT catalog_id, table_idx, '*' AS column_name, NULL AS old_pos FROM t UNION ALL SELECT catalog_id, c.table_idx, c.name, old_pos FROM c JOIN t USING (catalog_id) WHERE old_pos > 0 AND c.table_idx = t.table_idx)
         SELECT catalog_id, CAST(row_number() OVER (PARTITION BY catalog_id ORDER BY table_idx, old_pos NULLS FIRST) - 1 AS INTEGER) AS new_pos, CAST(table_idx AS INTEGER) AS table_idx, column_name, CAST(old_pos AS INTEGER) AS old_pos FROM u""",
-    "bridge_tables": "SELECT 'lineitem' AS table_name",
+    "bridge_tables": "SELECT a AS table_name FROM (VALUES " + ", ".join(f"('{a}', '{ac}', '{b}', '{bc}')" for a, ac, b, bc in STAR_FOREIGN) + ") k(a, ac, b, bc) GROUP BY a HAVING count(DISTINCT b) > 1",
     "same_content": f"""
         WITH v AS (SELECT DISTINCT table_name || '.' || column_name AS c, value FROM ({_unpivot()}) WHERE column_name IN ('n_nationkey', 'n_regionkey', 'r_regionkey', 'c_custkey', 'c_nationkey', 's_suppkey', 's_nationkey', 'o_orderkey', 'o_custkey') AND value IS NOT NULL),
         s AS (SELECT c, count(*) AS size FROM v GROUP BY c), p AS (SELECT a.c AS a, b.c AS b, count(*) AS shared FROM v a JOIN v b ON a.value = b.value AND a.c <> b.c GROUP BY ALL)

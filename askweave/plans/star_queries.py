@@ -128,6 +128,19 @@ _add("except_branch", "short", "select nation.n_name from nation where nation.n_
 _add("union_other_table", "short", "select customer.c_nationkey from customer where customer.c_acctbal > 9500 union_ @.@ is supplier.* and supplier.s_acctbal > 9000", "nation", "SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9500 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
 _add("set_to_in", "short", "select count ( nation.* ) from nation where customer.c_mktsegment = 'BUILDING' intersect_ customer.c_mktsegment = 'MACHINERY'", "n", "SELECT count(*) AS n FROM nation WHERE n_nationkey IN (SELECT n_nationkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT n_nationkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY')")
 
+_add(
+    "union_to_where", "short", "select part.p_brand from part where part.p_size = 7 union_ part.p_retailprice > 1500", "brand",
+    "SELECT DISTINCT p_brand AS brand FROM part WHERE p_size = 7 OR p_retailprice > 1500", sets_to_where=True,
+)
+_add(
+    "intersect_to_where", "short", "select supplier.s_suppkey from supplier where supplier.s_acctbal > 0 intersect_ supplier.s_nationkey > 12", "suppkey",
+    "SELECT s_suppkey AS suppkey FROM supplier WHERE s_acctbal > 0 AND s_nationkey > 12", sets_to_where=True,
+)
+_add(
+    "intersect_of_bounds", "short", "select nation.n_name from nation where supplier.s_acctbal > 5000 and supplier.s_acctbal < 1000", "name",
+    """SELECT n_name AS name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 5000 INTERSECT SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal < 1000""",
+)
+
 
 # Questions in words
 def _ask(name: str, question: str, names: str, oracle: str) -> None:

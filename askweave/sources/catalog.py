@@ -79,8 +79,20 @@ class Catalog:
         """Foreign keys between two tables, in either direction."""
         return [f for f in self.foreign if {f[0], f[2]} == {a, b} and f[0] != f[2]]
 
+    def key(self, table_: str) -> str | None:
+        """The primary key of a table, else the first column that is named like one."""
+        own = self.tables.get(table_, {})
+        return self.primary.get(table_) or next((c for c in own if c in ("id", f"{table_}_id", f"{table_}id") or c.endswith("_id")), None)
+
     def related(self, a: tuple[str, str], b: tuple[str, str]) -> bool:
-        return (*a, *b) in self.foreign or (*b, *a) in self.foreign
+        """Whether two columns of different tables hold the same things: a foreign key says so, or both are keys. A star stands for the column that links."""
+        if a[0] == b[0]:
+            return False
+        for f in self.edges(a[0], b[0]):
+            ends = {f[:2], f[2:]}
+            if all(x in ends or x[1] == "*" for x in (a, b)):
+                return True
+        return "*" not in (a[1], b[1]) and self.primary.get(a[0]) == a[1] and self.primary.get(b[0]) == b[1] and a[1] == b[1]
 
 
 def catalog_frames(spark: SparkSession, catalog: Catalog) -> dict[str, DataFrame]:

@@ -2,10 +2,10 @@
 
 import pytest
 
-from askweave.plans import pipeline_queries, queries, question_queries, record_queries, star_queries
+from askweave.plans import catalog_queries, pipeline_queries, queries, question_queries, record_queries, star_queries
 
-CORE = star_queries.QUERIES | pipeline_queries.QUERIES | record_queries.QUERIES | question_queries.QUERIES | queries.QUERIES
-ORACLES = star_queries.ORACLES | pipeline_queries.ORACLES | record_queries.ORACLES | question_queries.ORACLES | queries.ORACLES
+CORE = star_queries.QUERIES | pipeline_queries.QUERIES | record_queries.QUERIES | catalog_queries.QUERIES | question_queries.QUERIES | queries.QUERIES
+ORACLES = star_queries.ORACLES | pipeline_queries.ORACLES | record_queries.ORACLES | catalog_queries.ORACLES | question_queries.ORACLES | queries.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
