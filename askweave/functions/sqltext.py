@@ -6,6 +6,8 @@ The lexer and the alias table need a state, so they run over Arrow batches; mask
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,22 +81,25 @@ def normalized(values: pa.Array) -> pa.Array:
 _LITERAL = re.compile(r"'.*'|-?\d+(\.\d+)?", re.S)
 
 
+def _mask(sql: str | None, names: list[str] | None) -> str | None:
+    """Tokens of the normal form joined by blanks, with names, literals and stars as ``_``; a row's names are a set made once."""
+    known = set(names or ())
+    return None if sql is None else " ".join("_" if t in known or t == "*" or t.endswith(".*") or _LITERAL.fullmatch(t) else t for t in sql_tokens(normal_form(sql)))
+
+
 @F.arrow_udf(T.StringType())
 def _masked(queries: pa.Array, names: pa.Array) -> pa.Array:
-    """Tokens of the normal form joined by blanks, with names, literals and stars as ``_``; a row's names are a set made once."""
-    out = []
-    for sql, own in zip(queries.to_pylist(), names.to_pylist()):
-        known = set(own or ())
-        out.append(None if sql is None else " ".join("_" if t in known or t == "*" or t.endswith(".*") or _LITERAL.fullmatch(t) else t for t in sql_tokens(normal_form(sql))))
-    return pa.array(out, pa.string())
+    return pa.array([_mask(s, ns) for s, ns in zip(queries.to_pylist(), names.to_pylist())], pa.string())
 
 
-def skeleton(sql: Column, names: Column) -> Column:
-    """The shape of a query in normal form: ``names`` (array of tables, columns and table.column), literals and stars become ``_``.
+def _masked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [_mask(s, ns) for s, ns in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["_id", "_masked"])
 
-    Join conditions go, chains of joined tables, lists and simple comparisons become one ``_`` each.
-    """
-    out = F.concat(F.lit(" "), _masked(sql, names), F.lit(" "))
+
+def _folded(masked: Column) -> Column:
+    out = F.concat(F.lit(" "), masked, F.lit(" "))
     for pattern, to in (
         (r" on _ = _(?: (?:and|or) _ = _)*(?= )", ""),
         (r" _(?: join _)+(?= )", " _"),
@@ -107,9 +112,20 @@ def skeleton(sql: Column, names: Column) -> Column:
     return F.trim(out)
 
 
+def skeleton(sql: Column, names: Column) -> Column:
+    """The shape of a query in normal form: ``names`` (array of tables, columns and table.column), literals and stars become ``_``.
+
+    Join conditions go, chains of joined tables, lists and simple comparisons become one ``_`` each. ``names`` must be a column as it stands: an
+    expression with lambda functions is no argument for Python.
+    """
+    return _folded(_masked(sql, names))
+
+
 def skeletons(df: DataFrame, id_col: str, sql: Column, names: Column) -> DataFrame:
-    """``id_col`` and ``skeleton`` of each query, whatever its form."""
-    return df.select(id_col, skeleton(sql, names).alias("skeleton"))
+    """``id_col`` and ``skeleton`` of each query, whatever its form; ``names`` may be any expression."""
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("_id"), sql.alias("_sql"), names.alias("_names")).mapInArrow(_masked_rows, f"_id {kind}, _masked string")
+    return rows.select(F.col("_id").alias(id_col), _folded(F.col("_masked")).alias("skeleton"))
 
 
 def schema_names(db_schema: Column) -> Column:

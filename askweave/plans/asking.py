@@ -133,14 +133,14 @@ def link(catalog: Catalog, question: str, find: Callable[[str], list[tuple[str,
 
 
 def find_value(engine: Engine, value: str) -> list[tuple[str, str]]:
-    """The text columns that hold a value, letter case aside; the equality reaches the scans."""
+    """The text columns that hold a value, letter case aside. Each table is scanned once, whatever the number of its columns, and gives one row."""
     parts = []
     for t, cs in engine.catalog.tables.items():
-        for c, kind in cs.items():
-            if catalog_type(kind) == "text":
-                hit = engine.table(t).filter(F.lower(F.col(c)) == value.lower()).limit(1)
-                parts.append(hit.select(F.lit(t).alias("t"), F.lit(c).alias("c")))
-    return [(r["t"], r["c"]) for r in reduce(DataFrame.unionByName, parts).collect()] if parts else []
+        own = [c for c, kind in cs.items() if catalog_type(kind) == "text"]
+        if own:
+            found = engine.table(t).agg(*(F.bool_or(F.lower(F.col(c)) == value.lower()).alias(c) for c in own))
+            parts.append(found.select(F.lit(t).alias("t"), F.array_compact(F.array(*(F.when(F.col(c), F.lit(c)) for c in own))).alias("cs")))
+    return [(r["t"], c) for r in reduce(DataFrame.unionByName, parts).collect() for c in r["cs"]] if parts else []
 
 
 def find_known(engine: Engine, question: str) -> Known:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askweave.functions import question
 from askweave.functions.question import filled_values, pattern_counts, question_segments, question_tags, stripped_values
 from askweave.functions.sqltext import normalized, schema_names, skeletons
 from askweave.operators import linking, profiling, ranking
@@ -12,7 +13,7 @@ from askweave.plans.engine import Engine
 from askweave.plans.generation import generated
 from askweave.plans.joins import all_paths, bridges, closure
 from askweave.plans.selection import PLACEHOLDER, best_checkpoints, choose, exact_matches, repair, same_result
-from askweave.sources.catalog import STAR_FOREIGN, Catalog, catalog_frames
+from askweave.sources.catalog import STAR_FOREIGN, STAR_PRIMARY, Catalog, catalog_frames
 from askweave.sources.files import star_columns
 from askweave.sources.tables import table
 
@@ -310,6 +311,13 @@ def _score(name: str) -> str:
 _LABELLED = _ITEMS + f""",
     lab AS (SELECT q_id, table_pos, table_name, {_score('table_name')} AS prob, CASE WHEN list_contains(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+'), lower(table_name)) THEN 1 ELSE 0 END AS label FROM q JOIN tabs USING (db))"""
 
+_TOKENS = r"""''[^'']*''|‘[^’]*’|"[^"]*"|“[^”]*”|`[^`]*`|\d{1,4}[-/]\d{1,2}[-/]\d{1,4}|-?\d[\d,]*(?:\.\d+)?%?|n''t|\p{L}+(?:''s)?|[^\s\p{Z}]"""
+
+
+def _list(words: object) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
+
+
 ORACLES = {
     "schema_labels": """
         WITH t AS (SELECT rec_id, string_split(lower(norm_sql), ' ') AS toks, unnest(db_schema) AS t, generate_subscripts(db_schema, 1) - 1 AS table_pos FROM preprocessed_dataset),
@@ -336,6 +344,42 @@ ORACLES = {
         c AS (SELECT catalog_id, unnest(column_names_original) AS c, generate_subscripts(column_names_original, 1) - 1 AS old_pos FROM spider_tables),
         u AS (SELECT catalog_id, table_idx, '*' AS column_name, NULL AS old_pos FROM t UNION ALL SELECT catalog_id, c.table_idx, c.name, old_pos FROM c JOIN t USING (catalog_id) WHERE old_pos > 0 AND c.table_idx = t.table_idx)
         SELECT catalog_id, CAST(row_number() OVER (PARTITION BY catalog_id ORDER BY table_idx, old_pos NULLS FIRST) - 1 AS INTEGER) AS new_pos, CAST(table_idx AS INTEGER) AS table_idx, column_name, CAST(old_pos AS INTEGER) AS old_pos FROM u""",
+    "join_paths": """
+        WITH RECURSIVE k(a, b) AS (VALUES """ + ", ".join(f"('{f[0]}', '{f[2]}')" for f in STAR_FOREIGN) + """), e AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+        v(ts) AS (SELECT [a] FROM e UNION SELECT list_sort(list_append(ts, b)) FROM v JOIN e ON list_contains(ts, a) AND NOT list_contains(ts, b) WHERE len(ts) < 5)
+        SELECT CAST(row_number() OVER (ORDER BY len(ts), ts) - 1 AS INTEGER) AS path, CAST(len(ts) AS INTEGER) AS size, array_to_string(ts, ',') AS tables FROM v""",
+    "catalog_columns": """
+        SELECT table_name, column_name, CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' END AS spark_type,
+          CASE WHEN data_type IN ('INTEGER', 'BIGINT', 'DOUBLE') THEN 'number' WHEN data_type = 'VARCHAR' THEN 'text' ELSE 'time' END AS catalog_type,
+          coalesce(k.c IS NOT NULL, false) AS is_primary, CAST(row_number() OVER (PARTITION BY table_name ORDER BY ordinal_position) - 1 AS INTEGER) AS ordinal
+        FROM information_schema.columns LEFT JOIN (VALUES """ + ", ".join(f"('{t}', '{c}')" for t, c in STAR_PRIMARY.items()) + """) k(t, c) ON k.t = table_name AND k.c = column_name
+        WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')""",
+    # The given skeletons keep every list, alias, condition and star; here they are folded up, each sign with blanks of its own.
+    "sql_skeletons": r"""
+        WITH a AS (SELECT rec_id, '  ' || replace(replace(replace(sql_skeleton, ' as _', ''), '( * )', '( _ )'), ' ', '  ') || '  ' AS s FROM preprocessed_dataset),
+        b AS (SELECT rec_id, regexp_replace(s, ' on  _  =  _ (?: (?:and|or)  _  =  _ )*', '', 'g') AS s FROM a),
+        c AS (SELECT rec_id, regexp_replace(s, ' _ (?: join  _ )+', ' _ ', 'g') AS s FROM b),
+        d AS (SELECT rec_id, regexp_replace(s, ' _ (?: ,  _ )+', ' _ ', 'g') AS s FROM c),
+        e AS (SELECT rec_id, regexp_replace(regexp_replace(s, ' _  (?:=|!=|>|>=|<|<=)  _ ', ' _ ', 'g'), ' where  _ (?: (?:and|or)  _ )+', ' where  _ ', 'g') AS s FROM d)
+        SELECT rec_id, trim(regexp_replace(s, ' +', ' ', 'g')) AS skeleton FROM e""",
+    "exact_match": "SELECT rec_id, true AS matches FROM preprocessed_dataset p JOIN train_spider t USING (q_id)",
+    "question_tokens": rf"""
+        WITH w AS (SELECT q_id, unnest(ws) AS text, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT q_id, regexp_extract_all(question, '{_TOKENS}') AS ws FROM train_spider WHERE question IS NOT NULL)),
+        l AS (SELECT *, lower(text) AS low, coalesce(lag(lower(text)) OVER (PARTITION BY q_id ORDER BY pos), '') AS before FROM (SELECT DISTINCT * FROM w))
+        SELECT q_id, CAST(pos AS INTEGER) AS pos, text, CASE
+          WHEN length(text) > 1 AND contains(chr(39) || '‘"“`', text[1]) AND contains(chr(39) || '’"”`', text[-1]) THEN 'DB'
+          WHEN regexp_full_match(text, '\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}|\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{2,4}}|\d{{1,2}}:\d{{2}}(:\d{{2}})?') THEN 'DATE'
+          WHEN regexp_full_match(text, '[12]\d{{3}}') AND before IN ('in', 'year', 'since', 'after', 'before', 'from', 'of', {_list(question.MONTHS)}) THEN 'YEAR'
+          WHEN (regexp_full_match(text, '-?(\d+|\d{{1,3}}(,\d{{3}})+)(\.\d+)?%?') OR low IN ({_list(question.NUMBER_WORDS)})) AND NOT (low = 'one' AND before IN ('the', 'this', 'that', 'which', 'does')) THEN 'NUM'
+          WHEN low IN ({_list(question.NEGATIVE)}) THEN 'NOT' WHEN low IN ({_list(question.AGGREGATES)}) THEN 'AGG' WHEN low IN ('least', 'most') AND before = 'at' THEN CASE low WHEN 'least' THEN 'GR' ELSE 'SM' END
+          WHEN low IN ({_list(question.SUPERLATIVE)}) THEN 'JJS' WHEN low IN ({_list(question.GREATER)}) THEN 'GR' WHEN low IN ({_list(question.SMALLER)}) THEN 'SM' WHEN low IN ({_list(question.GROUPING)}) THEN 'GROUP'
+          WHEN low IN ({_list(question.STOP_WORDS)}) THEN 'STOP' WHEN NOT regexp_matches(text, '[\p{{L}}\p{{N}}_]') THEN 'PUNCT' ELSE '' END AS tag FROM l""",
+    "input_windows": r"""
+        WITH RECURSIVE s AS (SELECT rec_id, len(regexp_extract_all(coalesce(question, ''), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS q, list_transform(db_schema, lambda t: len(regexp_extract_all(concat_ws(' ', t.table_name_original,
+            nullif(array_to_string(t.column_names_original, ' '), ''), nullif(array_to_string(flatten(list_filter(t.db_contents, lambda v: v IS NOT NULL)), ' '), '')), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'))) AS sizes FROM preprocessed_dataset WHERE db_schema IS NOT NULL),
+        w(rec_id, q, sizes, pos, win, used) AS (SELECT rec_id, q, sizes, 1, 0, q + sizes[1] FROM s WHERE len(sizes) > 0
+          UNION ALL SELECT rec_id, q, sizes, pos + 1, CASE WHEN used + sizes[pos + 1] <= 128 OR used = q THEN win ELSE win + 1 END, CASE WHEN used + sizes[pos + 1] <= 128 OR used = q THEN used + sizes[pos + 1] ELSE q + sizes[pos + 1] END FROM w WHERE pos < len(sizes))
+        SELECT rec_id, CAST(pos - 1 AS INTEGER) AS table_pos, CAST(win AS INTEGER) AS window, CAST(sizes[pos] AS INTEGER) AS size FROM w""",
     "bridge_tables": "SELECT a AS table_name FROM (VALUES " + ", ".join(f"('{a}', '{ac}', '{b}', '{bc}')" for a, ac, b, bc in STAR_FOREIGN) + ") k(a, ac, b, bc) GROUP BY a HAVING count(DISTINCT b) > 1",
     "same_content": f"""
         WITH v AS (SELECT DISTINCT table_name || '.' || column_name AS c, value FROM ({_unpivot()}) WHERE column_name IN ('n_nationkey', 'n_regionkey', 'r_regionkey', 'c_custkey', 'c_nationkey', 's_suppkey', 's_nationkey', 'o_orderkey', 'o_custkey') AND value IS NOT NULL),
