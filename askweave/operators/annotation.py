@@ -71,7 +71,8 @@ def annotated(questions: DataFrame, catalogs: DataFrame, links: DataFrame) -> Da
     """
     kind = KIND.format(id=questions.schema["q_id"].dataType.simpleString())
     held = links.groupBy("q_id").agg(F.collect_set(F.struct("cell_value", "table_name", "column_name")).alias("links"))
-    rows = join_small(spread(questions.filter("question is not null").select("q_id", "db", "question")).join(held, "q_id", "left"), catalogs, "db").select("q_id", "question", "catalog", "links")
+    own = questions.filter("question is not null").select("q_id", "db", "question").join(held, "q_id", "left")
+    rows = join_small(spread(own, questions), catalogs, "db").select("q_id", "question", "catalog", "links")
     schema = T.StructType.fromDDL(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +82,11 @@ def annotated(questions: DataFrame, catalogs: DataFrame, links: DataFrame) -> Da
         for b in batches:
             out = []
             for q, c, xs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                values: dict[str, list[tuple[str, str]]] = {}
+                words, values = _schema(c), {}
                 for x in sorted(xs or (), key=lambda x: (x["cell_value"], x["table_name"], x["column_name"])):
-                    values.setdefault(x["cell_value"], []).append((x["table_name"], x["column_name"]))
-                out.append(record(q, _schema(c), values))
+                    if x["column_name"] in words.catalog.tables.get(x["table_name"], {}):  # values of columns that the catalog has lost are none
+                        values.setdefault(x["cell_value"], []).append((x["table_name"], x["column_name"]))
+                out.append(record(q, words, values))
             columns = [b.column(0), *(pa.array([r[f.name] for r in out], f.type) for f in list(arrow)[1:])]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 

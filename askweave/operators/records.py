@@ -21,6 +21,11 @@ def _texts(a: Column) -> Column:
     return F.coalesce(a, F.array().cast(_TEXTS))
 
 
+def _entries(a: Column) -> Column:
+    """No entries where there is no array."""
+    return F.coalesce(a, F.filter(F.array(F.get(a, 0)), lambda x: F.lit(False)))
+
+
 # -- preprocessing -----------------------------------------------------------------------------------------------
 
 
@@ -43,7 +48,7 @@ def schemas(catalog: DataFrame) -> DataFrame:
         at(p["src"])["table"].alias("source_table_name_original"), at(p["src"])["name"].alias("source_column_name_original"), at(p["dst"])["table"].alias("target_table_name_original"), at(p["dst"])["name"].alias("target_column_name_original")
     )
     fk = F.filter(F.transform("foreign_keys", pair), lambda k: k["source_column_name_original"].isNotNull() & k["target_column_name_original"].isNotNull())
-    return own.select("db", tables.alias("db_schema"), pk.alias("pk"), fk.alias("fk")).withColumn("names", schema_names(F.col("db_schema")))
+    return own.select("db", tables.alias("db_schema"), _entries(pk).alias("pk"), _entries(fk).alias("fk")).withColumn("names", schema_names(F.col("db_schema")))
 
 
 def query_names(query: Column) -> Column:

@@ -53,15 +53,14 @@ def join_many(rows: DataFrame, keyed: DataFrame, key: str, limit: int = 100_000,
     return join_small(rows, keyed, key, limit, hot)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out anew over all cores, for work that is heavy by the row and scans of few, small files."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if _bytes(df) < SPREAD_BYTES else df
+#: Bytes of input to a task of work that is heavy by the row.
+HEAVY_BYTES = 4 << 20
 
 
-#: Data sets up to this size may come as fewer scan tasks than there are cores.
-SPREAD_BYTES = 1 << 30
+def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Rows dealt out anew, over all cores at least, for work that is heavy by the row: scans of few files and joins of small rows come as few tasks.
 
-
-def _bytes(df: DataFrame) -> int:
-    """The optimizer's estimate, for which nothing runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    The number of tasks follows the size of ``source`` (the rows themselves by default) as the optimizer knows it; nothing runs for it.
+    """
+    size = int(str((df if source is None else source)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(100_000, size // HEAVY_BYTES)))

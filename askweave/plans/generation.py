@@ -61,7 +61,7 @@ def decoded(candidates: DataFrame, catalog: DataFrame, shorthand: bool = False)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["q_id", "place", "sql"])
 
     kind = candidates.schema["q_id"].dataType.simpleString()
-    own = join_small(spread(candidates.filter("text is not null and place is not null")), catalog_texts(catalog), "db").select("q_id", F.col("place").cast("int").alias("place"), "text", "catalog")
+    own = join_small(spread(candidates.filter("text is not null and place is not null"), candidates), catalog_texts(catalog), "db").select("q_id", F.col("place").cast("int").alias("place"), "text", "catalog")
     read = own.mapInArrow(run, f"q_id {kind}, place int, sql string")
     first = read.groupBy("q_id").agg(F.min(F.when(F.col("sql").isNotNull(), F.struct("place", "sql"))).alias("x"))
     return first.select("q_id", F.coalesce("x.place", F.lit(-1)).alias("place"), F.coalesce("x.sql", F.lit(PLACEHOLDER)).alias("sql"))
@@ -83,10 +83,10 @@ def generated(questions: DataFrame, catalog: DataFrame, generator: Callable[...,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["q_id", "sql"])
 
     own = questions.filter("question is not null").select("q_id", db_key(F.col("db_id")).alias("db"), "question")
-    own, columns = spread(own), ["q_id", "question", "catalog"]
+    columns = ["q_id", "question", "catalog"]
     if linked:  # before the catalogs, whose texts are longer than the questions
         links = exact_matches(questions, index).groupBy("q_id").agg(F.collect_set(F.struct("cell_value", "table_name", "column_name")).alias("links"))
         own, columns = own.join(links, "q_id", "left"), [*columns, "links"]
-    own = join_small(own, catalog_texts(catalog), "db")
+    own = join_small(spread(own, questions), catalog_texts(catalog), "db")
     kind = questions.schema["q_id"].dataType.simpleString()
     return own.select(*columns).mapInArrow(run, f"q_id {kind}, sql string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from askweave.functions import question
 from askweave.functions.question import filled_values, pattern_counts, question_segments, question_tags, stripped_values
 from askweave.functions.sqltext import normalized, schema_names, skeletons
+from askweave.functions.text import db_key
 from askweave.operators import linking, profiling, ranking
 from askweave.plans.engine import Engine
 from askweave.plans.generation import generated
@@ -28,7 +29,12 @@ def normalize_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skeletons(table(spark, sf_dir, "preprocessed_dataset"), "rec_id", F.col("sql"), schema_names(F.col("db_schema")))
+    """Shapes of the records' queries, by the names of their own schema and of all deliveries of their database's catalog."""
+    named = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower)
+    names = F.concat(named(F.col("table_names_original")), named(F.transform("column_names_original", lambda c: c["name"])))
+    every = table(spark, sf_dir, "spider_tables").filter("db_id is not null").select(db_key(F.col("db_id")).alias("db"), F.explode(names).alias("n")).groupBy("db").agg(F.collect_set("n").alias("names"))
+    own = table(spark, sf_dir, "preprocessed_dataset").select("rec_id", "sql", "db_schema", db_key(F.col("db_id")).alias("db")).join(every, "db", "left")
+    return skeletons(own, "rec_id", F.col("sql"), F.concat(schema_names(F.col("db_schema")), F.coalesce("names", F.array().cast("array<string>"))))
 
 
 def schema_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
