@@ -63,4 +63,6 @@ def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     The number of tasks follows the size of ``source`` (the rows themselves by default) as the optimizer knows it; nothing runs for it.
     """
     size = int(str((df if source is None else source)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(100_000, size // HEAVY_BYTES)))
+    cores, usual = df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Of rows that come from no file the optimizer knows no size.
+    return df.repartition(max(cores, usual) if size >= 1 << 60 else max(cores, min(100_000, size // HEAVY_BYTES)))
