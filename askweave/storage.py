@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) one of our own is set."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and all runs on one machine (tests) one of our own is set."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="askweave-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
