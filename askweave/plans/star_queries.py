@@ -77,9 +77,9 @@ _add("join_inferred_4", "short", "select region.r_name , count ( orders.* ) from
 _add("join_bridge_choice", "short", "select part.p_brand , count ( lineitem.* ) from part where supplier.s_nationkey = 7 group by part.p_brand", "brand n", "SELECT p_brand AS brand, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = 7 GROUP BY p_brand")
 _add("join_forced", "short", "select nation.n_name , count ( lineitem.* ) from nation where @.@ join supplier.* group by nation.n_name", "nation n", "SELECT n_name AS nation, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey GROUP BY n_name")
 _add(
-    "join_long_chain", "short", "select region.r_name , count ( events.* ) from region where part.p_size = 5 and supplier.s_acctbal > 0 group by region.r_name", "region n",
-    """SELECT r_name AS region, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey
-       JOIN events ON user_id = c_custkey JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE p_size = 5 AND s_acctbal > 0 GROUP BY 1""",
+    "join_long_chain", "short", "select region.r_name , count ( lineitem.* ) from region where part.p_size = 5 and customer.c_mktsegment = 'BUILDING' and orders.o_totalprice > 1000 group by region.r_name", "region n",
+    """SELECT r_name AS region, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
+       JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size = 5 AND c_mktsegment = 'BUILDING' AND o_totalprice > 1000 GROUP BY 1""",
 )
 _add("join_any_table", "short", "select count ( distinct customer.c_custkey ) from customer where @.@ = orders.*", "n", "SELECT count(DISTINCT c_custkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey")
 _add("self_join", "sql", "select a.n_name, b.n_name from nation as a join nation as b on a.n_regionkey = b.n_regionkey where a.n_nationkey < b.n_nationkey", "first second", "SELECT a.n_name AS first, b.n_name AS second FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey")
