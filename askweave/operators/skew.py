@@ -41,9 +41,14 @@ def join_salted(rows: DataFrame, keyed: DataFrame, key: str, total: int, hot: in
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
+#: Size, as text, of a side that goes to all tasks at most.
+SMALL_BYTES = 32 << 20
+
+
 def join_small(rows: DataFrame, keyed: DataFrame, key: str, limit: int = 100_000, hot: int = 100_000) -> DataFrame:
-    """Inner join with a side that is a row a key, such as catalogs: by a broadcast up to ``limit`` rows of it, which are counted, else salted."""
-    if keyed.count() <= limit:
+    """Inner join with a side that is a row a key, such as catalogs: by a broadcast up to ``limit`` rows and ``SMALL_BYTES`` of it, which are measured, else salted."""
+    measured = keyed.agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    if measured[0] <= limit and (measured[1] or 0) <= SMALL_BYTES:
         return rows.join(F.broadcast(keyed), key)
     return join_salted(rows, keyed, key, rows.count(), hot)
 
