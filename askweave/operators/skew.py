@@ -62,12 +62,13 @@ def join_many(rows: DataFrame, keyed: DataFrame, key: str, limit: int = 100_000,
 HEAVY_BYTES = 4 << 20
 
 
-def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def spread(df: DataFrame, source: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows dealt out anew, over all cores at least, for work that is heavy by the row: scans of few files and joins of small rows come as few tasks.
 
-    The number of tasks follows the size of ``source`` (the rows themselves by default) as the optimizer knows it; nothing runs for it.
+    With ``by``, rows go by ranges of these columns, which are sampled: equal ones together, and tasks as even as the columns tell rows apart. The number of tasks follows the size of ``source`` (the rows themselves by default) as the optimizer knows it; nothing runs for it.
     """
     size = int(str((df if source is None else source)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores, usual = df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Of rows that come from no file the optimizer knows no size.
-    return df.repartition(max(cores, usual) if size >= 1 << 60 else max(cores, min(100_000, size // HEAVY_BYTES)))
+    tasks = max(cores, usual) if size >= 1 << 60 else max(cores, min(100_000, size // HEAVY_BYTES))
+    return df.repartitionByRange(tasks, *by) if by else df.repartition(tasks)

@@ -12,7 +12,7 @@ from askweave.functions.question import repaired_questions
 from askweave.functions.text import db_key
 from askweave.functions.words import lemma, stem
 from askweave.operators import records
-from askweave.operators.annotation import annotated
+from askweave.operators.annotation import FIELDS, annotated
 from askweave.operators.skew import join_small
 from askweave.plans.generation import catalog_texts
 from askweave.plans.pipeline_queries import _ITEMS, value_match_exact
@@ -24,8 +24,8 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "train_spider").filter("question is not null").select("q_id", db_key(F.col("db_id")).alias("db"), "question")
 
 
-def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotated(_questions(spark, sf_dir), catalog_texts(table(spark, sf_dir, "spider_tables")), value_match_exact(spark, sf_dir))
+def _annotated(spark: SparkSession, sf_dir: str, fields: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    return annotated(_questions(spark, sf_dir), catalog_texts(table(spark, sf_dir, "spider_tables")), value_match_exact(spark, sf_dir), fields)
 
 
 def _each(df: DataFrame, column: str) -> DataFrame:
@@ -34,17 +34,17 @@ def _each(df: DataFrame, column: str) -> DataFrame:
 
 def question_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token with base form, stem, tag, direction and classes."""
-    return _each(_annotated(spark, sf_dir), "tokens")
+    return _each(_annotated(spark, sf_dir, {"tokens": FIELDS["tokens"]}), "tokens")
 
 
 def question_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables and columns that questions speak of, where, and the tier that found them."""
-    return _each(_annotated(spark, sf_dir), "mentions")
+    return _each(_annotated(spark, sf_dir, {"mentions": FIELDS["mentions"]}), "mentions")
 
 
 def question_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of questions with number, kind, action and flags."""
-    return _each(_annotated(spark, sf_dir), "parts")
+    return _each(_annotated(spark, sf_dir, {"parts": FIELDS["parts"]}), "parts")
 
 
 def question_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +52,13 @@ def question_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = lambda c: F.concat_ws(".", c["table_name"], F.nullif(c["column_name"], F.lit("")))
     item = lambda c: F.when(c["agg"] != "", F.concat(c["agg"], F.lit("("), full(c), F.lit(")"))).otherwise(full(c))
     text = lambda name, of=full: F.array_join(F.transform(name, of), " ")
-    return _annotated(spark, sf_dir).select("q_id", text("selected", item).alias("selected"), text("conditions").alias("conditions"), text("grouped").alias("grouped"), text("ordered").alias("ordered"))
+    return _annotated(spark, sf_dir, {c: FIELDS[c] for c in ("selected", "conditions", "grouped", "ordered")}).select("q_id", text("selected", item).alias("selected"), text("conditions").alias("conditions"), text("grouped").alias("grouped"), text("ordered").alias("ordered"))
 
 
 def question_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of the annotations: questions; parts that are not all their tokens in order; mentions beyond them; names that the catalog lacks; first parts that are conditions."""
-    own = _annotated(spark, sf_dir).join(_questions(spark, sf_dir).select("q_id", "db").distinct(), "q_id")
-    both = join_small(own, records.schemas(table(spark, sf_dir, "spider_tables")), "db")
+    own = _annotated(spark, sf_dir, {"tokens": ("text",), "mentions": ("start", "stop", "table_name", "column_name"), "parts": ("kind", "text"), "conditions": FIELDS["conditions"]})
+    both = join_small(own, records.schemas(table(spark, sf_dir, "spider_tables")).select("db", "names"), "db")
     told = F.filter(F.array_distinct(F.concat(F.transform("mentions", lambda m: F.concat_ws(".", m["table_name"], F.nullif(m["column_name"], F.lit("")))), F.transform("conditions", lambda c: F.concat_ws(".", c["table_name"], F.nullif(c["column_name"], F.lit("")))))), lambda x: x != "")
     count = lambda cond: F.count(F.when(cond, 1))
     return both.agg(
