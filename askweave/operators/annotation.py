@@ -96,7 +96,8 @@ def _column(rows: list[list[tuple]], kind: pa.ListType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries).cast(kind)
 
 
-@lru_cache(256)
+#: More catalogs than a task of usual size has, so that none is taken apart for each batch anew.
+@lru_cache(1024)
 def _schema(text: str) -> SchemaWords:
     return SchemaWords(Catalog.of_row(json.loads(text)))
 
